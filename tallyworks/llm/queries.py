@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op7_exact_dedup": lambda spark, d: exact_dedup.op7(table(spark, d, "documents")),
         "op8_simhash": lambda spark, d: simhash.op8(table(spark, d, "documents")),
+        "op10_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
     }
 
 
