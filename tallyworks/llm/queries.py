@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, mixing, simhash
+from . import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": lambda spark, d: language_id.op1(table(spark, d, "documents")),
+        "op4_chat_format": lambda spark, d: chat_format.op4(table(spark, d, "conversations")),
         "op6_decontaminate": lambda spark, d: decontaminate.op6(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_exact_dedup": lambda spark, d: exact_dedup.op7(table(spark, d, "documents")),
         "op8_simhash": lambda spark, d: simhash.op8(table(spark, d, "documents")),
