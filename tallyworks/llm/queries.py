@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, html_text, language_id, mixing, simhash, token_counts, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_text, language_id, mixing, pii, simhash, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": lambda spark, d: language_id.op1(table(spark, d, "documents")),
         "op2_token_counts": lambda spark, d: token_counts.op2(table(spark, d, "documents")),
+        "op3_pii": lambda spark, d: pii.op3(table(spark, d, "documents")),
         "op4_chat_format": lambda spark, d: chat_format.op4(table(spark, d, "conversations")),
         "op5_toxicity": lambda spark, d: toxicity.op5(table(spark, d, "documents"), table(spark, d, "labels")),
         "op6_decontaminate": lambda spark, d: decontaminate.op6(table(spark, d, "documents"), table(spark, d, "benchmark")),
