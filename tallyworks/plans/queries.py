@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse, rates
-from ..operators import checks, estimates, prices, reports
+from ..operators import checks, edits, estimates, prices, products, reports
 from .tables import domain, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +166,24 @@ _add("z9_universal_price", ["scopes"], estimates.universal_price, "SELECT projec
 _add("z11_variance", ["estimates"], estimates.variance, "SELECT estimate_id, status, round((actual_total_cost - total_estimate) * 100 / nullif(actual_total_cost, 0), 2) AS variance_pct FROM estimates")
 
 
+# --- corrections and roll-ups ---
+_ITEM = ["product", "unit", "quantity", "line_no", "part_id"]
+_add("j2_unnested_items", ["quote_items", "projects"], lambda q, p: edits.unnested(q.groupBy("quote_id", "project_id", "vendor").agg(F.collect_list(F.struct(*_ITEM)).alias("items")), p.filter("project_id % 4 <> 0")), "SELECT q.quote_id, q.project_id, q.vendor, product, unit, quantity, line_no, part_id, p.status FROM quote_items q LEFT JOIN projects p ON q.project_id = p.project_id AND p.project_id % 4 <> 0")
+_add("j7_reclassified", ["scopes"], lambda s: edits.reclassified(s, s.filter("markup_pct is null").select("scope_id", F.lit("Other").alias("new_type"))), "SELECT scope_type, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after FROM (SELECT scope_type, 1 AS b, 0 AS a FROM scopes UNION ALL SELECT CASE WHEN markup_pct IS NULL THEN 'Other' ELSE scope_type END, 0, 1 FROM scopes) GROUP BY 1")
+_add("j8_dates_filled", ["projects", "quote_items"], lambda p, q: edits.dates_filled(p, q.select("project_id", F.col("quote_date").alias("found_date"))), "SELECT p.project_id, p.quote_date AS old_date, f.found_date FROM projects p JOIN (SELECT project_id, min(quote_date) AS found_date FROM quote_items GROUP BY 1) f USING (project_id) WHERE p.quote_date IS DISTINCT FROM f.found_date")
+_add("a17_estimate_roll_up", ["estimates", "scopes"], edits.estimate_roll_up, "SELECT e.estimate_id, round(area, 2) AS area, round(CASE WHEN days > 0 THEN days END, 4) AS man_days, CAST(round(CAST(CASE WHEN area > 0 THEN total_estimate / area END AS DECIMAL(20,8)), 4) AS DOUBLE) AS cost_per_sf FROM estimates e LEFT JOIN (SELECT project_id, sum(square_footage) AS area, sum(man_days) AS days FROM scopes GROUP BY 1) s ON e.estimate_id = s.project_id")
+_add("a18_readiness_flags", ["estimates", "scopes"], edits.readiness_flags, "SELECT e.estimate_id, coalesce(has_area, false) AS has_area, coalesce(types, 0) AS types, coalesce(status IN ('reviewed', 'finalized', 'exported'), false) AS reviewed FROM estimates e LEFT JOIN (SELECT project_id, bool_or(coalesce(square_footage > 0, false)) AS has_area, count(DISTINCT scope_type) AS types FROM scopes GROUP BY 1) s ON e.estimate_id = s.project_id")
+_add("a22_retrain_trigger", ["estimates"], lambda e: edits.retrain_trigger(e, "2001-01-01"), "SELECT actuals, fresh, reason = 'retrain' AS retrain, reason FROM (SELECT *, CASE WHEN actuals < 5 THEN 'too few actuals' WHEN fresh < 3 THEN 'too few new actuals' ELSE 'retrain' END AS reason FROM (SELECT count(actual_total_cost) AS actuals, count(actual_total_cost) FILTER (created_on >= DATE '2001-01-01') AS fresh FROM estimates))")
+_add("w5_nearest_area", ["scopes"], lambda s: edits.nearest_area(s, s.groupBy(F.col("scope_type").alias("kind")).agg(F.percentile("square_footage", 0.5).alias("area"))), "SELECT kind, project_id, off, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY off, project_id) AS rank FROM (SELECT s.scope_type AS kind, project_id, min(abs(square_footage - m)) AS off FROM scopes s JOIN (SELECT scope_type, quantile_cont(square_footage, 0.5) AS m FROM scopes GROUP BY 1) t USING (scope_type) WHERE square_footage > 0 GROUP BY 1, 2)) WHERE rank <= 3")
+_add("w7_page", ["projects"], lambda p: edits.page(p, "HOSPITAL", (2021, 2024), 20, 20), "SELECT project_id, name, quote_date FROM projects WHERE contains(lower(name), 'hospital') AND year(quote_date) BETWEEN 2021 AND 2024 ORDER BY created_on DESC, project_id LIMIT 20 OFFSET 20")
+_add("w10_first_seen", ["quote_items"], edits.first_seen, "SELECT vendor, string_agg(product, '|' ORDER BY k) AS products FROM (SELECT vendor, product, row_number() OVER (PARTITION BY vendor ORDER BY seen) AS k FROM (SELECT vendor, product, min((quote_date, quote_id, line_no, product)) AS seen FROM quote_items WHERE vendor IS NOT NULL GROUP BY 1, 2)) WHERE k <= 5 GROUP BY 1")
+_add("z7_edited", ["scopes"], lambda s: edits.edited(s, s.filter("project_id % 5 = 0").select("scope_id", F.lit(0.25).alias("new_markup"), F.when(F.col("square_footage").isNull(), 3.0).alias("new_days"))), "SELECT project_id, CAST(round(sum(CAST(material_cost * (1 + CASE WHEN project_id % 5 = 0 THEN CAST(0.25 AS DOUBLE) ELSE coalesce(markup_pct, 0) END) + CASE WHEN project_id % 5 = 0 AND square_footage IS NULL THEN 3 ELSE man_days END * coalesce(daily_labor_rate, 725) AS DECIMAL(20,8))), 2) AS DOUBLE) AS total FROM scopes GROUP BY 1")
+_KEEP = " OR ".join(f"(scope_type = '{k}' AND t BETWEEN {a} AND {3 * b})" for k, (a, b) in prices.BOUNDS.items() if k not in ("SM", "Other"))
+_add("h3_training_rows", ["scopes"], lambda s: edits.training_rows(s, prices.BOUNDS), f"SELECT scope_type, count(*) AS n, round(avg(t), 4) AS mean FROM (SELECT scope_type, total / square_footage AS t FROM scopes WHERE square_footage > 0) WHERE t > 0 AND ({_KEEP}) GROUP BY 1")
+_TYPO = lambda: F.when(F.col("part_id") % 3 == 0, F.upper("product")).when(F.col("part_id") % 3 == 1, F.concat(F.col("product"), F.lit("x"))).otherwise(F.reverse("product"))
+_add("n1_product_names", ["quote_items"], lambda q: products.match(q.select(_TYPO().alias("name")), q.groupBy("product").agg(F.min("part_id").alias("position")).select(F.col("product").alias("alias"), F.col("product").alias("canonical"), "position")), None)
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, (run, _) in _FOUND.items()}
 

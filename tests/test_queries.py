@@ -12,7 +12,7 @@ def con():
     return compare.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_against_its_sql(spark, con, name):
     df = queries.queries()[name](spark, SF)
     assert compare.difference(df.collect(), df.columns, con, SQL[name]) == ""
