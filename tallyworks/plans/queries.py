@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse, rates
-from ..operators import checks, edits, estimates, prices, products, reports
+from ..operators import checks, edits, estimates, models, prices, products, reports
 from .tables import domain, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +184,16 @@ _TYPO = lambda: F.when(F.col("part_id") % 3 == 0, F.upper("product")).when(F.col
 _add("n1_product_names", ["quote_items"], lambda q: products.match(q.select(_TYPO().alias("name")), q.groupBy("product").agg(F.min("part_id").alias("position")).select(F.col("product").alias("alias"), F.col("product").alias("canonical"), "position")), None)
 
 
+# --- models ---
+_add("m2_cross_validation", ["scopes", "projects"], lambda s, p: models.error_report(models.cross_validated(models.training_table(reports.features(s, p), s).filter("scope_type not in ('SM', 'Other')"), trees=10, depth=5)), None)
+_add(
+    "m8_deployment", ["estimates"],
+    lambda e: models.deployment(*[e.filter(f"actual_total_cost > 0 and status is not null and {w}").groupBy(F.col("status").alias("family")).agg(parse.to_places(F.avg(F.abs(F.col("total_estimate") - F.col("actual_total_cost")) / F.col("actual_total_cost")), 6).alias("mape")) for w in ("created_on >= date'1998-01-01'", "created_on < date'1998-01-01' and status <> 'draft'")]),
+    "SELECT n.family, o.mape AS old_mape, n.mape AS new_mape, o.mape IS NULL OR n.mape <= o.mape * CAST(1.05 AS DOUBLE) AS deploy, CASE WHEN o.mape IS NULL THEN 'no model before' WHEN n.mape <= o.mape * CAST(1.05 AS DOUBLE) THEN 'within tolerance' ELSE 'worse than before' END AS reason FROM "
+    + " LEFT JOIN ".join(f"(SELECT status AS family, CAST(round(CAST(avg(abs(total_estimate - actual_total_cost) / actual_total_cost) AS DECIMAL(20,8)), 6) AS DOUBLE) AS mape FROM estimates WHERE actual_total_cost > 0 AND status IS NOT NULL AND {w} GROUP BY 1) {t}" for t, w in (("n", "created_on >= DATE '1998-01-01'"), ("o", "created_on < DATE '1998-01-01' AND status <> 'draft'"))) + " USING (family)",
+)
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, (run, _) in _FOUND.items()}
 
