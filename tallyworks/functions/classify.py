@@ -54,8 +54,8 @@ def confidence_level(score: Column, high: float = 0.75, medium: float = 0.50) ->
 
 
 def colour_scope(colour: Column) -> Column:
-    """Scope that a mark's colour ``#rrggbb`` hints at, by its dominant channel; yellow hints at none; null for a bad colour."""
-    good = colour.rlike("^#[0-9A-Fa-f]{6}$")
+    """Scope that a mark's colour ``#rrggbb`` hints at: red ACT, blue AWP, green FW, orange Baffles; null for yellow, others and bad ones."""
     r, g, b = (F.conv(F.substring(colour, i, 2), 16, 10).cast("int") for i in (2, 4, 6))
-    hint = F.when((r > 180) & (g > 180) & (b < 120), None).when((r > 180) & (g > 90) & (b < 120), "Baffles").when((b >= r) & (b >= g), "ACT").when((r >= g) & (r >= b), "AWP").otherwise("FW")
-    return F.when(good, hint)
+    yellow = (r > 200) & (g > 200) & (b < 80)
+    hint = F.when((r > 180) & (g < 100) & (b < 100), "ACT").when((r < 100) & (g < 100) & (b > 180), "AWP").when((r < 100) & (g > 180) & (b < 100), "FW").when((r > 180) & (g > 80) & (b < 80), "Baffles")
+    return F.when(colour.rlike("^#[0-9A-Fa-f]{6}$") & ~yellow, hint)

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse, rates
 from ..operators import checks, edits, estimates, models, prices, products, reports
-from .tables import domain, oracle
-
-Query = Callable[[SparkSession, str], DataFrame]
-_FOUND: dict[str, tuple[Query, str | None]] = {}
+from . import document_queries, link_queries  # noqa: F401  (they register their own)
+from .registry import FOUND, Query, add as _add
 
 #: Year that dates without one belong to, in the queries.
 AS_OF = 2025
 CATEGORIES = {"metals": ["steel", "tin", "copper", "nickel", "brass"], "small": ["small", "mini"], "blue": ["blue", "azure", "navy"]}
 
 
-def _add(name: str, tables: list[str], run: Callable[..., DataFrame], sql: str | None) -> None:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(*[domain(spark, sf_dir, t) for t in tables])
-
-    _FOUND[name] = (query, oracle(sql, *tables) if sql else None)
-
-
 def _case(table: dict, column: str, default: object, i: int | None = None) -> str:
     pick = lambda v: v if i is None else v[i]
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN CAST({pick(v)} AS DOUBLE)" for k, v in table.items()) + f" ELSE CAST({default} AS DOUBLE) END"
@@ -195,8 +183,8 @@ _add(
 
 
 def queries() -> dict[str, Query]:
-    return {name: run for name, (run, _) in _FOUND.items()}
+    return {name: run for name, (run, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+    return {name: sql for name, (_, sql) in FOUND.items() if sql}

@@ -91,6 +91,66 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CAST(o.o_orderdate AS DATE) AS created_on
         FROM orders o LEFT JOIN (SELECT l_orderkey, ROUND(SUM(l_extendedprice), 2) AS actual FROM lineitem GROUP BY l_orderkey) a ON o.o_orderkey = a.l_orderkey""",
     ),
+    "quote_texts": (
+        ["orders"],
+        """
+        SELECT o_orderkey AS doc_id, 'Order ' || CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN ' MDC.pdf' ELSE '.pdf' END AS file_name,
+          'Acme Interiors, 12 Main Street' || chr(10)
+          || CASE WHEN o_orderkey % 4 = 0 THEN 'Quote Date: January ' || CAST(day(o_orderdate) AS STRING) || ', 2024' WHEN o_orderkey % 4 = 1 THEN '0' || CAST(o_orderkey % 9 + 1 AS STRING) || '/15/2024'
+                  WHEN o_orderkey % 4 = 2 THEN 'issued Jul ' || CAST(day(o_orderdate) AS STRING) || ' 2023' ELSE 'undated' END || chr(10)
+          || CASE WHEN o_orderkey % 7 = 0 THEN 'ACOUSTIC PANEL FAB & INSTALL' WHEN o_orderkey % 7 = 1 THEN 'Sound Masking' ELSE 'Ceilings' END || chr(10)
+          || CASE WHEN o_orderkey % 11 = 0 THEN 'no table' ELSE 'QTY TYPE DESCRIPTION COST PER UNIT TOTAL' END || chr(10)
+          || CASE WHEN o_orderkey % 6 = 0 THEN '1 lot! Odd work 1,250.00 1,250.00' ELSE CAST(o_custkey % 90 + 1 AS STRING) || ' act-1 Dune panel $' || CAST(o_custkey % 7 + 1 AS STRING) || '.50 $' || CAST(o_custkey % 9 + 1 AS STRING) || ',045.00' || chr(10) || '24 AWP-1 Wall panel, fabric 850.00 20,400.00' END || chr(10)
+          || 'Material Subtotal: $38,' || CAST(100 + o_custkey % 800 AS STRING) || '.00' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'Labor Subtotal $14,000.00' || chr(10) ELSE '' END
+          || CASE WHEN o_orderkey % 5 = 0 THEN 'GRAND TOTAL  $54,' || CAST(100 + o_custkey % 800 AS STRING) || '.00' WHEN o_orderkey % 5 = 1 THEN 'Grand Total' || chr(10) || chr(10) || '$7,' || CAST(100 + o_custkey % 800 AS STRING) || '.25'
+                  WHEN o_orderkey % 5 = 2 THEN '$' || CAST(o_custkey % 800 AS STRING) || '.75' || chr(10) || chr(10) || 'Total' WHEN o_orderkey % 5 = 3 THEN '12.00' || chr(10) || '$' || CAST(o_custkey % 800 AS STRING) || '.10' || chr(10) || 'Bill to' ELSE 'no sum' END || chr(10)
+          || CASE WHEN o_orderkey % 13 = 0 THEN 'unnumbered' ELSE 'QUOTE #: ' || CAST(10000 + o_custkey % 80000 AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN '-R2' ELSE '' END END || chr(10)
+          || CASE WHEN o_orderkey % 5 = 0 THEN 'Milestone Billing' WHEN o_orderkey % 5 = 1 THEN '50% down / balance net 15' WHEN o_orderkey % 5 = 2 THEN 'Net 45' ELSE 'cash' END AS text
+        FROM orders o """,
+    ),
+    "vendor_texts": (
+        ["lineitem", "supplier", "part"],
+        """
+        SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) || '-' || CAST(l.l_partkey AS STRING) || '-' || CAST(l.l_suppkey AS STRING) AS doc_id,
+          CASE WHEN l.l_suppkey % 4 = 0 THEN 'armstrong list.pdf' ELSE 'list.pdf' END AS file_name,
+          CASE WHEN l.l_partkey % 17 = 0 THEN 'scan' ELSE CASE WHEN l.l_suppkey % 4 = 1 THEN 'Foundation Building and FBM' WHEN l.l_suppkey % 4 = 2 THEN 'MDC, Texas' ELSE 'Supply house' END || chr(10)
+          || 'Invoice #INV-' || CAST(1000 + l.l_suppkey AS STRING) || chr(10) || CASE WHEN l.l_linenumber % 2 = 0 THEN '3/5/24' ELSE 'March 5, 2024' END || chr(10)
+          || CASE WHEN l.l_linenumber % 3 = 0 THEN 'Lead time 2-3 weeks' ELSE 'stock' END || chr(10)
+          || CASE WHEN l.l_linenumber = 5 THEN 'as agreed' ELSE CASE WHEN l.l_partkey % 2 = 0 THEN '24-1234 ' ELSE '' END || 'Panel ' || replace(p.p_name, '.', '') || ' ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' ctn $42.50 $1,040.00' END || chr(10)
+          || 'Freight: $225.00' || chr(10) || CASE WHEN l.l_linenumber = 4 THEN '' ELSE 'Grand Total: $3,' || CAST(100 + l.l_partkey % 800 AS STRING) || '.00' END END AS text
+        FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey""",
+    ),
+    "plan_pages": (
+        ["orders"],
+        """
+        SELECT CAST(FLOOR(o_orderkey / 4) AS BIGINT) AS plan_id, o_orderkey, CAST(o_orderkey % 4 + 1 AS BIGINT) AS page_no,
+          CASE WHEN o_orderkey % 29 = 0 THEN ' raster ' WHEN o_custkey % 5 = 0 THEN 'REFLECTED CEILING PLAN' || chr(10) || 'OPEN OFFICE ' || CAST(o_custkey AS STRING) || ' SF' || chr(10) || 'CEILING AT 9' || chr(39) || '-6" AFF, ACT-1 24X48 GRID'
+               WHEN o_custkey % 5 = 1 THEN 'Level 2 Floor Plan' || chr(10) || 'Room 12' || chr(39) || '-6" x 18' || chr(39) || '-0" and tile 2x4, corridor 8 x ' || CAST(o_custkey % 60 AS STRING) || chr(10) || 'see details on other sheets'
+               WHEN o_custkey % 5 = 2 THEN 'NORTH ELEVATION of the main stair' || chr(10) || '1,' || CAST(100 + o_custkey % 800 AS STRING) || '.50 sq. ft. of panels, 1,' || CAST(100 + o_custkey % 800 AS STRING) || '.50 SF again'
+               WHEN o_custkey % 5 = 3 THEN 'Finish Schedule' || chr(10) || 'sound masking and FW panels by others; section 09 84 00' ELSE 'General notes without any number that a reader could use here' END AS text
+        FROM orders o """,
+    ),
+    "plan_marks": (
+        ["lineitem"],
+        """
+        SELECT CAST(FLOOR(l_orderkey / 4) AS BIGINT) AS plan_id, CAST(l_orderkey % 4 + 1 AS BIGINT) AS page_no,
+          CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS mark_id,
+          CASE WHEN l_partkey % 5 = 0 THEN 'ACT-' || CAST(l_linenumber AS STRING) || chr(10) || 'Area: 1,' || CAST(100 + l_partkey % 800 AS STRING) || '.25 sq ft' WHEN l_partkey % 5 = 1 THEN 'AWP-2 Length: ' || CAST(l_linenumber * 10 AS STRING) || '.5 LF'
+               WHEN l_partkey % 5 = 2 THEN 'Area ' || CAST(l_linenumber * 100 AS STRING) || ' SF' ELSE NULL END AS content,
+          CASE WHEN l_partkey % 5 = 3 THEN 'check this' ELSE NULL END AS subject, 'reviewer' AS title,
+          CASE WHEN l_suppkey % 6 = 0 THEN '#ff0000' WHEN l_suppkey % 6 = 1 THEN '#0000ff' WHEN l_suppkey % 6 = 2 THEN '#00ff00' WHEN l_suppkey % 6 = 3 THEN '#ffa500' WHEN l_suppkey % 6 = 4 THEN '#ffff00' ELSE 'red' END AS colour
+        FROM lineitem l WHERE l_orderkey % 3 = 0""",
+    ),
+    "suggestions": (
+        ["lineitem"],
+        """
+        SELECT l_orderkey AS plan_id, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 10000 + l_suppkey AS seq,
+          CASE WHEN l_partkey % 4 = 0 THEN 'ACT' WHEN l_partkey % 4 = 1 THEN 'AWP' WHEN l_partkey % 4 = 2 THEN 'FW' ELSE 'Baffles' END AS scope_type,
+          CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 4 = 0 THEN 'ACT-' || CAST(l_linenumber % 3 + 1 AS STRING) WHEN l_suppkey % 3 = 0 AND l_partkey % 4 = 1 THEN 'AWP-' || CAST(l_linenumber % 2 + 1 AS STRING) ELSE NULL END AS scope_tag,
+          CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_quantity * 10 END AS area_sf, CASE WHEN l_linenumber % 3 = 0 THEN CAST(0.95 AS DOUBLE) WHEN l_linenumber % 3 = 1 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence,
+          CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'part ' || CAST(l_partkey AS STRING) END AS product_hint, 'room ' || CAST(l_suppkey % 5 AS STRING) AS room
+        FROM lineitem l """,
+    ),
 }
 
 
