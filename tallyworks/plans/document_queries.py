@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, text
-from ..operators import quotes
+from ..operators import plan_pages, quotes
 from .registry import add, quoted
 
 
@@ -84,3 +84,30 @@ add("f3_vendor_date", ["raw_fields"], lambda r: r.select("row_id", text.document
 _R = lambda p: f"regexp_matches(path, {quoted(p)})"
 _PATH = _chain([(_R(r"(^|/)~\$"), "NULL"), (f"NOT {_R(text.ARCHIVED)} AND {_R('(?i)[.]xlsx$')} AND NOT {_R(text.NOT_BUILD_UP)}", "'build_up'"), (_R(text.OWN_QUOTE), "'own_quote'"), (f"NOT {_R(text.ARCHIVED)} AND {_R(text.VENDOR_FILE)}", "'vendor_quote'"), (f"{_R(text.DRAWING_FILE)} AND NOT {_R(text.NOT_DRAWING)}", "'drawing'")])
 add("s8_path_kinds", ["raw_fields"], lambda r: r.groupBy(text.path_kind(F.col("path")).alias("kind")).agg(F.count("*").alias("n")), f"SELECT {_PATH} AS kind, count(*) AS n FROM raw_fields GROUP BY 1")
+
+# --- plans ---
+_T = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+_PAGE = _chain([("page_no = 1", "'cover'")] + [("(" + " OR ".join(f"contains(upper(text), '{w}')" for w in ws) + ")", f"'{k}'") for k, ws in plan_pages.PAGE_KINDS.items()], "'unknown'")
+add("x7_page_kinds", ["plan_pages"], plan_pages.classified, f"SELECT plan_id, page_no, {_PAGE} AS kind, length({_T}) > 50 AS rich, CAST(CASE WHEN {_T} = '' THEN 0 ELSE len(regexp_split_to_array({_T}, '\\s+')) END AS INT) AS words, regexp_matches({_T}, {quoted(plan_pages.DIMENSION)}) AS dimensions FROM plan_pages")
+_MARKS = f"(SELECT *, CASE WHEN area_sf <> 0 THEN 'polygon' WHEN length_lf <> 0 THEN 'measurement' ELSE 'text' END AS kind FROM (SELECT plan_id, page_no, mark_id, colour, coalesce(nullif(content, ''), nullif(subject, ''), title, '')[1:200] AS label, {_amount(_group('content', plan_pages.AREA))} AS area_sf, {_amount(_group('content', plan_pages.LENGTH))} AS length_lf FROM plan_marks))"
+add("x8_parsed_marks", ["plan_marks"], plan_pages.parsed_marks, f"SELECT * FROM {_MARKS}")
+_FEET = lambda c: f"CASE WHEN {c} LIKE '%\"' THEN CAST(split_part({c}, chr(39), 1) AS DOUBLE) + CAST(regexp_extract({c}, '([0-9.]+)\"$', 1) AS DOUBLE) / 12 ELSE CAST(replace({c}, chr(39), '') AS DOUBLE) END"
+_LABELS = f"(SELECT plan_id, sum(a) AS l, count(*) AS n FROM (SELECT DISTINCT plan_id, a FROM (SELECT plan_id, TRY_CAST(replace(unnest(regexp_extract_all(text, {quoted(plan_pages.AREA_LABEL)}, 1)), ',', '') AS DECIMAL(18,4)) AS a FROM plan_pages) WHERE a BETWEEN 10 AND 500000) GROUP BY 1)"
+_SIDES = f"(SELECT plan_id, sum(round(CAST(a * b AS DECIMAL(18,4)), 2)) AS s FROM (SELECT plan_id, {_FEET('trim(x)')} AS a, {_FEET('trim(y)')} AS b FROM (SELECT plan_id, unnest(regexp_extract_all(text, {quoted(plan_pages.SIDES)}, 1)) AS x, unnest(regexp_extract_all(text, {quoted(plan_pages.SIDES)}, 2)) AS y FROM plan_pages)) WHERE a BETWEEN 4 AND 500 AND b BETWEEN 4 AND 500 AND a * b >= 20 GROUP BY 1)"
+add(
+    "x12_plan_areas", ["plan_pages", "plan_marks"], plan_pages.areas,
+    "SELECT plan_id, CASE WHEN m > 0 THEN 'marks' WHEN n > 0 THEN 'labels' WHEN s > 0 THEN 'sides' ELSE 'none' END AS source, CASE WHEN m > 0 THEN m WHEN n > 0 THEN CAST(l AS DOUBLE) WHEN s > 0 THEN CAST(s AS DOUBLE) END AS area_sf, CAST(CASE WHEN m > 0 THEN 0.95 WHEN n > 1 THEN 0.7 WHEN n > 0 THEN 0.6 WHEN s > 0 THEN 0.4 ELSE 0 END AS DOUBLE) AS confidence "
+    f"FROM (SELECT plan_id FROM plan_pages UNION SELECT plan_id FROM {_MARKS} WHERE area_sf IS NOT NULL) LEFT JOIN (SELECT plan_id, CAST(sum(CAST(area_sf AS DECIMAL(18,4))) AS DOUBLE) AS m FROM {_MARKS} GROUP BY 1) USING (plan_id) LEFT JOIN {_LABELS} USING (plan_id) LEFT JOIN {_SIDES} USING (plan_id)",
+)
+_TAGGED = f"(SELECT *, CASE WHEN kind <> 'text' THEN {_group('label', plan_pages.TAG)} END AS tag FROM {_MARKS} WHERE label <> '')"
+_ALIAS = "CASE split_part(tag, '-', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in plan_pages.TYPE_ALIASES.items()) + " ELSE split_part(tag, '-', 1) END"
+_FROM_MARKS = f"(SELECT plan_id, CASE WHEN tag IS NOT NULL THEN {_ALIAS} ELSE {_COLOUR} END AS scope_type, tag, area_sf, length_lf, CAST(CASE WHEN tag IS NOT NULL THEN 0.95 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN tag IS NOT NULL THEN 'tag' ELSE 'colour' END AS source FROM {_TAGGED})"
+_IN_SECTION = "CASE regexp_replace(d, '[^0-9]', '', 'g') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in plan_pages.SECTIONS.items()) + " END"
+_SAID = f"(SELECT DISTINCT plan_id, {_IN_SECTION} AS scope_type, CAST(0.65 AS DOUBLE) AS confidence, 'section' AS source FROM (SELECT plan_id, unnest(regexp_extract_all(text, {quoted(plan_pages.SECTION)}, 1)) AS d FROM plan_pages)" + "".join(f" UNION ALL SELECT DISTINCT plan_id, '{k}', CAST(0.5 AS DOUBLE), 'keyword' FROM plan_pages WHERE regexp_matches(text, {quoted(p)})" for k, p in plan_pages.KEYWORDS.items()) + ")"
+add("x13_suggested_scopes", ["plan_pages", "plan_marks"], plan_pages.suggested, f"SELECT * FROM {_FROM_MARKS} WHERE scope_type IS NOT NULL UNION ALL SELECT plan_id, scope_type, NULL, NULL, NULL, confidence, source FROM {_SAID} WHERE scope_type IS NOT NULL")
+_NUMBERED = "(SELECT *, coalesce(scope_tag, scope_type || '-' || CAST(top + k AS VARCHAR)) AS tag FROM (SELECT *, coalesce(max(CAST(split_part(scope_tag, '-', 2) AS INT)) OVER (PARTITION BY plan_id, scope_type), 0) AS top, row_number() OVER (PARTITION BY plan_id, scope_type, scope_tag IS NULL ORDER BY seq) AS k FROM suggestions))"
+add(
+    "x14_merged_suggestions", ["suggestions"], plan_pages.merged,
+    f"SELECT a.plan_id, a.tag, scope_type, confidence, area_sf, product, rooms FROM (SELECT plan_id, tag, min_by(scope_type, seq) AS scope_type, max(confidence) AS confidence, sum(area_sf) AS area_sf, min_by(product_hint, seq) FILTER (product_hint IS NOT NULL) AS product FROM {_NUMBERED} GROUP BY 1, 2) a JOIN (SELECT plan_id, tag, string_agg(room, '|' ORDER BY seen) AS rooms FROM (SELECT plan_id, tag, room, min(seq) AS seen FROM {_NUMBERED} GROUP BY 1, 2, 3) GROUP BY 1, 2) b ON a.plan_id = b.plan_id AND a.tag = b.tag",
+)
+add("x15_plan_confidence", ["plan_pages", "plan_marks"], plan_pages.plan_confidence, f"SELECT plan_id, CAST(CASE WHEN bool_or(m) THEN 1 WHEN bool_or(r) THEN 0.6 ELSE 0.3 END AS DOUBLE) AS confidence FROM (SELECT plan_id, false AS m, length(trim(text)) > 50 AS r FROM plan_pages UNION ALL SELECT plan_id, kind = 'polygon', false FROM {_MARKS}) GROUP BY 1")
