@@ -61,3 +61,14 @@ def match(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
     rest = own.join(exact.select("name"), "name", "left_anti").mapInPandas(best, "name string, canonical string, score double")
     return exact.unionByName(rest)
+
+
+def linked(names: DataFrame, aliases: DataFrame, least: float = LEAST / 100) -> DataFrame:
+    """Each distinct name with the product that its first or else second part matches, or the reason for a review: no match, or below the threshold."""
+    parts = segments(names.distinct())
+    found = match(parts.select(F.col("primary").alias("name")).union(parts.select("secondary")).filter("name is not null"), aliases)
+    for part in ("primary", "secondary"):
+        parts = parts.join(found.select(F.col("name").alias(part), F.col("canonical").alias(f"{part}_to"), F.col("score").alias(f"{part}_score")), part, "left")
+    product = F.when(F.col("primary_score") >= least, F.col("primary_to")).when(F.col("secondary_score") >= least, F.col("secondary_to"))
+    none = F.col("primary_score").isNull() & F.col("secondary_score").isNull()
+    return parts.select("name", product.alias("product"), F.when(product.isNull(), F.when(none, "no match").otherwise("below threshold")).alias("review"))

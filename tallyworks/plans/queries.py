@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse, rates
-from ..operators import checks, edits, estimates, models, prices, products, reports
+from ..operators import checks, edits, estimates, links, models, prices, products, reports
 from . import document_queries, link_queries  # noqa: F401  (they register their own)
 from .registry import FOUND, Query, add as _add
 
@@ -112,6 +112,7 @@ _add("q1_scope_issues", ["scopes"], checks.scope_issues, f"SELECT * FROM {_ISSUE
 _add("q2_project_validation", ["projects", "scopes"], checks.project_validation, f"SELECT project_id, scopes, errors, warnings, errors = 0 AS valid, round(greatest(0, 1 - errors * CAST(0.2 AS DOUBLE) - warnings * CAST(0.05 AS DOUBLE)), 4) AS confidence FROM {_VALID}")
 _add("q3_batch_report", ["projects", "scopes"], checks.batch_report, f"SELECT count(*) AS projects, count(*) FILTER (errors = 0) AS valid, count(*) FILTER (errors > 0) AS with_errors, count(*) FILTER (errors = 0 AND warnings > 0) AS warning_only, CAST(sum(scopes) AS BIGINT) AS scopes FROM {_VALID}")
 _add("w9_top_issues", ["scopes"], checks.top_issues, f"SELECT field, issue_type, count(*) AS n FROM {_ISSUES} GROUP BY 1, 2 ORDER BY n DESC, field, issue_type LIMIT 10")
+_add("a8_issue_tally", ["projects", "scopes"], lambda p, s: links.issue_tally(p, checks.scope_issues(s)), f"SELECT CASE WHEN e > 0 THEN 'error' WHEN n > 0 THEN 'warning' ELSE 'none' END AS worst, count(*) AS projects, CAST(sum(coalesce(n, 0)) AS BIGINT) AS issues FROM projects LEFT JOIN (SELECT project_id, count(*) AS n, count(*) FILTER (severity = 'error') AS e FROM {_ISSUES} GROUP BY 1) USING (project_id) GROUP BY 1")
 _FIELDS = ["square_footage", "cost_per_unit", "markup_pct", "man_days", "daily_labor_rate", "product_name"]
 _add("a5_field_population", ["scopes"], lambda s: checks.field_population(s, _FIELDS), " UNION ALL ".join(f"SELECT '{f}' AS field, count({f}) AS filled, count(*) - count({f}) AS missing, round(count({f}) * 100.0 / count(*), 1) AS pct FROM scopes" for f in _FIELDS))
 
@@ -152,6 +153,11 @@ _add("z8_build_up", ["scopes"], estimates.build_up, f"SELECT project_id, line, C
 _BASE = "(material_cost * (1 + coalesce(markup_pct, 0)))"
 _add("z9_universal_price", ["scopes"], estimates.universal_price, "SELECT project_id, " + ", ".join(f"CAST(round(sum(CAST({_BASE} + labor_price + {t} AS DECIMAL(20,8))), 2) AS DOUBLE) AS price_{n}" for n, t in (("flat", f"{_BASE} * CAST(0.06 AS DOUBLE)"), ("high", f"{_BASE} * CAST(0.075 AS DOUBLE)"), ("none", "0"), ("county", f"{_BASE} * CAST(0.06 AS DOUBLE) + least({_BASE} * CAST(0.015 AS DOUBLE), 5000)"))) + " FROM scopes GROUP BY 1")
 _add("z11_variance", ["estimates"], estimates.variance, "SELECT estimate_id, status, round((actual_total_cost - total_estimate) * 100 / nullif(actual_total_cost, 0), 2) AS variance_pct FROM estimates")
+_add(
+    "z6_estimates_merged", ["scopes", "projects"], lambda s, p: links.estimates_merged(_PLAN(s), p.selectExpr("project_id AS plan_id", "CAST(floor(project_id / 4) AS BIGINT) AS project_id")),
+    f"SELECT CAST(floor(plan_id / 4) AS BIGINT) AS project_id, CAST(round(sum(total), 2) AS DOUBLE) AS total, round(max(confidence), 4) AS confidence, string_agg(CAST(plan_id AS VARCHAR), ',' ORDER BY plan_id) AS plans FROM (SELECT plan_id, sum(CAST({_TOTAL} AS DECIMAL(20,8))) AS total, max(confidence) AS confidence FROM {_PRICE} GROUP BY 1) GROUP BY 1",
+)
+_add("z10_batch_summary", ["scopes"], lambda s: links.batch_summary(_PLAN(s)), f"SELECT plans, scopes, unsure, priced, total, confidence FROM (SELECT count(DISTINCT project_id) AS plans, count(*) AS scopes, count(*) FILTER (man_days / CAST(13.7 AS DOUBLE) < 0.3) AS unsure FROM scopes), (SELECT count(*) AS priced, CAST(round(sum(CAST({_TOTAL} AS DECIMAL(20,8))), 2) AS DOUBLE) AS total, round(avg(confidence), 4) AS confidence FROM {_PRICE})")
 
 
 # --- corrections and roll-ups ---
@@ -170,6 +176,7 @@ _KEEP = " OR ".join(f"(scope_type = '{k}' AND t BETWEEN {a} AND {3 * b})" for k,
 _add("h3_training_rows", ["scopes"], lambda s: edits.training_rows(s, prices.BOUNDS), f"SELECT scope_type, count(*) AS n, round(avg(t), 4) AS mean FROM (SELECT scope_type, total / square_footage AS t FROM scopes WHERE square_footage > 0) WHERE t > 0 AND ({_KEEP}) GROUP BY 1")
 _TYPO = lambda: F.when(F.col("part_id") % 3 == 0, F.upper("product")).when(F.col("part_id") % 3 == 1, F.concat(F.col("product"), F.lit("x"))).otherwise(F.reverse("product"))
 _add("n1_product_names", ["quote_items"], lambda q: products.match(q.select(_TYPO().alias("name")), q.groupBy("product").agg(F.min("part_id").alias("position")).select(F.col("product").alias("alias"), F.col("product").alias("canonical"), "position")), None)
+_add("n4_linked_products", ["quote_items"], lambda q: products.linked(q.select(_TYPO().alias("name")), q.groupBy("product").agg(F.min("part_id").alias("position")).select(F.col("product").alias("alias"), F.col("product").alias("canonical"), "position")), None)
 
 
 # --- models ---

@@ -16,7 +16,7 @@ def add(name: str, tables: list[str], run: Callable[..., DataFrame], sql: str |
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run(*[domain(spark, sf_dir, t) for t in tables])
 
-    FOUND[name] = (query, oracle(sql, *tables) if sql else None)
+    FOUND[name] = (query, oracle(f"SELECT * FROM ({sql})" if sql.startswith("WITH ") else sql, *tables) if sql else None)
 
 
 def quoted(text: str) -> str:
