@@ -144,7 +144,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
     "suggestions": (
         ["lineitem"],
         """
-        SELECT l_orderkey AS plan_id, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 10000 + l_suppkey AS seq,
+        SELECT l_orderkey AS plan_id, CAST(l_linenumber AS BIGINT) * 100000000000000 + l_partkey * 100000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS seq,
           CASE WHEN l_partkey % 4 = 0 THEN 'ACT' WHEN l_partkey % 4 = 1 THEN 'AWP' WHEN l_partkey % 4 = 2 THEN 'FW' ELSE 'Baffles' END AS scope_type,
           CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 4 = 0 THEN 'ACT-' || CAST(l_linenumber % 3 + 1 AS STRING) WHEN l_suppkey % 3 = 0 AND l_partkey % 4 = 1 THEN 'AWP-' || CAST(l_linenumber % 2 + 1 AS STRING) ELSE NULL END AS scope_tag,
           CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_quantity * 10 END AS area_sf, CASE WHEN l_linenumber % 3 = 0 THEN CAST(0.95 AS DOUBLE) WHEN l_linenumber % 3 = 1 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence,
