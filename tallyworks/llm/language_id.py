@@ -73,10 +73,9 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Weights (bias last) of a linear SVM with squared hinge loss, by dual coordinate descent; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of a linear SVM with squared hinge loss, by dual coordinate descent; y is +1 or -1, the last column of x is the bias."""
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    diag, square = 1 / (2 * cost * weight), (x * x).sum(axis=1)
+    diag, square = 1 / (2 * cost * weight), np.einsum("ij,ij->i", x, x)
     w, alpha, rng = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), np.random.default_rng(0)
     for _ in range(rounds):
         moved = 0.0
@@ -163,8 +162,12 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
     got = rows.filter(chosen).select(letters().alias("l"), "lang").mapInArrow(pack, "lang string, x binary").orderBy("lang", F.xxhash64("x")).limit(sample + sample // 4).toPandas()
     if not len(got):
         return None
-    x = np.stack([np.frombuffer(bytes(v), np.float16) for v in got["x"]]).astype(np.float32)
-    return Model(x, got["lang"].to_numpy())
+    # One array, filled row by row, with the bias in its last column: the driver holds no second copy while it fits.
+    x, lang = np.ones((len(got), BUCKETS + 1), np.float32), got["lang"].to_numpy()
+    for i, packed in enumerate(got.pop("x")):
+        x[i, :-1] = np.frombuffer(packed, np.float16)
+    del got
+    return Model(x, lang)
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
