@@ -140,6 +140,21 @@ def test_html_cases(spark):
     assert html_text.op9(df.limit(0)).count() == 0
 
 
+def test_html_loses_only_boilerplate_of_a_host(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    saying = "as the people of this town say every day"  # a phrase that bodies share, on one page of two
+    footer = " ".join(f"foot{k}" for k in range(30))
+    menu = "<div>Home</div><div>About us</div><div>All our news</div><div>Shop</div>"
+    bodies = [" ".join([*rng.choices(words, k=60), *([saying] if k % 2 else []), *rng.choices(words, k=60)]) for k in range(60)]
+    bodies += [bodies[0]] * 40  # copies of one page
+    rows = [(k, f"http://c.com/{k}", f"{menu}<p>{body}</p><p>By {body[:5]} {footer}</p>") for k, body in enumerate(bodies)]
+    rows += [(200 + k, f"http://d.com/{k}", f"<p>{bodies[1]}</p><div class='ad'>{k}</div>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_text.op9(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(100)] == [f"{body}\nBy {body[:5]}" for body in bodies]
+    assert {got[200 + k] for k in range(20)} == {bodies[1]}
+
+
 def fill(sizes, weights):
     """Targets by sharing the excess again and again."""
     total, goal, full = sum(sizes), [0.0] * len(sizes), [False] * len(sizes)
