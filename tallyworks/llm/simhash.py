@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import written
 
 #: Bits in which linked fingerprints may differ.
 BUDGET = 2
@@ -178,6 +178,8 @@ def _stars(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
 
 def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) that join each component."""
+    if budget > BUDGET:
+        raise ValueError(f"fingerprints that differ in {budget} bits need not have two equal quarters; {BUDGET} at most")
     keys = split_hot(trie_keys(fps), budget, hot)
     dealt = keys.repartition("trie", "node").sortWithinPartitions("trie", "node", "rest")
     return dealt.mapInArrow(lambda it: _stars(it, budget), "a long, b long").distinct()
@@ -215,10 +217,3 @@ def simhash_components(docs: DataFrame, words: int = WORDS, budget: int = BUDGET
 def op8(docs: DataFrame) -> DataFrame:
     out = simhash_components(docs)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the smallest doc_id (all its rows; rows without doc_id stay)."""
-    out = simhash_components(docs)
-    gone = written(out.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return without(docs, gone)

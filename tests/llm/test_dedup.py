@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tallyworks.llm import exact_dedup, simhash
+from tallyworks.llm.near_copies import near_components
 
 SCHEMA = "doc_id long, text string, keep_id string, digest string"
 
@@ -116,3 +117,52 @@ def test_trie_join_against_all_pairs():
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+
+
+def similarity(a, b):
+    one, two = (set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_pipeline_drops_all_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for k in range(80):
+        own = [word() for _ in range(rng.randint(120, 400))]
+        for copy in range(3):  # the third has changes of its own in the second's text
+            rows.append((10 * k + copy, " ".join(own)))
+            for _ in range(len(own) // 60):
+                own[rng.randrange(len(own))] = word()
+        rows.append((10 * k + 5, " ".join([*own[: len(own) // 2], *(word() for _ in range(len(own) // 2))])))
+    text = dict(rows)
+    want = set()
+    for k in range(80):
+        own = [10 * k + c for c in (0, 1, 2, 5)]
+        low = {i: i for i in own}
+        for a in own:
+            for b in own:
+                if similarity(text[a], text[b]) >= 0.8:
+                    low = {i: min(low[a], low[b]) if r in (low[a], low[b]) else r for i, r in low.items()}
+        want |= set(low.values())
+    step = next(f for n, f in corpus_pipeline.STAGES if "near" in n)
+    out = step(spark, frame(spark, [*rows, (2000, None), (2001, " "), (None, "n")]), None)
+    assert len(want) < 200
+    assert {r["doc_id"] for r in out.collect()} == {*want, 2000, None}
+
+
+def test_bands_links_that_only_others_than_the_smallest_have(spark):
+    rng = random.Random(5)
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(300)]]
+    for k in range(12):  # a chain: neighbours are similar, ends are not
+        own.append([f"x{k}_{i}" if 24 * k <= i < 24 * k + 24 else w for i, w in enumerate(own[-1])])
+    assert similarity(" ".join(own[0]), " ".join(own[2])) < 0.8 < similarity(" ".join(own[0]), " ".join(own[1]))
+    got = near_components(frame(spark, [(k, " ".join(w)) for k, w in enumerate(own)])).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_budget_that_keys_cannot_reach_is_refused(spark):
+    with pytest.raises(ValueError, match="bits"):
+        simhash.links(spark.createDataFrame([(1,), (2,)], "fp long"), budget=3)
