@@ -44,8 +44,8 @@ LOOSE = {
 }
 #: What a text must contain, cheap to see, before the expressions of a kind are tried.
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
-#: Distinct trusted instances that a pattern needs, the share of its instances they must be, and rounds.
-SEEDS, CONFIDENCE, ROUNDS = 3, 0.8, 3
+#: Distinct trusted instances that a pattern needs, the share of its instances they must be.
+SEEDS, CONFIDENCE = 3, 0.8
 #: Code points before an entity from which its pattern is read.
 REACH = 48
 
@@ -131,7 +131,7 @@ def bootstrap(found: DataFrame) -> DataFrame:
     edges = written(own("base", 1).unionByName(own("loose", 0)).groupBy("kind", "pattern", "v").agg(F.max("seed").alias("seed")), "edges")
     seeds = edges.groupBy("kind", "v").agg(F.max("seed").alias("seed")).filter("seed = 1").select("kind", "v")
     trusted = written(seeds, "trusted")
-    for _ in range(ROUNDS):
+    while True:  # trusted only grows, so it ends
         known = edges.join(trusted.withColumn("on", F.lit(1)), ["kind", "v"], "left").withColumn("on", F.coalesce("on", F.lit(0)))
         score = known.groupBy("kind", "pattern").agg(F.sum("on").alias("n"), F.avg("on").alias("share")).filter((F.col("n") >= SEEDS) & (F.col("share") >= CONFIDENCE)).select("kind", "pattern")
         fresh = edges.join(score, ["kind", "pattern"], "left_semi").select("kind", "v").distinct().join(trusted, ["kind", "v"], "left_anti")

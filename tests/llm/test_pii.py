@@ -68,3 +68,12 @@ def test_whole_table_against_plain_patterns(spark, table):
     texts = {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
     for r in pii.op3(df).collect():
         assert r["base_sha256"] == hashlib.sha256(listed(base(texts[r["doc_id"]])).encode()).hexdigest()
+
+
+def test_bootstrap_goes_on_until_nothing_is_fresh(spark):
+    levels, width = 7, 4
+    patterns = {(k, j): [f"p{k}.{j}"] * (k > 0) + [f"p{k + 1}.{i}" for i in range(width)] for k in range(levels) for j in range(width)}
+    rows = [([(0, f"v{k}.{j}", ps)] * (k == 0), [(0, f"v{k}.{j}", ps)] * (k > 0)) for (k, j), ps in patterns.items()]
+    item = "array<struct<kind:int,v:string,patterns:array<string>>>"
+    got = pii.bootstrap(spark.createDataFrame(rows, f"base {item}, loose {item}"))
+    assert {r["v"] for r in got.collect()} == {f"v{k}.{j}" for k in range(1, levels) for j in range(width)}
