@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import compare
 import pytest
 
@@ -23,3 +28,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_without_the_training_data_folders(tmp_path):
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(top, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; names = set(e.queries()); assert len(names) > 90 and set(e.oracle_sql()) <= names; assert not any(n.startswith('op') or n == 'pipeline' for n in names)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, check=True)
