@@ -46,6 +46,13 @@ BROADCAST_IDS = 1_000_000
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` isn't in ``ids`` (a written table); null ids stay."""
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` whose ``doc_id`` isn't in ``ids`` (a written table of that column); null ids stay, and all columns."""
+    own = ids.select(F.col("doc_id").alias(free_name(docs)))
+    small = own.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(own) if small else own, F.col("doc_id") == own[own.columns[0]], "left_anti")
+
+
+def free_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` hasn't got, however names are compared."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (f"own_{k}" for k in range(len(taken) + 1)) if n not in taken)

@@ -10,8 +10,8 @@ by a join on the text.
 
 Defined cases: null text counts as empty; empty texts are copies of one another; null ``doc_id`` is
 never the smallest unless a group has no other; repeated rows of one ``doc_id`` share the outcome
-(``kept`` on each; the pipeline stage keeps one); an empty table gives an empty result.  Other columns
-of the input are ignored.
+(``kept`` on each; the pipeline stage keeps one); an empty table gives an empty result.  Other columns,
+whatever their names, are ignored by the query and come through the stage as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, without, written
+from .common import BLANK, free_name, without, written
 
 #: Digests a bucket of the filters, about.
 BUCKET_DIGESTS = 50_000
@@ -194,6 +194,8 @@ def stage(docs: DataFrame) -> DataFrame:
     if ids.filter("n > 1 and kept").isEmpty():
         return out
     several = ids.filter("n > 1 and kept").select("doc_id")
-    again = docs.join(several, "doc_id", "left_semi").withColumn("digest_", F.unhex(F.sha2(normalised().cast("binary"), 256)))
-    live = fate.filter("kept").select("doc_id", F.col("digest").alias("digest_")).distinct()
-    return out.unionByName(again.join(live, ["doc_id", "digest_"], "left_semi").dropDuplicates(["doc_id", "digest_"]).select(*docs.columns))
+    name = free_name(docs)
+    again = docs.withColumn(name, F.unhex(F.sha2(normalised().cast("binary"), 256)))
+    live = several.join(fate.filter("kept"), "doc_id").select(F.col("doc_id").alias("id_"), F.col("digest").alias("digest_")).distinct()
+    again = again.join(live, (F.col("doc_id") == live["id_"]) & (F.col(name) == live["digest_"]), "left_semi").dropDuplicates(["doc_id", name]).drop(name)
+    return out.union(again)

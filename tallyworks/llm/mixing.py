@@ -1,26 +1,32 @@
 """Mixing sources to target weights: blocks of tokens, multinomial shards, index permutations.
 
 Words of a source are packed into blocks of BLOCK words, document after document in an order dealt
-by hash.  A source's target says how many slots it gets: whole rounds over its blocks, then the
-blocks that come first in a pseudorandom permutation of their indices, the last one cut so that the
-words taken equal the rounded target.  Slots of all sources are dealt to output shards by a
-pseudorandom permutation of all slot numbers; a shard's counts by source are thus a multinomial draw
-given the totals, which keeps every run equal and every source at its target.  A slot finds its block
-by (source, block index), never by a search.
-
-Both permutations are "swap or not" shuffles: rounds of x -> K - x (mod n), taken where a hash bit of
-the pair is set; each round undoes itself, so any n has an exact permutation.
+by hash.  A source's target says how many slots it gets.  The slots are drawn from an urn that holds
+EPOCHS copies of each of its blocks: what each output shard gets is a multinomial count without
+replacement, drawn by halves (the shards are halved again and again, and a hash of the half seeds the
+count of its left side, by the normal law of that mean and variance, held to what the urn has).  A
+shard owns an equal part of a pseudorandom permutation of the source's block indices and takes as many
+slots from its part as it drew, round after round.  So the draw decides which blocks are taken, totals
+stay the source's target, and no block is taken more than EPOCHS times.  One slot a source is cut so
+that the words taken equal the rounded target; the short last block of a source is taken once for each
+whole round.  A slot finds its block by (source, block index), never by a search.
+
+The permutation is a "swap or not" shuffle: rounds of x -> K - x (mod n), taken where a hash bit of
+the pair is set, so any n has an exact permutation.
 
 Only built-in functions run here.  Prefix sums over a hot source are two-level: sums of hash buckets
-first, then inside a bucket.
+first, then inside a bucket.  Sources are numbered by ranges and filled by sums over all of them, so a
+table of very many sources is no task's.
 
 Defined cases: null or blank text has size 0 and gives nothing; a null source is a source of its own,
 last in order; repeated rows count and get their rows each; with no words all targets are 0; an empty
-table gives an empty result.
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +38,16 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 #: Words of a block.
 BLOCK = 512
-#: Slots of an output shard.
-SHARD = 8192
+#: Slots of an output shard, about.
+SHARD = 1024
 #: Sources up to which their table is broadcast; beyond it the joins shuffle.
 BROADCAST_SOURCES = 100_000
 #: Rows of a bucket of the prefix sums, about.
 BUCKET_ROWS = 500
 #: Rounds of a permutation.
 ROUNDS = 24
+#: Halvings after which the counts are dealt anew over tasks.
+DEAL = 8
 
 
 def shuffled(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
@@ -52,119 +60,162 @@ def shuffled(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), step)
 
 
+def _key(seed: int = 0) -> Column:
+    return F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed))
+
+
+def ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``place``: 0, 1, ... by source, null last.  Each range is numbered from what the ranges before it hold."""
+    by = F.col("source").asc_nulls_last()
+    dealt = written(sizes.repartitionByRange(by).sortWithinPartitions(by).withColumn("at", F.monotonically_increasing_id()), "ranges")
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    return dealt.join(F.broadcast(counts), part == F.col("part")).withColumn("place", F.col("first") + inside).select(*sizes.columns, "place")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """(source, source_size) to (source, source_size, weight, target): weighted shares of all words, none above ``epochs`` times its size.
 
-    Sources that fill first are those with the least size a weight; after k of them the level is what
-    is left over the weights that are left.  The level rises until a source isn't filled and falls after
-    it, so the greatest level is the one that holds.  One row a source.
+    The level (words a weight) rises as sources fill: what is left over by the filled ones over the
+    weights that are left, until no further source fills.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
+    rows = written(ranked(sizes).withColumn("weight", F.element_at(cycle, (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))), "ranked")
     cap = F.col("source_size") * float(epochs)
-    fill = Window.orderBy(cap / F.col("weight"), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = ranked.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    out = out.withColumn("level", F.max(F.when(cap >= F.col("level") * F.col("weight"), F.col("level"))).over(every))
-    share = F.col("level") * F.col("weight")
-    return out.select("source", "source_size", "weight", F.when(cap < share, cap).otherwise(share).alias("target"))
-
-
-def plan(sources: DataFrame, block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame:
-    """One row a source with words: blocks, whole rounds, words left, slots, and the place of its slots among all."""
+    level, last = 0.0, -1
+    while True:
+        full = cap < F.lit(level) * F.col("weight")
+        n, filled, left, total = rows.agg(F.sum(full.cast("long")), F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight"))), F.sum("source_size")).first()
+        if n is None or n == last or not left:
+            break
+        level, last = ((total or 0) - (filled or 0.0)) / left, n
+    return rows.select("source", "source_size", "weight", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
+
+
+def plan(sources: DataFrame, block: int = BLOCK, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
+    """One row a source with words: whole blocks, words of the short one, its rounds and its words beyond them, slots of whole blocks and words cut from one of them."""
     size, goal = F.col("source_size"), F.col("goal")
-    rows = sources.filter("source_size > 0").withColumn("goal", F.least(F.round("target").cast("long"), size * epochs))
-    rows = rows.withColumn("blocks", F.ceil(size / block).cast("long")).withColumn("rounds", F.floor(goal / size).cast("long"))
-    rows = rows.withColumn("left", goal - F.col("rounds") * size).withColumn("key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
-    # Where the short last block falls among the slots of the round that isn't whole.
-    tail = size - (F.col("blocks") - 1) * block
-    rows = rows.withColumn("tail_at", _inverse(F.col("blocks") - 1, F.col("blocks"), F.col("key")))
-    plain = F.ceil(F.col("left") / block).cast("long")
-    rows = rows.withColumn("part", F.when(plain <= F.col("tail_at"), plain).otherwise(F.greatest(F.col("tail_at") + 1, F.ceil((F.col("left") + block - tail) / block).cast("long"))))
-    rows = rows.withColumn("part", F.when(F.col("left") > 0, F.col("part")).otherwise(F.lit(0).cast("long")))
-    held = F.col("part") * block - F.when(F.col("tail_at") < F.col("part"), block - tail).otherwise(0)
-    rows = rows.withColumn("cut", F.when(F.col("left") > 0, held - F.col("left")).otherwise(F.lit(0).cast("long")))
-    rows = rows.withColumn("slots", F.col("rounds") * F.col("blocks") + F.col("part"))
-    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn("first_slot", F.coalesce(F.sum("slots").over(before), F.lit(0).cast("long"))).withColumn("all_slots", F.sum("slots").over(every))
-
-
-def _inverse(y: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """The x that ``shuffled`` sends to y: the same rounds backwards."""
-
-    def step(acc: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(key, r), n) - acc, n)
-        return F.when(F.xxhash64(key, r, F.greatest(acc, mirror)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(rounds), F.lit(1), F.lit(-1)), y.cast("long"), step)
+    rows = sources.filter("source_size > 0").withColumn("key", _key(seed)).withColumn("goal", F.least(F.round("target").cast("long"), size * epochs))
+    rows = rows.withColumn("blocks", F.floor(size / block).cast("long")).withColumn("rounds", F.floor(goal / size).cast("long"))
+    rows = rows.withColumn("tail", size - F.col("blocks") * block)
+    rest = goal - F.col("rounds") * F.col("tail")
+    rows = rows.withColumn("more", F.greatest(rest - F.col("blocks") * epochs * block, F.lit(0).cast("long")))
+    rows = rows.withColumn("slots", F.ceil((rest - F.col("more")) / block).cast("long"))
+    return rows.withColumn("cut", F.col("slots") * block - rest + F.col("more"))
 
 
-def shard_counts(planned: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The multinomial draw: (shard, key, n, first), n slots of each source in each shard, from the source's slot ``first`` on."""
-    chunks = planned.select("key", "slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard).cast("long"))).alias("c")).repartition("key", "c")
-    rows = chunks.select("key", "all_slots", F.explode(F.sequence(F.col("first_slot") + F.col("c") * shard, F.col("first_slot") + F.least((F.col("c") + 1) * shard, F.col("slots")) - 1)).alias("v"))
-    place = shuffled(F.col("v"), F.col("all_slots"), F.lit(-1).cast("long"))
-    counts = rows.groupBy(F.floor(place / shard).cast("long").alias("shard"), "key").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+def draw(planned: DataFrame, shards: int, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
+    """The multinomial counts: (key, blocks, group, groups, low, width, n, cut); ``n`` slots come from places low..low+width-1 of the permutation.
 
-
-def slots(planned: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row a slot: (shard, key, index, words); ``words`` is null for a whole block, else how many of its first words are taken."""
-    own = planned.select("key", "blocks", "slots", "cut", "source_size")
+    A source has a group for each shard, or for each block where those are fewer.
+    """
+    begin = planned.filter("slots > 0").select("key", "blocks", F.least(F.lit(shards).cast("long"), F.col("blocks")).alias("groups"), F.lit(0).cast("long").alias("group"), F.col("slots").alias("n"), "cut")
+    nodes = begin.withColumn("span", F.col("groups"))
+    edge = lambda g: F.floor(g * F.col("blocks") / F.col("groups")).cast("long")
+    for level in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
+        half = F.floor(F.col("span") / 2).cast("long")
+        held = (edge(F.col("group") + F.col("span")) - edge(F.col("group"))) * epochs
+        left = (edge(F.col("group") + half) - edge(F.col("group"))) * epochs
+        part = left / held
+        spread = F.sqrt(F.col("n") * part * (1 - part) * (held - F.col("n")) / F.greatest(held - 1, F.lit(1)))
+        even = lambda name: (F.pmod(F.xxhash64("key", "group", "span", F.lit(f"{name}{seed}")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        normal = F.sqrt(-2 * F.log(even("r"))) * F.cos(2 * math.pi * even("a"))
+        low, high = F.greatest(F.col("n") - (held - left), F.lit(0).cast("long")), F.least(F.col("n"), left)
+        nodes = nodes.withColumn("half", half).withColumn("a", F.least(F.greatest(F.round(F.col("n") * part + normal * spread).cast("long"), low), high))
+        first = F.struct("group", F.col("half").alias("span"), F.col("a").alias("n"), F.when(F.col("a") > 0, F.col("cut")).otherwise(F.lit(0).cast("long")).alias("cut"))
+        second = F.struct((F.col("group") + F.col("half")).alias("group"), (F.col("span") - F.col("half")).alias("span"), (F.col("n") - F.col("a")).alias("n"), F.when(F.col("a") > 0, F.lit(0).cast("long")).otherwise(F.col("cut")).alias("cut"))
+        same = F.array(F.struct("group", "span", "n", "cut"))
+        nodes = nodes.select("key", "blocks", "groups", F.explode(F.when(F.col("span") > 1, F.array(first, second)).otherwise(same)).alias("x")).select("key", "blocks", "groups", "x.*").filter("n > 0")
+        if level % DEAL == DEAL - 1:
+            nodes = nodes.repartition("key", "group")
+    return nodes.select("key", "blocks", "group", "groups", edge(F.col("group")).alias("low"), (edge(F.col("group") + 1) - edge(F.col("group"))).alias("width"), "n", "cut")
+
+
+def picks(planned: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A row a block that is taken: (key, index, group, groups, whole, part); ``whole`` times all of it, and once its first ``part`` words."""
     # A number is given, so that few small rows aren't put in one task before each becomes many.
     parts = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = drawn.join(F.broadcast(own) if own.count() <= BROADCAST_SOURCES else own, "key").repartition(parts, "key", "shard")
-    rows = rows.withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
-    rows = rows.withColumn("index", shuffled(F.pmod("j", "blocks"), F.col("blocks"), F.col("key")))
-    length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("index") * block)
-    words = F.when((F.col("j") == F.col("slots") - 1) & (F.col("cut") > 0), length - F.col("cut"))
-    return rows.select("shard", "key", "index", words.alias("words"))
+    rows = drawn.repartition(parts, "key", "group").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.least("width", "n") - 1)))
+    copies = F.floor(F.col("n") / F.col("width")).cast("long") + F.when(F.col("p") < F.col("n") % F.col("width"), 1).otherwise(0)
+    short = (F.col("cut") > 0) & (F.col("p") == (F.col("n") - 1) % F.col("width"))
+    index = shuffled(F.col("low") + F.col("p"), F.col("blocks"), F.col("key"))
+    whole = rows.select("key", index.alias("index"), "group", "groups", (copies - short.cast("long")).alias("whole"), F.when(short, block - F.col("cut")).otherwise(F.lit(0)).cast("long").alias("part"))
+    zero = F.lit(0).cast("long")
+    return whole.unionByName(planned.filter("tail > 0 and rounds + more > 0").select("key", F.col("blocks").alias("index"), zero.alias("group"), zero.alias("groups"), F.col("rounds").alias("whole"), F.col("more").alias("part")))
 
 
-def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def slots(picked: DataFrame, shards: int) -> DataFrame:
+    """A row a slot: (shard, position, key, index, words); ``words`` is null for a whole block, else how many of its first words are taken.
+
+    A group of its own shard stays in it; blocks of sources with fewer blocks than shards, and short
+    ones, are dealt by hash.  A shard's slots are in an order dealt by hash.
+    """
+    copies = F.concat(F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("whole")), lambda k: F.struct(k.alias("copy"), F.lit(None).cast("long").alias("words")))).otherwise(F.array()), F.when(F.col("part") > 0, F.array(F.struct(F.lit(0).cast("long").alias("copy"), F.col("part").alias("words")))).otherwise(F.array()))
+    rows = picked.select("key", "index", "group", "groups", F.explode(copies).alias("x")).select("key", "index", "group", "groups", "x.*")
+    own = F.when(F.col("groups") == shards, F.col("group")).otherwise(F.pmod(F.xxhash64("key", "index", "copy"), F.lit(shards)))
+    rows = rows.withColumn("shard", own).withColumn("deal", F.xxhash64("copy", "key", "index"))
+    order = Window.partitionBy("shard").orderBy("deal", "key", "index", "copy")  # about SHARD rows each
+    return rows.select("shard", (F.row_number().over(order) - 1).alias("position"), "key", "index", "words")
+
+
+class Mix:
+    """A corpus packed and drawn: ``rows`` (doc_id, source, size), ``sources``, ``pieces`` (documents cut at block ends) and ``picked``."""
+
+    def __init__(self, docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0):
+        self.block = block
+        rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(f"[^{BLANK}]+")), F.lit(0)).cast("long").alias("size"))
+        self.rows = written(rows, "sizes")
+        buckets = max(1, -(-self.rows.count() // BUCKET_ROWS))
+        rows = self.rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
+        sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
+        self.sources = written(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))), "sources")
+        planned = written(plan(self.sources, block, seed=seed), "plan")
+        n = planned.agg(F.sum(F.col("slots") + F.col("rounds") + (F.col("more") > 0).cast("long"))).first()[0] or 0
+        self.shards = max(1, -(-n // shard))
+        self.picked = picks(planned, draw(planned, self.shards, seed=seed), block)
+
+        ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.withColumn("start", F.coalesce(F.sum("words").over(ahead), F.lit(0).cast("long"))).select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "start")
+        inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = rows.filter("size > 0").withColumn("within", F.sum("size").over(inside) - F.col("size"))
+        placed = placed.join(starts, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_"))).select("doc_id", "source", "size", (F.col("start") + F.col("within")).alias("begin"))
+        first, last = F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("begin") + F.col("size") - 1) / block).cast("long")
+        pieces = placed.withColumn("key", _key(seed)).withColumn("index", F.explode(F.sequence(first, last)))
+        low = F.greatest(F.col("begin") - F.col("index") * block, F.lit(0))
+        high = F.least(F.col("begin") + F.col("size") - F.col("index") * block, F.lit(block))
+        self.pieces = pieces.withColumn("low", low).withColumn("high", high)
+
+    def taken(self) -> DataFrame:
+        """(doc_id, source, size, source_size, target, taken) of each row."""
+        part = F.coalesce("whole", F.lit(0)) * (F.col("high") - F.col("low")) + F.greatest(F.least("high", F.coalesce("part", F.lit(0))) - F.col("low"), F.lit(0))
+        got = self.pieces.join(self.picked.select("key", "index", "whole", "part"), ["key", "index"], "left")
+        got = got.groupBy("doc_id", "source", "size", "begin").agg(F.sum(part).alias("taken"))
+        every = got.select("doc_id", "source", "size", "taken").unionByName(self.rows.filter("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
+        named = self.sources.select(F.col("source").alias("source_"), "source_size", "target")
+        out = every.join(F.broadcast(named) if named.count() <= BROADCAST_SOURCES else named, F.col("source").eqNullSafe(F.col("source_")))
+        return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+    def blocks(self) -> DataFrame:
+        """(shard, position, doc_id, source, begin, end): what each slot holds, as word numbers in its documents, end exclusive."""
+        at = slots(self.picked, self.shards).join(self.pieces, ["key", "index"])
+        end = F.least("high", F.coalesce("words", "high"))
+        shift = F.col("index") * self.block - F.col("begin")
+        return at.filter(F.col("low") < end).select("shard", "position", "doc_id", "source", (F.col("low") + shift).alias("begin"), (end + shift).alias("end"))
+
+
+def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
     """Rows of ``docs`` (doc_id, source, text) with size, source_size, target, taken."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(f"[^{BLANK}]+")), F.lit(0)).cast("long").alias("size"))
-    rows = written(rows, "sizes")
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
-    sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
-    sources = written(plan_all(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))), block), "sources")
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("words").over(ahead), F.lit(0).cast("long"))).select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "start")
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.filter("size > 0").withColumn("within", F.sum("size").over(inside) - F.col("size"))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_"))).select("doc_id", "source", "size", (F.col("start") + F.col("within")).alias("begin"))
-    keys = sources.filter("key is not null").select(F.col("source").alias("source_"), "key")
-    placed = placed.join(F.broadcast(keys) if keys.count() <= BROADCAST_SOURCES else keys, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-
-    planned = sources.filter("key is not null")
-    drawn = slots(planned, shard_counts(planned), block)
-    taken = drawn.groupBy("key", "index").agg(F.sum(F.when(F.col("words").isNull(), 1).otherwise(0)).alias("whole"), F.max("words").alias("words"))
-    first, last = F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("begin") + F.col("size") - 1) / block).cast("long")
-    pieces = placed.withColumn("index", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("begin") - F.col("index") * block, F.lit(0))
-    high = F.least(F.col("begin") + F.col("size") - F.col("index") * block, F.lit(block))
-    part = F.coalesce("whole", F.lit(0)) * (high - low) + F.greatest(F.least(high, F.coalesce("words", F.lit(0))) - low, F.lit(0))
-    got = pieces.join(taken, ["key", "index"], "left").select("doc_id", "source", "size", "begin", part.alias("part"))
-    got = got.groupBy("doc_id", "source", "size", "begin").agg(F.sum("part").alias("taken"))
-    every = got.select("doc_id", "source", "size", "taken").unionByName(rows.filter("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
-    named = sources.select(F.col("source").alias("source_"), "source_size", "target")
-    out = every.join(F.broadcast(named) if named.count() <= BROADCAST_SOURCES else named, F.col("source").eqNullSafe(F.col("source_")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
-
-
-def plan_all(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Every source with its target; the plan's columns are null for a source without words."""
-    planned = plan(sources, block)
-    return planned.unionByName(sources.filter("source_size <= 0"), allowMissingColumns=True)
+    return Mix(docs, block, shard, seed).taken()
 
 
 def op10(docs: DataFrame) -> DataFrame:
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-stage = op10
+def stage(docs: DataFrame) -> DataFrame:
+    """The mix: (shard, position, doc_id, source, begin, end), a row for each document in each slot.
+
+    Documents without words and blocks that weren't drawn have no row; repeated rows have theirs each.
+    """
+    return Mix(docs).blocks()

@@ -190,9 +190,53 @@ def test_mixing(spark, block):
     assert [r["taken"] for r in mixing.op10(docs(spark, [(1, " ", "en", "a")])).collect()] == [0]
 
 
+def test_draw_decides_which_blocks_are_taken(spark, monkeypatch):
+    rng = random.Random(6)
+    df = docs(spark, [(k, " ".join(["w"] * rng.choice([1, 30, 90])), "en", rng.choice("abc")) for k in range(400)]).cache()
+    run = lambda seed: {r["doc_id"]: (r["source"], r["taken"]) for r in mixing.mixed(df, 8, 64, seed).collect()}
+    sums = lambda got: {s: sum(n for t, n in got.values() if t == s) for s in "abc"}
+    one, other = run(0), run(1)
+    assert sums(one) == sums(other)
+    assert one != other
+    plain = mixing.draw
+    monkeypatch.setattr(mixing, "draw", lambda planned, shards, **kw: plain(planned, 1, **kw))
+    alone = run(0)
+    assert sums(alone) == sums(one)
+    assert alone != one
+
+
+def test_draw_has_the_urns_mean_and_spread(spark):
+    planned = spark.range(400).select(F.xxhash64("id").alias("key"), F.lit(640).cast("long").alias("blocks"), F.lit(600).cast("long").alias("slots"), F.lit(3).cast("long").alias("cut"))
+    rows = mixing.draw(planned, 16).collect()
+    own = np.array([r["n"] for r in rows])
+    assert own.sum() == 400 * 600
+    assert sum(r["cut"] for r in rows) == 400 * 3
+    spread = np.sqrt(600 / 16 * 15 / 16 * (1920 - 600) / 1919)  # hypergeometric
+    assert abs(own.std() / spread - 1) < 0.05
+    full = mixing.draw(planned.withColumn("slots", F.lit(1920).cast("long")), 16).collect()
+    assert {r["n"] for r in full} == {120}
+
+
+def test_mix_stage_gives_what_was_taken(spark):
+    rng = random.Random(7)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 3, 40, 700])), "en", rng.choice(["a", "b", None])) for k in range(120)]
+    rows += [(None, "x y z", "en", "a"), (7, "x y", "en", "a"), (7, "x y", "en", "a")]
+    df = docs(spark, rows).withColumn("a.b", F.lit(1)).withColumn("key", F.lit("k")).withColumn("size", F.lit("s"))
+    mix = mixing.Mix(df, 16, 32)
+    out = mix.blocks().collect()
+    got, want = {}, {}
+    for r in out:
+        assert 0 <= r["begin"] < r["end"]
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["end"] - r["begin"]
+    for r in mix.taken().collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
+    assert got == {k: n for k, n in want.items() if n}
+    slots = {(r["shard"], r["position"]) for r in out}
+    assert {s for s, _ in slots} <= set(range(mix.shards))
+    assert mixing.stage(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 100])
-def test_permutation_and_its_inverse(spark, n):
-    size, key = F.lit(n).cast("long"), F.lit(11).cast("long")
-    rows = spark.range(n).withColumn("y", mixing.shuffled(F.col("id"), size, key)).withColumn("z", mixing._inverse(F.col("y"), size, key)).collect()
+def test_permutation(spark, n):
+    rows = spark.range(n).withColumn("y", mixing.shuffled(F.col("id"), F.lit(n).cast("long"), F.lit(11).cast("long"))).collect()
     assert sorted(r["y"] for r in rows) == list(range(n))
-    assert all(r["id"] == r["z"] for r in rows)
