@@ -85,15 +85,40 @@ def test_tiling_against_plain_method(spark):
     got = {(r["doc_id"], r["item_id"]): r["covered"] for r in decontaminate.tiled(docs(spark, [(k, " ".join(t), "en", "s") for k, t in enumerate(texts)]), bench).collect()}
     for d, t in enumerate(texts):
         for i, own in enumerate(items):
-            assert got.get((d, i), 0) == plain_tiles(t, own, decontaminate.SEED)
+            k = decontaminate.SEED
+            assert got.get((d, i), 0) == (plain_tiles(t, own, k) if len(own) >= k else len(own) * (t == own))
+
+
+def test_tiling_by_ranks_gives_the_same_tiles():
+    rng = random.Random(4)
+    for n in range(200):
+        doc, item = ([rng.choice("ab" if n % 2 else "abcd") for _ in range(rng.randint(6, 60))] for _ in range(2))
+        grams = decontaminate._places([w.encode() for w in doc], range(len(doc) - 4), 5)
+        own = decontaminate._places([w.encode() for w in item], range(len(item) - 4), 5)
+        hits = [(grams[g], own[g]) for g in grams if g in own]
+        if not hits:
+            continue
+        doc_ids, item_ids = np.full(len(doc), -1), np.full(len(item), -1)
+        for k, (a, b) in enumerate(hits):
+            doc_ids[a] = item_ids[b] = k
+        tiles, covered = decontaminate._by_ranks(doc_ids, item_ids, 5)
+        assert (tiles, covered) == decontaminate._laid_out([x for a, b in hits for x in a for _ in b], [y for a, b in hits for _ in a for y in b], 5)
+        assert covered == plain_tiles(doc, item, 5)
+
+
+def test_text_of_one_word_against_an_item_of_the_same(spark):
+    bench = spark.createDataFrame([(1, "so " * 4000), (2, "so so la " * 500)], "item_id long, text string")
+    got = {r["item_id"]: r["covered"] for r in decontaminate.tiled(docs(spark, [(1, "so " * 20_000, "en", "s"), (2, "and so on", "en", "s")]), bench).collect()}
+    assert got == {1: 4000}
 
 
 def test_reordered_passage_is_caught_and_clean_text_stays(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
     rows = [(1, "x " + "Nine, ten eleven TWELVE thirteen fourteen fifteen. y z one two three four five six seven", "en", "s"), (2, "one two three four and nothing else", "en", "s"), (3, None, "en", "s"), (4, item, "en", "s"), (4, item, "en", "s"), (None, item, "en", "s")]
+    rows += [(5, "Too short!", "en", "s"), (8, "this is too short", "en", "s")]
     bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (7, item)], "item_id long, text string")
-    assert sorted(r["doc_id"] or 0 for r in decontaminate.op6(docs(spark, rows), bench).collect()) == [0, 1, 4]
-    assert sorted(r["doc_id"] or 0 for r in decontaminate.stage(docs(spark, rows), bench).collect()) == [0, 2, 3]
+    assert sorted(r["doc_id"] or 0 for r in decontaminate.op6(docs(spark, rows), bench).collect()) == [0, 1, 4, 5]
+    assert sorted(r["doc_id"] or 0 for r in decontaminate.stage(docs(spark, rows), bench).collect()) == [0, 2, 3, 8]
     assert decontaminate.op6(docs(spark, rows), bench.limit(0)).count() == 0
     assert decontaminate.op6(docs(spark, []), bench).count() == 0
 
@@ -102,6 +127,7 @@ def test_without_broadcast_seeds_give_the_same(spark, monkeypatch):
     df, bench = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.tiled(df, bench).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontaminate, "BUCKET_DIGESTS", 300)
     assert sorted(map(tuple, decontaminate.tiled(df, bench).collect())) == want
 
 
