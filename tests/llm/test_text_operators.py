@@ -181,6 +181,55 @@ def test_html_loses_only_boilerplate_of_a_host(spark):
     assert {got[200 + k] for k in range(20)} == {bodies[1]}
 
 
+def test_repeats_against_all_substrings():
+    rng = random.Random(8)
+    for _ in range(60):
+        lines = [" ".join(rng.choices("abcdef", k=rng.choice([1, 2, 3, 6, 18, 19, 20, 21, 24, 40]))) for _ in range(5)]
+        pages = [[rng.choice(lines) if rng.random() < 0.6 else " ".join(rng.choices("abcdefxyz", k=rng.randint(1, 30))) for _ in range(rng.randint(0, 7))] for _ in range(rng.randint(1, 9))]
+        count = {}
+        for page in pages:
+            own, tokens = set(), [block.split() for block in page]
+            for block in tokens:
+                own |= {" ".join(block[i : i + html_text.LONG]) for i in range(len(block) - html_text.LONG + 1)}
+            for i in range(len(page)):
+                for j in range(i + 1, len(page) + 1):
+                    sizes = [len(b) for b in tokens[i:j]]
+                    least = sum(sizes) >= html_text.SHORT and (sum(sizes[:-1]) < html_text.SHORT or sum(sizes[1:]) < html_text.SHORT)
+                    if least and max(sizes) < html_text.LONG:
+                        own.add("\n" + "\n".join(page[i:j]) + "\n")
+            for run in own:
+                count[run] = count.get(run, 0) + 1
+        need = max(html_text.LEAST, len(pages) * html_text.SHARE)
+        assert html_text.repeats(pages) == {run for run, n in count.items() if n >= need}
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(9)
+    ids = rng.integers(0, 3, 500)
+    order, lcp = html_text.suffixes(ids)
+    whole = [ids[i:].tolist() for i in order]
+    assert all(a[:32] <= b[:32] for a, b in zip(whole, whole[1:], strict=False))
+    for a, b, n in zip(whole, whole[1:], lcp[1:].tolist(), strict=False):
+        assert min(n, 32) == min(32, next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))))
+
+
+def test_html_array_decides_inside_articles_and_over_groups(spark, monkeypatch):
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    notice = " ".join(f"note{k}" for k in range(25))
+    bodies = [" ".join(rng.choices(words, k=70)) for _ in range(40)]
+    rows = [(k, f"http://e.com/{k}", f"<article><p>{body}</p><p>{notice}</p></article>") for k, body in enumerate(bodies)]
+    passage = " ".join(rng.choices(words, k=60))
+    near = [(100 + k, f"http://f.com/{k}", f"<article><p>{passage} {bodies[k][:11]}</p></article>") for k in range(12)]
+    df = spark.createDataFrame([*rows, *near], "page_id long, url string, html string")
+    want = {k: body for k, body in enumerate(bodies)} | {100 + k: f"{passage} {bodies[k][:11]}" for k in range(12)}
+    assert {r["page_id"]: r["text"] for r in html_text.op9(df).collect()} == want
+    monkeypatch.setattr(html_text, "GROUP", 5_000)
+    assert {r["page_id"]: r["text"] for r in html_text.op9(df).collect()} == want
+    monkeypatch.setattr(html_text, "repeats", lambda pages: set())
+    assert {r["page_id"]: r["text"] for r in html_text.op9(df).collect()} != want
+
+
 def fill(sizes, weights):
     """Targets by sharing the excess again and again."""
     total, goal, full = sum(sizes), [0.0] * len(sizes), [False] * len(sizes)
