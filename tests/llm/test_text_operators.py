@@ -51,7 +51,59 @@ def test_toxicity_defined_cases(spark):
     assert got[91] == got[90] < got[92]
     assert toxicity.op5(docs(spark, []), labels).count() == 0
     assert toxicity.op5(docs(spark, rows), labels.filter("doc_id < 0")).filter("predicted = 1").count() == 0
-    assert toxicity.flagged(docs(spark, rows), labels).count() == 83
+
+
+def test_toxicity_gradients_and_pooling_by_brute_force():
+    rng = np.random.default_rng(3)
+    net = toxicity.Cnn(1)
+    net.p = {k: (v.astype(np.float64) * (20 if k == "E" else 1)) for k, v in net.p.items()}
+    words = toxicity.Words()
+    texts = [words.ids(" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 9)))) for _ in range(6)]
+    buckets, y, weight = words.buckets(), np.array([0, 1, 0, 1, 1, 0.0]), np.array([1, 2, 1, 1, 2, 1.0])
+
+    def plain(text):
+        x = [np.zeros(toxicity.DIM)] * 3 + [net.p["E"][buckets[t]].sum(axis=0) for t in text] + [np.zeros(toxicity.DIM)] * 3
+        h = []
+        for w in toxicity.WIDTHS:
+            z = [sum(x[j + i] @ net.p[f"W{w}"][i] for i in range(w)) + net.p[f"b{w}"] for j in range(len(x) - w + 1)]
+            h += np.max(z, axis=0).tolist()
+        return float(np.maximum(h, 0) @ net.p["v"] + net.p["c"][0])
+
+    def loss():
+        logit = np.array([plain(t) for t in texts])
+        return (weight * np.logaddexp(0, np.where(y == 1, -logit, logit))).mean()
+
+    assert np.allclose(net.logits(net.project(buckets), *toxicity._joined(texts)), [plain(t) for t in texts], atol=1e-4)
+    grads = net.step(buckets, texts, y, weight)
+    for k, (rows, g) in grads.items():
+        own = net.p[k] if rows is None else net.p[k][rows]
+        for _ in range(8):
+            at = tuple(rng.integers(0, n) for n in own.shape)
+            if rows is not None and rows[at[0]] == 0:
+                continue
+            place = at if rows is None else (rows[at[0]], *at[1:])
+            old, e = net.p[k][place], 1e-4
+            net.p[k][place] = old + e
+            up = loss()
+            net.p[k][place] = old - e
+            down = loss()
+            net.p[k][place] = old
+            assert abs((up - down) / (2 * e) - g[at]) < 2e-3 + 0.02 * abs(g[at]), (k, at)
+
+
+def test_toxic_words_deep_in_long_texts_are_learned(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows = []
+    for i in range(120):
+        text = rng.choices(words, k=3000)
+        if i % 2:
+            text[rng.randrange(3000)] = "grue"
+        rows.append((i, " ".join(text), "en", "s"))
+    rows += [(500 + i, " ".join([*rng.choices(words, k=50), *(["grue"] * (i % 2))]), "en", "s") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.op5(docs(spark, rows), labels).collect()}
+    assert np.mean([got[501 + 2 * i] > got[500 + 2 * j] for i in range(10) for j in range(10)]) > 0.9
 
 
 def plain_tiles(doc, item, k):
