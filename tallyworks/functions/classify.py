@@ -18,6 +18,17 @@ EDUCATION = ["school", "university", "college", "usf", "ucf", "fau", "fsu", "ele
 CHURCH = ["church", "chapel", "parish", "sanctuary", "faith", "worship", "cathedral", "temple", "mosque", "synagogue", "ministry"]
 SCOPE_TYPE_NAMES = {"act": "ACT", "awp": "AWP", "ap": "AP", "baffles": "Baffles", "baffle": "Baffles", "fw": "FW", "sm": "SM", "ww": "WW", "rpg": "RPG", "other": "Other"}
 
+COST_TYPE_NAMES = {
+    "lift_rental": ["lift_rental", "lift rental"], "travel_per_diem": ["travel_per_diem", "travel per diem", "per diem"], "travel_flights": ["travel_flights", "travel flights", "flights"],
+    "travel_hotels": ["travel_hotels", "travel hotels", "hotels"], "equipment": ["equipment"], "consumables": ["consumables"],
+    "bond": ["bond", "p&p bond", "pp bond"], "site_visit": ["site_visit", "site visit"], "punch_list": ["punch_list", "punch list", "punch"],
+    "setup_unload": ["setup_unload", "setup unload", "setup/unload"], "commission": ["commission"],
+}
+MARKUP_HEALTHCARE = ["hospital", "medical", "health", "clinic", "surgery", "dental", "care"]
+MARKUP_EDUCATION = ["school", "university", "college", "academy", "education", "learning", "elementary", "high school"]
+MARKUP_CHURCH = ["church", "chapel", "worship", "faith", "ministry", "cathedral", "synagogue", "mosque"]
+PROJECT_TYPE_INDEX = {"other": 0, "healthcare": 1, "education": 2, "commercial_office": 3, "worship": 4, "government": 5, "residential": 6}
+
 
 def contains_any(text: Column, keywords: list[str]) -> Column:
     """True if the lower-case text holds a keyword; false for null."""
@@ -49,6 +60,25 @@ def building_flags(name: Column, contractor: Column) -> dict[str, Column]:
     return {"is_healthcare": contains_any(both, HEALTHCARE), "is_education": contains_any(both, EDUCATION), "is_church": contains_any(both, CHURCH)}
 
 
+def cost_type(raw: Column) -> Column:
+    """Canonical type of an additional cost; unknown, empty and null become other."""
+    key, out = F.lower(F.trim(raw)), F.when(F.lit(False), "other")
+    for name, spellings in COST_TYPE_NAMES.items():
+        out = out.when(key.isin(spellings), name)
+    return out.otherwise("other")
+
+
+def markup_flags(name: Column, contractor: Column) -> dict[str, Column]:
+    """The markup model's own keyword sets."""
+    both = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(contractor, F.lit(""))))
+    return {"is_healthcare": contains_any(both, MARKUP_HEALTHCARE), "is_education": contains_any(both, MARKUP_EDUCATION), "is_church": contains_any(both, MARKUP_CHURCH)}
+
+
+def confidence_badge(score: Column, high: float = 0.80, medium: float = 0.50) -> Column:
+    """Level and rounded percent, such as ``high (87%)``."""
+    return F.concat(confidence_level(score, high, medium), F.format_string(" (%.0f%%)", F.bround(score.cast("decimal(12,8)") * 100, 0).cast("double")))
+
+
 def confidence_level(score: Column, high: float = 0.75, medium: float = 0.50) -> Column:
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
 

@@ -24,13 +24,15 @@ def _of(table: dict[str, float], kind: Column, default: float) -> Column:
 
 
 def price_suggestions(plan_scopes: DataFrame) -> DataFrame:
-    """(plan_id, scope_type, area_sf, confidence, ...) to priced scopes by the rules of thumb; scopes without area or of low confidence go.
+    """(plan_id, scope_type, area_sf, confidence, ...) to priced scopes; scopes without area or of low confidence go.
 
-    Tax is on the material before markup.
+    What models said (``model_cost``, ``model_markup``, ``model_days``, where there are such columns and
+    values) comes before the rules of thumb.  Tax is on the material before markup.
     """
     rows = plan_scopes.filter((F.col("area_sf") > 0) & (F.col("confidence") >= LEAST_CONFIDENCE))
     cost, markup, days = (_of(t, F.col("scope_type"), d) for t, d in zip((COST_PER_SF, MARKUP, DAYS_PER_1000_SF), DEFAULTS, strict=True))
-    rows = rows.withColumn("cost_per_sf", cost).withColumn("markup", markup).withColumn("man_days", F.col("area_sf") / 1000 * days)
+    by_model = lambda c, other: F.coalesce(c, other) if c in rows.columns else other
+    rows = rows.withColumn("cost_per_sf", by_model("model_cost", cost)).withColumn("markup", by_model("model_markup", markup)).withColumn("man_days", by_model("model_days", F.col("area_sf") / 1000 * days))
     rows = rows.withColumn("material_cost", F.col("area_sf") * (F.col("cost_per_sf") / (1 + F.col("markup")))).withColumn("labour_cost", F.col("man_days") * RATE)
     total = F.col("material_cost") * (1 + F.col("markup")) + F.col("labour_cost") + F.col("material_cost") * TAX
     return rows.withColumn("total", total)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.classify import confidence_level
 from ..functions.parse import cents, exact
 from .estimates import LEAST_CONFIDENCE, price_suggestions, scope_confidence, similarity
 
@@ -149,7 +150,7 @@ def plan_reports(plan_scopes: DataFrame) -> DataFrame:
     model = scope_confidence(F.lit(0.0), F.col("scope_type"), F.lit(1000.0)) / 0.4
     sums = plan_scopes.groupBy("plan_id").agg(F.sum(model * weight).alias("m"), F.sum(weight).alias("w"), F.max("confidence").alias("plan"), F.count_if(F.col("confidence") < 0.5).alias("low"), F.count_if(~F.upper("scope_type").isin("ACT", "AWP", "FW")).alias("general"), F.count("area_sf").alias("sized"))
     rows = sums.withColumn("score", F.col("plan") * 0.6 + F.col("m") / F.col("w") * 0.4)
-    level = F.when(F.col("score") >= 0.75, "high").when(F.col("score") >= 0.50, "medium").otherwise("low")
+    level = confidence_level(F.col("score"))
     flags = [(F.col("plan") < 0.6, "text only"), (F.col("plan") == 1.0, "marked areas"), (F.col("low") > 0, "low confidence"), (F.col("general") > 0, "general model"), (F.col("sized") == 0, "no area")]
     advice = F.when(level == "low", "mark areas").when(level == "medium", "review scopes").otherwise("ready")
     return rows.select("plan_id", F.round("score", 4).alias("score"), level.alias("level"), F.concat_ws("; ", *[F.when(t, s) for t, s in flags]).alias("flags"), advice.alias("advice"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = ["log_area", "has_rate", "rate_ratio", "scope_count", "tier", "is_healthcare", "is_education", "is_church", "markup", "type_index"]
@@ -31,20 +31,113 @@ def pipeline(kind: str = "forest", trees: int = 50, depth: int = 6) -> Pipeline:
     return Pipeline(stages=[index, VectorAssembler(inputCols=FEATURES, outputCol="vector"), model])
 
 
+def best_model(table: DataFrame, trees: int = 50, depth: int = 6) -> tuple[str, PipelineModel, DataFrame]:
+    """The kind of lower 3-fold error, forest or boosted trees, fitted on four fifths (on all below ten rows), and both errors: (kind, mape).
+
+    The held-out fifth is a hash of the key; ``holdout`` gives its rows.
+    """
+    rows = table.count()
+    if rows < LEAST_ROWS:
+        raise ValueError(f"{rows} rows are too few to learn from")
+    scores = {}
+    for kind in ("forest", "boosted"):
+        error = cross_validated(table, kind=kind, trees=trees, depth=depth, k=min(3, rows)).agg(F.avg(F.abs(F.col("predicted") - F.col("target")) / F.col("target"))).first()[0]
+        scores[kind] = float(error)
+    kind = min(scores, key=lambda k: (scores[k], k))
+    model = pipeline(kind, trees, depth).fit(table if rows < 10 else table.filter(~holdout("scope_id")))
+    return kind, model, table.sparkSession.createDataFrame(sorted(scores.items()), "kind string, mape double")
+
+
+def holdout(key: str) -> Column:
+    """A fifth of the rows, by a hash."""
+    return F.pmod(F.xxhash64(key, F.lit(42)), F.lit(5)) == 0
+
+
+def models_by_type(table: DataFrame, least: int = 10, trees: int = 50, depth: int = 6) -> dict[str, PipelineModel]:
+    """A model for each scope type of ``least`` rows or more, and one over all (``general``)."""
+    counts = {r["scope_type"]: r["n"] for r in table.groupBy("scope_type").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}  # a row a type
+    found = {kind: pipeline("forest", trees, depth).fit(table.filter(F.col("scope_type") == kind)) for kind in sorted(counts)}
+    return found | {"general": pipeline("forest", 2 * trees, depth).fit(table)}
+
+
+# Bounds of markups and man-days.
+MARKUP_RANGE, MARKUP_MARGIN, LEAST_DAYS, LEAST_LOW = (0.10, 1.00), 0.05, 0.25, 0.1
+MARKUP_FEATURES = ["type_index", "log_area", "scope_count", "is_healthcare", "is_education", "is_church", "rate_ratio", "has_cost"]
+LABOUR_FEATURES = ["type_index", "log_area", "tier", "rate_ratio", "scope_count", "has_area"]
+
+
+def _indexed(inputs: list[str], model) -> Pipeline:
+    index = StringIndexer(inputCol="scope_type", outputCol="type_index", stringOrderType="alphabetAsc", handleInvalid="keep")
+    return Pipeline(stages=[index, VectorAssembler(inputCols=inputs, outputCol="vector"), model])
+
+
+def markup_model(features: DataFrame, trees: int = 300) -> PipelineModel:
+    """Boosted trees on the markup (H4's features); squared loss, which MLlib has."""
+    model = GBTRegressor(featuresCol="vector", labelCol="markup_pct", predictionCol="predicted", seed=42, maxIter=trees, stepSize=0.05, maxDepth=4, minInstancesPerNode=5, subsamplingRate=0.8)
+    return _indexed(MARKUP_FEATURES, model).fit(features.filter("markup_pct is not null"))
+
+
+def labour_model(features: DataFrame, trees: int = 300) -> PipelineModel:
+    """A forest on the logarithm of man-days (H4's features)."""
+    model = RandomForestRegressor(featuresCol="vector", labelCol="log_days", predictionCol="predicted", seed=42, numTrees=trees, maxDepth=8, minInstancesPerNode=3, featureSubsetStrategy="sqrt")
+    return _indexed(LABOUR_FEATURES, model).fit(features.filter("man_days > 0").withColumn("log_days", F.log1p("man_days")))
+
+
+def _over_trees(model: PipelineModel, rows: DataFrame, staged: bool) -> DataFrame:
+    """``rows`` with ``mean`` and ``spread`` of the trees' predictions; ``staged``: of the later half of their weighted running sums."""
+    trees, weights = model.stages[-1].trees, model.stages[-1].treeWeights
+    rows = PipelineModel(model.stages[:-1]).transform(rows).withColumns({"run": F.lit(0.0), "s1": F.lit(0.0), "s2": F.lit(0.0)})
+    first = len(trees) // 2 if staged else 0
+    for k, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        rows = tree.copy().setPredictionCol("one").transform(rows)
+        run = F.col("run") + F.col("one") * weight if staged else F.col("one")
+        seen = run if k >= first else F.lit(0.0)
+        rows = rows.select(*[c for c in rows.columns if c not in ("one", "run", "s1", "s2")], run.alias("run"), (F.col("s1") + seen).alias("s1"), (F.col("s2") + seen * seen).alias("s2"))
+    n = len(trees) - first
+    mean = F.col("s1") / n
+    return rows.withColumn("mean", mean).withColumn("spread", F.sqrt(F.greatest(F.col("s2") / n - mean * mean, F.lit(0.0))))
+
+
+def markup_intervals(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """Predicted markups, held to their range, with an interval of 1.96 deviations of the late stages, 0.05 at least."""
+    rows = _over_trees(model, features, staged=True)
+    held = lambda v: F.greatest(F.least(v, F.lit(MARKUP_RANGE[1])), F.lit(MARKUP_RANGE[0]))
+    margin = F.greatest(F.col("spread") * 1.96, F.lit(MARKUP_MARGIN))
+    at = held(F.col("run"))
+    return rows.select("scope_id", "scope_type", "markup_pct", F.round(at, 4).alias("predicted"), F.round(held(at - margin), 4).alias("low"), F.round(held(at + margin), 4).alias("high"))
+
+
+def labour_intervals(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """Predicted man-days with an interval of 1.28 deviations: of the trees, or half those of the residuals in training, if greater."""
+    rows = _over_trees(model, features, staged=False)
+    residual = float(rows.agg(F.coalesce(F.stddev_pop(F.log1p("man_days") - F.col("mean")), F.lit(0.0))).first()[0])
+    half = F.greatest(F.col("spread"), F.lit(residual * 0.5)) * 1.28
+    days = F.greatest(F.expm1("mean"), F.lit(LEAST_DAYS))
+    low, high = F.greatest(F.expm1(F.greatest(F.col("mean") - half, F.lit(0.0))), F.lit(LEAST_LOW)), F.expm1(F.col("mean") + half)
+    per = F.when(F.col("log_area") > 0, F.round(days / (F.expm1("log_area") / 1000), 3))
+    return rows.select("scope_id", "scope_type", "man_days", F.round(days, 2).alias("predicted"), F.round(low, 2).alias("low"), F.round(high, 2).alias("high"), per.alias("days_per_1000_sf"))
+
+
+def interval_report(rows: DataFrame, actual: str, least: float = 0.0) -> DataFrame:
+    """By scope type: rows, means, error in percent (of the greater of the actual value and ``least``), and how many fall inside their interval."""
+    error = F.abs(F.col("predicted") - F.col(actual)) / F.greatest(F.col(actual), F.lit(least))
+    known = rows.filter(F.col(actual) > 0)
+    return known.groupBy("scope_type").agg(F.count("*").alias("n"), F.round(F.avg(actual), 4).alias("mean_actual"), F.round(F.avg("predicted"), 4).alias("mean_predicted"), F.round(F.avg(error) * 100, 2).alias("mape"), F.round(F.avg(F.col(actual).between(F.col("low"), F.col("high")).cast("int")) * 100, 1).alias("inside_pct"))
+
+
 def folds_of(rows: int) -> int:
     return 5 if rows >= 30 else 3 if rows >= 10 else rows
 
 
-def cross_validated(table: DataFrame, key: str = "scope_id", kind: str = "forest", trees: int = 50, depth: int = 6) -> DataFrame:
+def cross_validated(table: DataFrame, key: str = "scope_id", kind: str = "forest", trees: int = 50, depth: int = 6, k: int | None = None) -> DataFrame:
     """Each row's prediction by the model of the other folds: (key, scope_type, fold, target, predicted).
 
     Folds are a hash of the key, so they are the same in each run and on any number of machines.
     """
-    table = table.persist()  # each fold reads it several times; a lost part is made again
     rows = table.count()
     if rows < LEAST_ROWS:
         raise ValueError(f"{rows} rows are too few to learn from")
-    k = folds_of(rows)
+    k = k or folds_of(rows)
     dealt = table.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(42)), F.lit(k)))
     out: DataFrame | None = None
     for fold in range(k):

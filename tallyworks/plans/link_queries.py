@@ -11,8 +11,8 @@ _CLIENT = "CASE WHEN project_id % 12 = 0 THEN name || ' annex' WHEN project_id %
 add("j4_cross_referenced", ["projects"], lambda p: links.cross_referenced(p.selectExpr("project_id AS quote_id", f"{_CLIENT} AS client"), p), f"WITH c AS (SELECT project_id, lower(trim(coalesce({_CLIENT}, ''))) AS client FROM projects), n AS (SELECT DISTINCT lower(trim(name)) AS name FROM projects), hit AS (SELECT client FROM (SELECT DISTINCT client FROM c) d WHERE EXISTS (SELECT 1 FROM n WHERE contains(n.name, d.client) OR contains(d.client, n.name))) SELECT project_id AS quote_id FROM c WHERE client IN (SELECT client FROM hit)")
 _TERM = "split(product, ' ')[1]"
 add(
-    "j5_known_products", ["scopes", "quote_items"], lambda s, q: links.known_products(s, q.filter("length(product) % 3 = 0").selectExpr(f"{_TERM} AS term")),
-    "SELECT product_name, EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(split_part(product, ' ', 2)) AS term FROM quote_items WHERE length(product) % 3 = 0) t WHERE term <> '' AND (contains(lower(product_name), term) OR contains(term, lower(product_name)))) AS known FROM (SELECT DISTINCT product_name FROM scopes)",
+    "j5_known_products", ["scopes", "quote_items"], lambda s, q: links.known_products(s, q.selectExpr(f"CASE WHEN length(product) % 3 = 0 THEN {_TERM} ELSE product || ' of ' || unit END AS term")),
+    "SELECT product_name, EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(CASE WHEN length(product) % 3 = 0 THEN split_part(product, ' ', 2) ELSE product || ' of ' || unit END) AS term FROM quote_items) t WHERE term <> '' AND (contains(lower(product_name), term) OR contains(term, lower(product_name)))) AS known FROM (SELECT DISTINCT product_name FROM scopes)",
 )
 _HINTS = "CASE WHEN status = 'draft' THEN 'Hospital; palm' WHEN status = 'reviewed' THEN 'church;CHURCH;arena' WHEN status = 'exported' THEN 'zoo' ELSE '7;; office ' END"
 add(

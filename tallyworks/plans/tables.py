@@ -135,11 +135,11 @@ TABLES: dict[str, tuple[list[str], str]] = {
         """
         SELECT CAST(FLOOR(l_orderkey / 4) AS BIGINT) AS plan_id, CAST(l_orderkey % 4 + 1 AS BIGINT) AS page_no,
           CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS mark_id,
-          CASE WHEN l_partkey % 5 = 0 THEN 'ACT-' || CAST(l_linenumber AS STRING) || chr(10) || 'Area: 1,' || CAST(100 + l_partkey % 800 AS STRING) || '.25 sq ft' WHEN l_partkey % 5 = 1 THEN 'AWP-2 Length: ' || CAST(l_linenumber * 10 AS STRING) || '.5 LF'
+          CASE WHEN FLOOR(l_orderkey / 4) % 3 = 1 THEN NULL WHEN l_partkey % 5 = 0 THEN 'ACT-' || CAST(l_linenumber AS STRING) || chr(10) || 'Area: 1,' || CAST(100 + l_partkey % 800 AS STRING) || '.25 sq ft' WHEN l_partkey % 5 = 1 THEN 'AWP-2 Length: ' || CAST(l_linenumber * 10 AS STRING) || '.5 LF'
                WHEN l_partkey % 5 = 2 THEN 'Area ' || CAST(l_linenumber * 100 AS STRING) || ' SF' ELSE NULL END AS content,
-          CASE WHEN l_partkey % 5 = 3 THEN 'check this' ELSE NULL END AS subject, 'reviewer' AS title,
+          CASE WHEN l_partkey % 5 = 3 THEN 'check this' ELSE NULL END AS subject, CASE WHEN FLOOR(l_orderkey / 4) % 3 = 1 THEN NULL ELSE 'reviewer' END AS title,
           CASE WHEN l_suppkey % 6 = 0 THEN '#ff0000' WHEN l_suppkey % 6 = 1 THEN '#0000ff' WHEN l_suppkey % 6 = 2 THEN '#00ff00' WHEN l_suppkey % 6 = 3 THEN '#ffa500' WHEN l_suppkey % 6 = 4 THEN '#ffff00' ELSE 'red' END AS colour
-        FROM lineitem l WHERE l_orderkey % 3 = 0""",
+        FROM lineitem l """,
     ),
     "suggestions": (
         ["lineitem"],
