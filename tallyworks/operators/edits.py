@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import cents, exact, to_places
-from .estimates import RATE
+from .estimates import RATE, _slices
 
 
 def unnested(quotes: DataFrame, projects: DataFrame) -> DataFrame:
@@ -52,10 +54,11 @@ def retrain_trigger(estimates: DataFrame, since: str, least: int = 5, new: int =
 def nearest_area(scopes: DataFrame, targets: DataFrame, n: int = 3, most_targets: int = 10_000) -> DataFrame:
     """The n projects with a scope of the target's type (kind, area) whose area is nearest; ties go to the smaller project.
 
-    A type has one target; targets are broadcast, and more than ``most_targets`` are refused.
+    A type has one target; targets are broadcast, ``most_targets`` at a time.
     """
-    if targets.limit(most_targets + 1).count() > most_targets:
-        raise ValueError(f"more than {most_targets} targets: split them")
+    parts = _slices(targets, most_targets)
+    if len(parts) > 1:
+        return reduce(DataFrame.unionByName, [nearest_area(part, scopes, n, most_targets) for part in parts])
     rows = scopes.filter("square_footage > 0").join(F.broadcast(targets), F.col("scope_type") == F.col("kind"))
     near = rows.groupBy("kind", "project_id").agg(F.min(F.abs(F.col("square_footage") - F.col("area"))).alias("off"))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("off", "project_id"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import confidence_level
 from ..functions.parse import cents, exact
-from .estimates import LEAST_CONFIDENCE, price_suggestions, scope_confidence, similarity
+from .estimates import LEAST_CONFIDENCE, _slices, price_suggestions, scope_confidence, similarity
 
 #: Characters of the keys that candidates of a substring match share.
 GRAM = 3
@@ -130,11 +132,12 @@ def vendors_upserted(known: DataFrame, quotes: DataFrame) -> DataFrame:
 def comparable_scopes(targets: DataFrame, scopes: DataFrame, n: int = 5, most_targets: int = 10_000) -> DataFrame:
     """For each target (target_id, kind, area) the n scopes most like it, costs aside; ties go to the smaller id.
 
-    Targets are broadcast (``most_targets`` at most, else refused).  Only a scope's n best by target and
+    Targets are broadcast, ``most_targets`` at a time.  Only a scope's n best by target and
     hash bucket go on to the ranking of a target.
     """
-    if targets.limit(most_targets + 1).count() > most_targets:
-        raise ValueError(f"more than {most_targets} targets: split them")
+    parts = _slices(targets, most_targets)
+    if len(parts) > 1:
+        return reduce(DataFrame.unionByName, [comparable_scopes(part, scopes, n, most_targets) for part in parts])
     none = F.lit(None).cast("double")
     rows = scopes.filter("square_footage is not null").select("scope_id", "scope_type", "square_footage", F.pmod(F.xxhash64("scope_id"), F.lit(256)).alias("bucket"))
     score = F.round(similarity(F.col("kind"), F.col("area"), none, F.col("scope_type"), F.col("square_footage"), none), 6)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, rates
 from ..functions.classify import SCOPE_TYPES
+from .quantiles import medians
 
 # Fixed values.
 TREND_TYPES, TREND_YEARS = ["ACT", "AWP", "FW", "SM"], (2020, 2026)
@@ -33,15 +34,25 @@ def cost_trends(scopes: DataFrame, projects: DataFrame, bucket: str = "year") ->
 
 
 def scope_distribution(scopes: DataFrame, approx: bool = False) -> DataFrame:
-    median = (lambda c: F.percentile_approx(c, 0.5)) if approx else (lambda c: F.percentile(c, 0.5))
-    stats = [f(c).alias(f"{n}_{c}") for c in ("cost_per_unit", "markup_pct") for n, f in (("avg", lambda c: F.round(F.avg(c), 4)), ("median", lambda c: F.round(median(c), 4)), ("min", lambda c: F.round(F.min(c), 4)), ("max", lambda c: F.round(F.max(c), 4)))]
-    return scopes.groupBy("scope_type").agg(F.count("*").alias("n"), *stats)
+    """Counts, means, medians and ranges of cost and markup by type; medians are exact unless ``approx``."""
+    columns = ("cost_per_unit", "markup_pct")
+    stats = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("avg", lambda c: F.round(F.avg(c), 4)), ("min", lambda c: F.round(F.min(c), 4)), ("max", lambda c: F.round(F.max(c), 4)))]
+    if approx:
+        return scopes.groupBy("scope_type").agg(F.count("*").alias("n"), *stats, *[F.round(F.percentile_approx(c, 0.5), 4).alias(f"median_{c}") for c in columns])
+    return with_medians(scopes.groupBy("scope_type").agg(F.count("*").alias("n"), *stats), scopes, ["scope_type"], {f"median_{c}": F.col(c) for c in columns})
+
+
+def with_medians(stats: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """``stats``, a row for each group, with the medians of ``rows``, rounded to four places."""
+    own = medians(rows, keys, values).select(*[F.col(k).alias(f"{k}_of") for k in keys], *[F.round(v, 4).alias(v) for v in values])
+    return stats.join(own, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys], "left").drop(*[f"{k}_of" for k in keys])
 
 
 def type_statistics(scopes: DataFrame) -> DataFrame:
     """Statistics of cost for each listed type, also those without rows; one value has deviation 0."""
     cost = F.when(F.col("cost_per_unit") > 0, F.col("cost_per_unit"))
-    stats = scopes.groupBy("scope_type").agg(F.count(cost).alias("n"), F.round(F.avg(cost), 4).alias("mean"), F.round(F.percentile(cost, 0.5), 4).alias("median"), F.round(F.stddev_samp(cost), 4).alias("std"), F.round(F.sum("square_footage"), 2).alias("area"))
+    stats = scopes.groupBy("scope_type").agg(F.count(cost).alias("n"), F.round(F.avg(cost), 4).alias("mean"), F.round(F.stddev_samp(cost), 4).alias("std"), F.round(F.sum("square_footage"), 2).alias("area"))
+    stats = with_medians(stats, scopes, ["scope_type"], {"median": cost})
     types = scopes.sparkSession.createDataFrame([(t,) for t in SCOPE_TYPES], "scope_type string")
     out = F.broadcast(types).join(stats, "scope_type", "left")
     return out.select("scope_type", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", F.when(F.col("n") > 0, F.coalesce("std", F.lit(0.0))).alias("std"), "area")
@@ -58,8 +69,10 @@ def coverage(scopes: DataFrame, projects: DataFrame) -> DataFrame:
 def era_analysis(scopes: DataFrame) -> DataFrame:
     """Costs by band of the labour rate: a row for each band and type, and one for each band alone (scope_type null)."""
     rows = scopes.filter((F.col("daily_labor_rate") > 0) & (F.col("cost_per_unit") > 0)).select(rates.era(F.col("daily_labor_rate")).alias("era"), "scope_type", "cost_per_unit")
-    out = rows.rollup("era", "scope_type").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.round(F.avg("cost_per_unit"), 4).alias("mean"), F.round(F.percentile("cost_per_unit", 0.5), 4).alias("median"))
-    return out.filter("g < 3").select("era", "scope_type", "n", "mean", "median")
+    out = rows.rollup("era", "scope_type").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.round(F.avg("cost_per_unit"), 4).alias("mean")).filter("g < 3")
+    cost = {"median": F.col("cost_per_unit")}
+    parts = [with_medians(out.filter("g = 0"), rows, ["era", "scope_type"], cost), with_medians(out.filter("g = 1"), rows, ["era"], cost)]
+    return parts[0].unionByName(parts[1]).select("era", "scope_type", "n", "mean", "median")
 
 
 def normalised(scopes: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions.parse import cents, exact, to_places
+from .prices import with_medians
+from .quantiles import medians
 
 # Fixed values.
 RATE, TYPICAL_MARKUP = 725.0, 0.30
@@ -53,7 +55,8 @@ def labour_analysis(scopes: DataFrame) -> DataFrame:
     """Man-days against area by type: medians, correlation and the fit of their logarithms."""
     rows = scopes.filter("man_days > 0 and square_footage > 0")
     x, y = F.log1p("square_footage"), F.log1p("man_days")
-    return rows.groupBy("scope_type").agg(F.count("*").alias("n"), F.round(F.percentile("man_days", 0.5), 4).alias("median"), F.round(F.max("man_days"), 4).alias("most"), F.round(F.corr(x, y), 4).alias("log_corr"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"))
+    stats = rows.groupBy("scope_type").agg(F.count("*").alias("n"), F.round(F.max("man_days"), 4).alias("most"), F.round(F.corr(x, y), 4).alias("log_corr"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"))
+    return with_medians(stats, rows, ["scope_type"], {"median": F.col("man_days")})
 
 
 def features(scopes: DataFrame, projects: DataFrame) -> DataFrame:
@@ -63,9 +66,9 @@ def features(scopes: DataFrame, projects: DataFrame) -> DataFrame:
     known = projects.select("project_id", "name", "gc_name")
     rows = scopes.join(known, "project_id").join(counts, "project_id")
     rows = rows.withColumn("log_area", F.when(F.col("square_footage") > 0, F.log1p("square_footage")))
-    by_type = scopes.groupBy("scope_type").agg(F.percentile("markup_pct", 0.5).alias("type_markup"))
-    area = scopes.agg(F.percentile(F.when(F.col("square_footage") > 0, F.log1p("square_footage")), 0.5).alias("mid_area"))
-    rows = rows.join(F.broadcast(by_type), "scope_type", "left").join(F.broadcast(area), F.lit(True))
+    by_type = medians(scopes.filter("scope_type is not null"), ["scope_type"], {"type_markup": F.col("markup_pct")})
+    area = medians(scopes, [], {"mid_area": F.when(F.col("square_footage") > 0, F.log1p("square_footage"))})
+    rows = rows.join(by_type, "scope_type", "left").join(area, F.lit(True), "left")  # area is one row
     return rows.select(
         "scope_id",
         "scope_type",

@@ -130,6 +130,27 @@ TABLES: dict[str, tuple[list[str], str]] = {
                WHEN o_custkey % 5 = 3 THEN 'Finish Schedule' || chr(10) || 'sound masking and FW panels by others; section 09 84 00' ELSE 'General notes without any number that a reader could use here' END AS text
         FROM orders o """,
     ),
+    "room_pages": (
+        ["orders"],
+        """
+        SELECT o_orderkey AS plan_id, CAST(1 AS BIGINT) AS page_no,
+          CASE WHEN o_orderkey % 6 = 0 THEN 'ROOM ' || CAST(100 + o_custkey % 900 AS STRING) || ' - CONFERENCE ROOM' || chr(10) || 'CEILING AT 9' || chr(39) || '-6" AFF, ACT-1 24X48 GRID'
+               WHEN o_orderkey % 6 = 1 THEN 'ROOM NO. ' || CAST(100 + o_custkey % 900 AS STRING) || chr(10) || 'MECHANICAL' || chr(10) || 'EXPOSED STRUCTURE 12 FT'
+               WHEN o_orderkey % 6 = 2 THEN CAST(100 + o_custkey % 900 AS STRING) || ' - LAB' || chr(10) || 'ACT ARMSTRONG DUNE 2X4 AFF'
+               WHEN o_orderkey % 6 = 3 THEN CAST(100 + o_custkey % 900 AS STRING) || '  OFFICE SUITE  VCT  PAINT  ACT-2' || chr(10) || 'ROOM ' || CAST(100 + o_custkey % 900 AS STRING) || ' - AGAIN'
+               WHEN o_orderkey % 6 = 4 THEN 'SPACE AT LOBBY WITH GWB 108"' ELSE 'nothing of note' END || chr(10)
+          || 'see general notes' || chr(10) || 'see general notes' || chr(10) || 'see general notes' || chr(10) || 'see general notes' || chr(10) || 'see general notes' || chr(10) || 'see general notes' || chr(10) || 'see general notes' || chr(10)
+          || CASE WHEN o_orderkey % 7 = 0 THEN 'FABRIC WALL - 450 SF' WHEN o_orderkey % 7 = 1 THEN 'AWP-1 - 2,' || CAST(100 + o_custkey % 900 AS STRING) || ' SF OF MAHARAM' WHEN o_orderkey % 7 = 2 THEN 'WAINSCOT - ' || CAST(o_custkey % 90 + 10 AS STRING) || ' LF @ 36"'
+                  WHEN o_orderkey % 7 = 3 THEN 'CHAIR RAIL @ 48"' WHEN o_orderkey % 7 = 4 THEN 'FW-2: ' || CAST(o_custkey % 9 + 2 AS STRING) || ' PANELS 4' || chr(39) || 'x8' || chr(39) || ', FW-2 again' ELSE 'walls by others' END AS text
+        FROM orders o """,
+    ),
+    "room_marks": (
+        ["lineitem"],
+        """
+        SELECT l_orderkey AS plan_id, CAST(1 AS BIGINT) AS page_no, CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS mark_id,
+          CASE WHEN l_partkey % 4 = 0 THEN 'ACT-1 - 1,' || CAST(100 + l_partkey % 900 AS STRING) || ' SF' WHEN l_partkey % 4 = 1 THEN 'AWP-' || CAST(l_linenumber AS STRING) || ' see detail' ELSE 'a cloud' END AS label, l_quantity AS area_sf
+        FROM lineitem l """,
+    ),
     "plan_marks": (
         ["lineitem"],
         """
