@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Least score of a match by likeness, and aliases that may be broadcast.
-LEAST, MOST_ALIASES = 75.0, 100_000
+#: Least score of a match by likeness.
+LEAST = 75.0
 
 
 def likeness(a: str, b: str) -> float:
@@ -33,34 +34,55 @@ def segments(names: DataFrame) -> DataFrame:
     return names.select("name", F.trim(parts[0]).alias("primary"), F.when(F.size(parts) > 1, F.trim(F.try_element_at(parts, F.lit(2)))).alias("secondary"))
 
 
+def _sorted_words(text: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(text, r"\s+"), lambda w: w != "")), " ")
+
+
+def _keys(text: Column, short: int) -> Column:
+    """What two texts that are alike enough have in common: each two characters in a row, and single ones of texts of ``short`` characters at most."""
+    runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: text.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(runs(2), F.when(F.length(text) <= short, runs(1)).otherwise(F.array().cast("array<string>"))))
+
+
 def match(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, canonical, score) of each distinct non-blank name; aliases are (alias, canonical, position), a later position wins a repeated alias.
 
-    Exact aliases count 1.0.  The rest goes through the broadcast aliases; lengths too far apart to
-    reach the least score are passed over, which loses nothing.
+    Exact aliases count 1.0.  The rest meets aliases by shared characters, which loses nothing: where
+    2 LCS / (n + m) is 0.75 or more, the LCS is broken at n + m - 2 LCS places at most, so from n + m = 9
+    on a part of it is two characters long.  A name of six characters can't be like enough to an alias
+    with which it has fewer; shorter names and aliases meet by single characters too.  Candidates are
+    told apart by length and counts of characters before they are scored.
     """
     known = aliases.groupBy(F.lower("alias").alias("key")).agg(F.max_by("canonical", "position").alias("canonical"), F.max_by("alias", "position").alias("alias"), F.max("position").alias("position"))
-    if known.count() > MOST_ALIASES:
-        raise ValueError(f"more than {MOST_ALIASES} aliases")
     own = names.select("name").filter(F.trim("name") != "").distinct()
-    exact = own.join(F.broadcast(known), F.lower(F.trim("name")) == F.col("key")).select("name", "canonical", F.lit(1.0).alias("score"))
-    table = known.orderBy("position", "alias").select("alias", "canonical").toPandas()  # a catalog, bounded above
-    held = names.sparkSession.sparkContext.broadcast(list(table.itertuples(index=False, name=None)))
+    exact = own.join(known, F.lower(F.trim("name")) == F.col("key")).select("name", "canonical", F.lit(1.0).alias("score"))
+    rest = own.join(exact.select("name"), "name", "left_anti").withColumn("a", _sorted_words(F.col("name")))
+    table = known.select("alias", "canonical", "position", _sorted_words(F.col("alias")).alias("b"))
+    left = rest.select("name", "a", F.explode(_keys(F.col("a"), 5)).alias("gram"))
+    right = table.select("alias", "canonical", "position", "b", F.explode(_keys(F.col("b"), 8)).alias("gram"))
+    n, m = F.length("a"), F.length("b")
+    pairs = left.join(right, "gram").filter(F.least(n, m) * 200.0 >= (n + m) * LEAST).select("name", "a", "alias", "canonical", "position", "b").distinct()
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for name in batch["name"]:
-                top, pick = 0.0, None
-                for alias, canonical in held.value:
-                    n, m = len(name), len(alias)
-                    if 200.0 * min(n, m) / (n + m) >= max(LEAST, top) and (score := likeness(name, alias)) > top:
-                        top, pick = score, canonical
-                out.append((name, pick if top >= LEAST else None, round(top / 100, 4) if top >= LEAST else None))
-            yield pd.DataFrame(out, columns=["name", "canonical", "score"])
-
-    rest = own.join(exact.select("name"), "name", "left_anti").mapInPandas(best, "name string, canonical string, score double")
-    return exact.unionByName(rest)
+            scores = [likeness(a, b) if may_be_like(a, b) else 0.0 for a, b in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(scores)], ["name", "alias", "canonical", "position", "score"])
+
+    types = dict(pairs.dtypes)
+    found = pairs.mapInArrow(scored, f"name string, alias string, canonical {types['canonical']}, position {types['position']}, score double").filter(F.col("score") >= LEAST)
+    best = found.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), "position", "alias")).alias("x"))
+    out = rest.select("name").join(best, "name", "left").select("name", "x.canonical", F.round(F.col("x.score") / 100, 4).alias("score"))
+    return exact.unionByName(out)
+
+
+def may_be_like(a: str, b: str) -> bool:
+    """No more characters are shared than both have; cheap to see."""
+    return 200.0 * (Counter(a) & Counter(b)).total() >= LEAST * (len(a) + len(b))
+
+
+def match_rate(links: DataFrame) -> DataFrame:
+    """Names, those linked to a product, and their share in percent (from ``linked``)."""
+    return links.agg(F.count("*").alias("names"), F.count("product").alias("linked"), F.round(F.count("product") * 100.0 / F.count("*"), 1).alias("pct"))
 
 
 def linked(names: DataFrame, aliases: DataFrame, least: float = LEAST / 100) -> DataFrame:

@@ -178,6 +178,13 @@ _TYPO = lambda: F.when(F.col("part_id") % 3 == 0, F.upper("product")).when(F.col
 _add("n1_product_names", ["quote_items"], lambda q: products.match(q.select(_TYPO().alias("name")), q.groupBy("product").agg(F.min("part_id").alias("position")).select(F.col("product").alias("alias"), F.col("product").alias("canonical"), "position")), None)
 _add("n4_linked_products", ["quote_items"], lambda q: products.linked(q.select(_TYPO().alias("name")), q.groupBy("product").agg(F.min("part_id").alias("position")).select(F.col("product").alias("alias"), F.col("product").alias("canonical"), "position")), None)
 
+_ALIASES = lambda q: q.groupBy("product").agg(F.min("part_id").alias("position")).select(F.col("product").alias("alias"), F.col("product").alias("canonical"), "position")
+_SPELT = "CASE part_id % 3 WHEN 0 THEN upper(product) WHEN 1 THEN product || 'x' ELSE 'zq ' || product || ' yw' END"
+_LIKE = "CASE part_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN round(200.0 * length(product) / (2 * length(product) + 1) / 100, 4) ELSE round(200.0 * length(product) / (2 * length(product) + 6) / 100, 4) END"
+_add("n1_spelt_names", ["quote_items"], lambda q: products.match(q.selectExpr(f"{_SPELT} AS name"), _ALIASES(q)), f"SELECT DISTINCT {_SPELT} AS name, CASE WHEN {_LIKE} >= 0.75 THEN product END AS canonical, CASE WHEN {_LIKE} >= 0.75 THEN CAST({_LIKE} AS DOUBLE) END AS score FROM quote_items")
+_LINKED = "CASE part_id % 3 WHEN 0 THEN upper(product) || ' on wall' WHEN 1 THEN 'qqqq zzzz ON ' || product ELSE 'wwwww' END"
+_add("n4_match_rate", ["quote_items"], lambda q: products.match_rate(products.linked(q.selectExpr(f"{_LINKED} AS name"), _ALIASES(q))), f"SELECT count(*) AS names, count(*) FILTER (name <> 'wwwww') AS linked, round(count(*) FILTER (name <> 'wwwww') * 100.0 / count(*), 1) AS pct FROM (SELECT DISTINCT {_LINKED} AS name FROM quote_items)")
+
 
 # --- models ---
 _add("m2_cross_validation", ["scopes", "projects"], lambda s, p: models.error_report(models.cross_validated(models.training_table(reports.features(s, p), s).filter("scope_type not in ('SM', 'Other')"), trees=10, depth=5)), None)

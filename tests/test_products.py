@@ -35,3 +35,17 @@ def test_matching(spark):
 def test_segments(spark):
     names = spark.createDataFrame([("Dune on Suprafine",), ("dune ON suprafine",), ("Dune, 2x2, Suprafine grid",)], "name string")
     assert [(r["primary"], r["secondary"]) for r in products.segments(names).collect()] == [("Dune", "Suprafine"), ("dune", "suprafine"), ("Dune, 2x2, Suprafine grid", None)]
+
+
+def test_no_like_alias_is_missed(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(1, 12)))
+    names, aliases = sorted({word() for _ in range(120)}), sorted({word().strip() or "a" for _ in range(60)})
+    rows = [(a, a, k) for k, a in enumerate(aliases)]
+    got = {r["name"]: r["score"] for r in products.match(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(rows, "alias string, canonical string, position int")).collect()}
+    for n in names:
+        if not n.strip():
+            assert n not in got
+            continue
+        best = 100.0 if n.strip() in aliases else max(products.likeness(n, a) for a in aliases)
+        assert got[n] == (pytest.approx(best / 100, abs=1e-4) if best >= 75 else None)
