@@ -47,6 +47,7 @@ NOT_DRAWING = r"(?i)(quote|t-004|vendor|signed|invoice|purchase order)[^/]*$"
 NOT_BUILD_UP = r"(?i)(vendor|quote|template|T-004|\.tmp)[^/]*$"
 ARCHIVED = r"(^|/)(\+\+)?Archive/"
 
+_MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
@@ -71,6 +72,23 @@ def document_date(raw: Column, placeholder: bool = True) -> Column:
     return F.nullif(found, F.lit(PLACEHOLDER_DATE).cast("date")) if placeholder else found
 
 
+def backfill_date(raw: Column) -> Column:
+    """Six forms in order: M/D/YYYY, M/D/YY (69 to 99 of the last century), ISO, ``Month D, YYYY``, ``Mon D, YYYY`` and ``Month D YYYY``; the placeholder date and impossible ones are null."""
+    s = F.trim(raw)
+    part = lambda r, i: _group(s, r, i).cast("int")
+    full = F.array(*map(F.lit, _MONTH_NAMES))
+    at = lambda r, table: F.nullif(F.array_position(table, F.lower(_group(s, r, 1))).cast("int"), F.lit(0))
+    comma, plain = r"^([A-Za-z]+)\s+(\d{1,2}),\s*(\d{4})$", r"^([A-Za-z]+)\s+(\d{1,2})\s+(\d{4})$"
+    short = F.transform(full, lambda m: F.substring(m, 1, 3))
+    century = part(US_SHORT, 3) + F.when(part(US_SHORT, 3) >= 69, 1900).otherwise(2000)
+    found = F.coalesce(
+        _date(part(US_DATE, 3), part(US_DATE, 1), part(US_DATE, 2)), _date(century, part(US_SHORT, 1), part(US_SHORT, 2)),
+        _date(part(ISO_DATE, 1), part(ISO_DATE, 2), part(ISO_DATE, 3)), _date(part(comma, 3), at(comma, full), part(comma, 2)),
+        _date(part(comma, 3), at(comma, short), part(comma, 2)), _date(part(plain, 3), at(plain, full), part(plain, 2)),
+    )
+    return F.nullif(found, F.lit(PLACEHOLDER_DATE).cast("date"))
+
+
 def height(raw: Column) -> Column:
     """A ceiling height as ``F'-I"``, from feet and inches, feet, or inches; null if there is none."""
     n = lambda i: _group(raw, HEIGHT, i).cast("int")

@@ -130,3 +130,22 @@ add(
     "z1_model_prices", ["scopes"], lambda s: estimates.price_suggestions(_MODELLED(s)).select("scope_id", to_places(F.col("material_cost"), 4).alias("material_cost"), to_places(F.col("labour_cost"), 4).alias("labour_cost"), to_places(F.col("total"), 4).alias("total")),
     f"SELECT scope_id, CAST(round(CAST(mat AS DECIMAL(20,8)), 4) AS DOUBLE) AS material_cost, CAST(round(CAST(md * 725 AS DECIMAL(20,8)), 4) AS DOUBLE) AS labour_cost, CAST(round(CAST(mat * (1 + m) + md * 725 + mat * CAST(0.075 AS DOUBLE) AS DECIMAL(20,8)), 4) AS DOUBLE) AS total FROM (SELECT *, a * (c / (1 + m)) AS mat FROM (SELECT scope_id, square_footage AS a, coalesce(CASE WHEN daily_labor_rate > 500 THEN cost_per_unit END, {_HEUR(estimates.COST_PER_SF, 12.0)}) AS c, coalesce(markup_pct, {_HEUR(estimates.MARKUP, 0.33)}) AS m, coalesce(CASE WHEN daily_labor_rate > 530 THEN man_days END, square_footage / 1000 * {_HEUR(estimates.DAYS_PER_1000_SF, 1.2)}) AS md FROM scopes WHERE square_footage > 0 AND man_days / CAST(13.7 AS DOUBLE) >= 0.3))",
 )
+
+_ERR = lambda e, where: e.filter(f"actual_total_cost > 0 and status is not null and {where}").groupBy(F.col("status").alias("family")).agg(to_places(F.avg(F.abs(F.col("total_estimate") - F.col("actual_total_cost")) / F.col("actual_total_cost")), 6).alias("mape"))
+_ERR_SQL = lambda where: f"(SELECT status AS family, CAST(round(CAST(avg(abs(total_estimate - actual_total_cost) / actual_total_cost) AS DECIMAL(20,8)), 6) AS DOUBLE) AS mape FROM estimates WHERE actual_total_cost > 0 AND status IS NOT NULL AND {where} GROUP BY 1)"
+
+
+def _manifest(e):
+    new, old = _ERR(e, "created_on >= date'1998-01-01' and status <> 'exported'"), _ERR(e, "created_on < date'1998-01-01' and status <> 'draft'")
+    return overview.manifest_upserted(old, models.deployment(new, old), new)
+
+
+add("m8_manifest_upserted", ["estimates"], _manifest, f"SELECT coalesce(n.family, o.family) AS family, CASE WHEN n.family IS NOT NULL AND (o.family IS NULL OR n.mape <= o.mape * CAST(1.05 AS DOUBLE)) THEN n.mape ELSE o.mape END AS mape, n.family IS NOT NULL AND (o.family IS NULL OR n.mape <= o.mape * CAST(1.05 AS DOUBLE)) AS replaced FROM {_ERR_SQL('created_on >= DATE ' + repr('1998-01-01') + ' AND status <> ' + repr('exported'))} n FULL JOIN {_ERR_SQL('created_on < DATE ' + repr('1998-01-01') + ' AND status <> ' + repr('draft'))} o ON n.family = o.family")
+
+
+def _choice(s, p):
+    table = models.training_table(reports.features(s, p), s).filter("scope_type not in ('SM', 'Other')")
+    return models.best_model(table, trees=10, depth=5)[2]
+
+
+add("m1_model_choice", ["scopes", "projects"], _choice, None)

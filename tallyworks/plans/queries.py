@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, parse, rates
 from ..operators import checks, edits, estimates, links, models, prices, products, reports
-from . import document_queries, link_queries, overview_queries, room_queries  # noqa: F401  (they register their own)
+from . import document_queries, link_queries, load_queries, overview_queries, room_queries  # noqa: F401  (they register their own)
 from .registry import FOUND, Query, add as _add
 
 #: Year that dates without one belong to, in the queries.

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import backfill_date
+
 SCOPE = "struct<scope_type:string,tag:string,product_name:string,square_footage:string,cost_per_sf:string,material_cost:string,markup_pct:string,material_price:string,man_days:string,labor_price:string,sales_tax:string,total:string>"
 BUILD_UP = f"success boolean, error string, project struct<project_name:string,folder_name:string,source_file:string,grand_total:string,scopes:array<{SCOPE}>,additional_costs:array<struct<cost_type:string,description:string,amount:string,notes:string>>>"
 VENDOR = "success boolean, quote struct<vendor_name:string,quote_number:string,quote_date:string,freight:string,sales_tax:string,grand_total:string,items:array<struct<product:string,sku:string,quantity:string,unit:string,unit_cost:string,total:string,notes:string>>>"
 PLAN = "source_file string, success boolean, extraction_confidence double, total_area_sf string, scope_suggestions array<struct<scope_type:string,scope_tag:string,area_sf:string,length_lf:string,product_hint:string,confidence:double,source:string,rooms:array<string>>>"
+OWN_QUOTE = "success boolean, error string, quote struct<quote_number:string,quote_date:string,client_name:string,gc_name:string,template_type:string,grand_total:string,line_items:array<struct<quantity:string,item_type:string,description:string,cost_per_unit:string,total:string>>>"
 CATALOG = "canonical_name string, manufacturer string, category string, aliases array<string>"
 #: Files that stand beside plan results and aren't any.
 RESERVED = ["summary.json", "estimate.json"]
@@ -51,6 +54,13 @@ def vendor_quotes(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("success").select(folder.alias("folder_name"), "file_name", "quote.*")
 
 
+def own_quotes(spark: SparkSession, path: str) -> DataFrame:
+    """Successful quotes of one's own with the file they come from and their date; a date that can't be read is null."""
+    rows, _ = documents(spark, path, OWN_QUOTE)
+    good = rows.filter("success and quote is not null").select(F.col("file_name").alias("source_file"), "quote.*")
+    return good.withColumn("dated", backfill_date(F.col("quote_date"))).withColumn("grand_total", F.col("grand_total").try_cast("decimal(18,4)"))
+
+
 def plan_results(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
     """Plan results with the project that their folder names, filtered by a part of its name."""
     rows, _ = documents(spark, path, PLAN)

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.errors import AnalysisException
 
+from tallyworks.operators import overview
 from tallyworks.sources import json_documents as j
 
 
@@ -42,3 +43,22 @@ def test_catalog_must_be_whole(spark, tmp_path):
     assert j.catalog(spark, str(tmp_path / "catalog.json")).count() == 1
     with pytest.raises(AnalysisException):
         j.catalog(spark, str(tmp_path / "none.json"))
+
+
+def test_own_quotes_have_their_file_and_date(spark, tmp_path):
+    put(tmp_path, "Quote 05906.json", {"success": True, "quote": {"quote_number": "05906", "quote_date": "3/14/2024", "grand_total": "12.50", "line_items": []}})
+    put(tmp_path, "bad date.json", {"success": True, "quote": {"quote_date": "soon"}})
+    put(tmp_path, "failed.json", {"success": False})
+    got = {r["source_file"]: (r["dated"] and str(r["dated"]), r["grand_total"] and float(r["grand_total"])) for r in j.own_quotes(spark, str(tmp_path)).collect()}
+    assert got == {"Quote 05906.json": ("2024-03-14", 12.5), "bad date.json": (None, None)}
+
+
+def test_training_table_and_reports_come_back(spark, tmp_path):
+    table = spark.createDataFrame([(1, "ACT", 2.5), (2, "AWP", None)], "scope_id int, scope_type string, target double")
+    overview.save_training_table(table, f"{tmp_path}/table")
+    overview.save_training_table(table, f"{tmp_path}/table")
+    assert sorted(map(tuple, overview.load_training_table(spark, f"{tmp_path}/table").select(*table.columns).collect())) == [(1, "ACT", 2.5), (2, "AWP", None)]
+    with pytest.raises(AnalysisException):
+        overview.load_training_table(spark, f"{tmp_path}/none")
+    overview.save_report({"queue": table, "index": table.filter("scope_id > 1")}, f"{tmp_path}/report")
+    assert [spark.read.json(f"{tmp_path}/report/{name}").count() for name in ("queue", "index")] == [2, 1]
