@@ -242,7 +242,7 @@ class Fused:
 def screen(own: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
     """A test of hashes against the seeds of ``own`` (n rows) that misses none."""
     if n <= BROADCAST_SEEDS:
-        return Sorted(own.select("seed").toPandas()["seed"].to_numpy(np.int64))
+        return Sorted(own.select("seed").toArrow().column("seed").to_numpy())
     buckets = -(-n // BUCKET_DIGESTS)
     keyed = own.select(F.col("seed").alias("key64"), F.pmod("seed", F.lit(buckets)).alias("bucket"))
     return Fused({r["bucket"]: BinaryFuse.from_bytes(bytes(r["filter"])) for r in build_filters(keyed).toLocalIterator()}, buckets)

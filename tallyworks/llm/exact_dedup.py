@@ -17,7 +17,7 @@ whatever their names, are ignored by the query and come through the stage as the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,23 +112,22 @@ class BinaryFuse:
 def build_filters(snapshot: DataFrame) -> DataFrame:
     """One filter a bucket from (bucket, key64): (bucket, filter)."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = BinaryFuse.build(pdf["key64"].to_numpy().view(np.uint64)).to_bytes()
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "filter": [raw]})
+    def build(rows: pa.Table) -> pa.Table:
+        raw = BinaryFuse.build(rows.column("key64").to_numpy().view(np.uint64)).to_bytes()
+        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "filter": pa.array([raw], pa.binary())})
 
-    return snapshot.groupBy("bucket").applyInPandas(build, "bucket long, filter binary")
+    return snapshot.groupBy("bucket").applyInArrow(build, "bucket long, filter binary")
 
 
 def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
     """Rows of (bucket, key64, ...) that a filter of their bucket may hold."""
-    schema = batch.schema
 
-    def keep(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def keep(rows: pa.Table, own: pa.Table) -> pa.Table:
         if not len(own) or not len(rows):
-            return rows.iloc[:0]
-        return rows[BinaryFuse.from_bytes(bytes(own["filter"].iloc[0])).has(rows["key64"].to_numpy().view(np.uint64))]
+            return rows.slice(0, 0)
+        return rows.filter(pa.array(BinaryFuse.from_bytes(own.column("filter")[0].as_py()).has(rows.column("key64").to_numpy().view(np.uint64))))
 
-    return batch.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(keep, schema)
+    return batch.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(keep, batch.schema)
 
 
 def normalised(text: str = "text") -> Column:

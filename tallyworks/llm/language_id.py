@@ -10,9 +10,10 @@ The machines learn from at most SAMPLE labelled rows, an equal share a language,
 the id: a bound that doesn't grow with the table.  Features are made by tasks; the driver gets them
 as packed vectors and fits by dual coordinate descent in numpy.
 
-Defined cases: null text and text without a letter are ``und`` with score 0; null labels are not
-learned; with no labelled row every text is ``und``; one label alone is predicted everywhere with
-score 1; very long texts are read whole, in pieces; other columns are ignored.
+Defined cases: null text and text without a letter are ``und`` with score 0; rows with null labels or
+without doc_id are not learned; of more than LANGS labels the rarest are not learned; with no labelled row every text is ``und``; one label alone is predicted everywhere with
+score 1; very long texts are read whole, in pieces; other columns, whatever their
+names, are ignored by the query and come through the stage as they are.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
 
 #: Labelled rows from which the machines learn, over all languages.
 SAMPLE = 4_000
+#: Languages that are learned, the most frequent; a dirty column has any number of labels.
+LANGS = 200
 #: Hash buckets of trigrams.
 BUCKETS = 4096
 #: Bytes of text that are featurised at once.
@@ -72,18 +75,19 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a linear SVM with squared hinge loss, by dual coordinate descent; y is +1 or -1, the last column of x is the bias."""
+def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a linear SVM with squared hinge loss, by dual coordinate descent; y is +1 or -1, the last column of x is the bias; ``rows`` of x are learned (they aren't copied), y has one for each."""
+    rows = np.arange(len(x)) if rows is None else rows
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    diag, square = 1 / (2 * cost * weight), np.einsum("ij,ij->i", x, x)
-    w, alpha, rng = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), np.random.default_rng(0)
+    diag, square = 1 / (2 * cost * weight), np.einsum("ij,ij->i", x, x)[rows]
+    w, alpha, rng = np.zeros(x.shape[1], np.float32), np.zeros(len(rows)), np.random.default_rng(0)
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            gradient = y[i] * float(w @ x[i]) - 1 + diag[i] * alpha[i]
+        for i in rng.permutation(len(rows)):
+            gradient = y[i] * float(w @ x[rows[i]]) - 1 + diag[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / (square[i] + diag[i]))
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * x[rows[i]]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -102,8 +106,8 @@ class Model:
         self.duels = {}
         for f in self.families:
             for a, b in itertools.combinations([v for v in self.langs if family(v) == f], 2):
-                use = (lang == a) | (lang == b)
-                self.duels[a, b] = svm(x[use], np.where(lang[use] == a, 1, -1))
+                use = np.flatnonzero((lang == a) | (lang == b))
+                self.duels[a, b] = svm(x, np.where(lang[use] == a, 1, -1), rows=use)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, score) of each row."""
@@ -140,15 +144,18 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
     """Learns from rows where ``learn`` holds and lang isn't null; None if there is none."""
-    rows = docs.filter(learn & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"))
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
     if not counts:
         return None
     share = max(1, sample // len(counts))
-    ranks = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(1)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (ranks < int(min(1.0, share / n) * 1_000_000) + 1))
+    # The first of each language by hash.  What can't be among them goes before they are ranked, so no task ranks a language's rows.
+    limits = [(lang, min(1.0, (1.3 * share + 50) / n)) for lang, n in counts]
+    rank = F.xxhash64("doc_id", F.lit(1))
+    near = rows.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, part double")), "lang").withColumn("rank", rank).filter(F.pmod("rank", F.lit(1_000_000)) <= F.col("part") * 1_000_000)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("rank", F.lit(1_000_000)), "rank", "doc_id"))
+    picked = near.withColumn("k", order).filter(F.col("k") <= share).select(F.col("doc_id").alias("id_"), F.col("lang").alias("lang_")).distinct()
+    texts = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text")).join(F.broadcast(picked), (F.col("doc_id") == F.col("id_")) & (F.col("lang") == F.col("lang_")), "left_semi")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,13 +166,16 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
                 x = features([texts[i] for i in keep]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(keep, pa.int64())), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    got = rows.filter(chosen).select(letters().alias("l"), "lang").mapInArrow(pack, "lang string, x binary").orderBy("lang", F.xxhash64("x")).limit(sample + sample // 4).toPandas()
+    got = texts.select(letters().alias("l"), "lang").mapInArrow(pack, "lang string, x binary").orderBy("lang", F.xxhash64("x")).toArrow()  # about SAMPLE rows
     if not len(got):
         return None
     # One array, filled row by row, with the bias in its last column: the driver holds no second copy while it fits.
-    x, lang = np.ones((len(got), BUCKETS + 1), np.float32), got["lang"].to_numpy()
-    for i, packed in enumerate(got.pop("x")):
-        x[i, :-1] = np.frombuffer(packed, np.float16)
+    x, lang = np.ones((len(got), BUCKETS + 1), np.float32), np.array(got.column("lang").to_pylist(), object)
+    at = 0
+    for chunk in got.column("x").chunks:
+        for packed in chunk:
+            x[at, :-1] = np.frombuffer(packed.as_buffer(), np.float16)
+            at += 1
     del got
     return Model(x, lang)
 

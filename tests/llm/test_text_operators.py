@@ -30,6 +30,49 @@ def test_language_defined_cases(spark):
     assert {r["lang_pred"] for r in language_id.op1(docs(spark, [(1, "a b", None, "s")])).collect()} == {"und"}
 
 
+def test_svm_against_a_plain_solver():
+    rng = np.random.default_rng(5)
+    for seed in range(4):
+        x = np.hstack([rng.normal(0, 1, (60, 5)), np.ones((60, 1))]).astype(np.float32)
+        y = np.where(x @ rng.normal(0, 1, 6) + rng.normal(0, 0.7, 60) > 0.3 * seed, 1, -1)
+        weight = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
+        loss = lambda w: 0.5 * w @ w + 10.0 * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()  # noqa: B023, E731
+        plain = np.zeros(6)
+        for _ in range(20_000):
+            plain -= 2e-4 * (plain - 20.0 * (weight * y * np.maximum(0, 1 - y * (x @ plain))) @ x)
+        assert loss(language_id.svm(x, y, rounds=300)) <= loss(plain) * 1.01  # it stops where no step moves by 0.001
+
+
+def test_vote_by_brute_force_and_ties():
+    rng = np.random.default_rng(6)
+    model = language_id.Model.__new__(language_id.Model)
+    model.langs, model.families = ["de", "en", "fr", "nl"], ["germanic", "romance"]
+    model.top = rng.normal(0, 1, (2, 4)).astype(np.float32)
+    model.duels = {d: rng.normal(0, 1, 4).astype(np.float32) for d in (("de", "en"), ("de", "nl"), ("en", "nl"))}
+    x = rng.normal(0, 1, (200, 3)).astype(np.float32)
+    lang, score = model.predict(x)
+    sigmoid = lambda m: 1 / (1 + np.exp(-3 * m))
+    for row, own, sure in zip(np.hstack([x, np.ones((200, 1), np.float32)]), lang, score, strict=True):
+        best = int(np.argmax(model.top @ row))
+        if best == 1:
+            assert own == "fr"
+            assert sure == pytest.approx(sigmoid(model.top[1] @ row), abs=1e-5)
+            continue
+        names, votes, sums, parts = ["de", "en", "nl"], {}, {}, {}
+        for a in names:
+            margins = [float(model.duels[a, b] @ row) if (a, b) in model.duels else -float(model.duels[b, a] @ row) for b in names if b != a]
+            votes[a], sums[a], parts[a] = sum(m > 0 for m in margins), sum(margins), sum(sigmoid(m) for m in margins) / 2
+        want = max(names, key=lambda v: (votes[v], sums[v]))
+        assert own == want
+        assert sure == pytest.approx(sigmoid(model.top[0] @ row) * parts[want], abs=1e-5)
+
+
+def test_language_sample_keeps_rare_labels(spark):
+    rows = [(i, "the and of with that this " * 3, "en", "s") for i in range(3000)] + [(5000 + i, "que los una por con para " * 3, "es", "s") for i in range(9)]
+    model = language_id.fit(docs(spark, rows), F.lit(True), 200)
+    assert model.langs == ["en", "es"]
+
+
 def test_language_stage_keeps_clean_rows(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     assert language_id.stage(df).count() == df.count()
