@@ -34,6 +34,24 @@ def containing(needles: DataFrame, hays: DataFrame) -> DataFrame:
     return rarest.join(runs, "gram").filter(F.contains(F.col("hay"), F.col("needle"))).select("needle", "hay")
 
 
+def linked_texts(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(text, side): distinct needles that some hay holds (``needle``), and hays that hold some needle (``hay``).
+
+    Needles shorter than a run are runs themselves, so whether they are met needs no pairs; for longer
+    ones the pairs of their rarest run are tested.
+    """
+    own, other = needles.select("needle").filter("needle <> ''").distinct(), hays.select("hay").filter("hay <> ''").distinct()
+    short = own.filter(F.length("needle") < GRAM)
+    runs = other.withColumn("needle", F.explode(F.concat(*[_grams(F.col("hay"), n) for n in range(1, GRAM)])))
+    long = containing(own.filter(F.length("needle") >= GRAM), other)
+    found = [
+        short.join(runs.select("needle").distinct(), "needle", "left_semi").select(F.col("needle").alias("text"), F.lit("needle").alias("side")),
+        runs.join(short, "needle", "left_semi").select(F.col("hay").alias("text"), F.lit("hay").alias("side")),
+        long.select(F.explode(F.array(F.struct(F.col("needle").alias("text"), F.lit("needle").alias("side")), F.struct(F.col("hay").alias("text"), F.lit("hay").alias("side")))).alias("x")).select("x.*"),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def _key(c: str) -> Column:
     return F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
 
@@ -42,7 +60,8 @@ def cross_referenced(quotes: DataFrame, projects: DataFrame) -> DataFrame:
     """Quotes (quote_id, client) whose client's name holds a project's name or lies in one; an empty client matches where there is any project."""
     clients, names = quotes.select("quote_id", _key("client").alias("client")), projects.select(_key("name").alias("name")).filter("name <> ''").distinct()
     as_needle, as_hay = clients.select(F.col("client").alias("needle")), clients.select(F.col("client").alias("hay"))
-    hits = containing(as_needle, names.select(F.col("name").alias("hay"))).select(F.col("needle").alias("client")).union(containing(names.select(F.col("name").alias("needle")), as_hay).select("hay"))
+    hits = linked_texts(as_needle, names.select(F.col("name").alias("hay"))).filter("side = 'needle'").select(F.col("text").alias("client"))
+    hits = hits.union(linked_texts(names.select(F.col("name").alias("needle")), as_hay).filter("side = 'hay'").select("text"))
     blank = names.limit(1).select(F.lit("").alias("client"))
     return clients.join(hits.union(blank).distinct(), "client", "left_semi").select("quote_id")
 
@@ -51,7 +70,8 @@ def known_products(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each distinct name, and whether it holds a term of the catalog or lies in one."""
     own, terms = names.select("product_name").distinct().withColumn("key", _key("product_name")), catalog.select(_key("term").alias("term")).filter("term <> ''").distinct()
     keys = own.select("key")
-    hits = containing(keys.select(F.col("key").alias("needle")), terms.select(F.col("term").alias("hay"))).select("needle").union(containing(terms.select(F.col("term").alias("needle")), keys.select(F.col("key").alias("hay"))).select("hay"))
+    hits = linked_texts(keys.select(F.col("key").alias("needle")), terms.select(F.col("term").alias("hay"))).filter("side = 'needle'").select(F.col("text").alias("needle"))
+    hits = hits.union(linked_texts(terms.select(F.col("term").alias("needle")), keys.select(F.col("key").alias("hay"))).filter("side = 'hay'").select("text"))
     return own.join(hits.distinct().select(F.col("needle").alias("key"), F.lit(True).alias("hit")), "key", "left").select("product_name", F.coalesce("hit", F.lit(False)).alias("known"))
 
 
@@ -79,6 +99,20 @@ def dates_by_priority(projects: DataFrame, files: DataFrame, kinds: list[str], p
     return rows.select("project_id", F.coalesce("own", *[f"d_{k}" for k in kinds]).alias("dated"), source.otherwise("none").alias("source"))
 
 
+def audited_in_full(expected: DataFrame, scopes: DataFrame, formats: DataFrame) -> DataFrame:
+    """Each expected row (expected_id, project_id, kind, product, area, markup, format) against the scope found for it and the project's format (project_id, format): checks are null where nothing is expected, and ``passed`` says that none failed and a scope was found."""
+    found = scopes.select("project_id", F.lower("scope_type").alias("k"), "scope_id", "product_name", "square_footage", "markup_pct")
+    pairs = expected.withColumn("k", F.lower("kind")).join(found, ["project_id", "k"], "left")
+    prefers = F.contains(F.lower("product_name"), F.lower("product"))
+    best = pairs.withColumn("prefers", prefers).withColumn("r", F.row_number().over(Window.partitionBy("expected_id").orderBy(F.desc_nulls_last("prefers"), "scope_id"))).filter("r = 1")
+    rows = best.join(formats.select("project_id", F.col("format").alias("has")), "project_id", "left")
+    off = F.abs(F.col("square_footage") - F.col("area"))
+    said = lambda c, ok: F.when(F.col(c).isNotNull(), F.coalesce(ok, F.lit(False)))
+    checks = {"product_ok": said("product", F.col("prefers")), "area_ok": said("area", F.when(F.col("area") == 0, F.col("square_footage") == 0).otherwise(off <= F.abs("area") * 0.01)), "markup_ok": said("markup", F.round(F.abs(F.col("markup_pct") - F.col("markup")), 6) <= 0.02), "format_ok": said("format", F.col("has") == F.col("format"))}
+    passed = reduce(lambda a, b: a & F.coalesce(b, F.lit(True)), checks.values(), F.col("scope_id").isNotNull())
+    return rows.select("expected_id", "scope_id", *[v.alias(n) for n, v in checks.items()], passed.alias("passed"))
+
+
 def audited(expected: DataFrame, scopes: DataFrame) -> DataFrame:
     """(project_id, kind, product, area, markup) against the scope found for it: one of its type, best with the product's name, then by id; area within 1 %, markup within 0.02."""
     pairs = expected.join(scopes.select("project_id", F.lower("scope_type").alias("k"), "scope_id", "product_name", "square_footage", "markup_pct"), "project_id", "left").filter(F.col("k").isNull() | (F.col("k") == F.lower("kind")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse, text
-from ..operators import loads
+from ..operators import links, loads
 from .registry import add
 
 # --- scalar functions on inputs that meet every branch ---
@@ -52,3 +52,9 @@ add(
 )
 _RESULTS = lambda q: q.select("vendor", F.when(F.col("part_id") % 4 == 0, "vision").otherwise("text").alias("method"), (F.col("part_id") % 23 != 0).alias("good"), F.col("part_id").alias("tokens"))
 add("x16_batch_costs", ["quote_items"], lambda q: loads.batch_costs(_RESULTS(q), 0.000003, 0.000015), "SELECT *, round(good * 100.0 / results, 1) AS success_pct FROM (SELECT coalesce(vendor, 'unknown') AS vendor, CASE WHEN part_id % 4 = 0 THEN 'vision' ELSE 'text' END AS method, count(*) AS results, count(*) FILTER (part_id % 23 <> 0) AS good, CAST(sum(part_id) AS BIGINT) AS tokens, CAST(round(CAST(floor(sum(part_id) * CAST(0.8 AS DOUBLE)) * CAST(0.000003 AS DOUBLE) + (sum(part_id) - floor(sum(part_id) * CAST(0.8 AS DOUBLE))) * CAST(0.000015 AS DOUBLE) AS DECIMAL(20,8)), 6) AS DOUBLE) AS cost FROM quote_items GROUP BY 1, 2)")
+
+_FORMATS = "CASE WHEN project_id % 3 = 0 THEN 'B' ELSE 'A' END AS format"
+add(
+    "j10_audited_in_full", ["scopes", "projects"], lambda s, p: links.audited_in_full(s.selectExpr("scope_id AS expected_id", "project_id", "scope_type AS kind", "CASE WHEN man_days > 5 THEN substr(product_name, 1, 4) END AS product", "CASE WHEN man_days > 3 THEN square_footage * CAST(1.008 AS DOUBLE) END AS area", "CASE WHEN markup_pct > 0.1 THEN markup_pct + CAST(0.01 AS DOUBLE) END AS markup", "CASE WHEN man_days > 8 THEN 'B' END AS format"), s, p.selectExpr("project_id", _FORMATS)),
+    "SELECT expected_id, scope_id, product_ok, area_ok, markup_ok, format_ok, coalesce(product_ok, true) AND coalesce(area_ok, true) AND coalesce(markup_ok, true) AND coalesce(format_ok, true) AS passed FROM (SELECT expected_id, scope_id, CASE WHEN product IS NOT NULL THEN coalesce(prefers, false) END AS product_ok, CASE WHEN area IS NOT NULL THEN coalesce(abs(square_footage - area) <= area * CAST(0.01 AS DOUBLE), false) END AS area_ok, CASE WHEN markup IS NOT NULL THEN coalesce(round(abs(markup_pct - markup), 6) <= 0.02, false) END AS markup_ok, CASE WHEN wanted IS NOT NULL THEN coalesce((project_id % 3 = 0) = (wanted = 'B'), false) END AS format_ok FROM (SELECT *, row_number() OVER (PARTITION BY expected_id ORDER BY prefers DESC NULLS LAST, scope_id) AS r FROM (SELECT e.scope_id AS expected_id, e.project_id, e.product, e.area, e.markup, e.wanted, s.scope_id, s.square_footage, s.markup_pct, contains(lower(s.product_name), lower(e.product)) AS prefers FROM (SELECT scope_id, project_id, scope_type, CASE WHEN man_days > 5 THEN substr(product_name, 1, 4) END AS product, CASE WHEN man_days > 3 THEN square_footage * CAST(1.008 AS DOUBLE) END AS area, CASE WHEN markup_pct > 0.1 THEN markup_pct + CAST(0.01 AS DOUBLE) END AS markup, CASE WHEN man_days > 8 THEN 'B' END AS wanted FROM scopes) e JOIN scopes s ON s.project_id = e.project_id AND s.scope_type = e.scope_type)) WHERE r = 1)",
+)
