@@ -7,7 +7,7 @@ bits is joined with itself: pairs of nodes go down together, add up the bits in
 differ, and end where the error budget is exceeded.  Since leaves differ, a leaf has at most 528
 partners there, so the work is linear in a key's leaves.  A key with more than HOT leaves is split
 first: its leaves are copied to pairs of nodes eight bits down (37 at most), each a task's key of its
-own.  Links leave a key as a star, and components are found by alternating large and small stars
+own, and a node that still has more is split again.  Links leave a key as a star, and components are found by alternating large and small stars
 over tables written to the shared folder.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; repeated
@@ -31,7 +31,7 @@ from .common import written
 BUDGET = 2
 #: Words of a shingle.
 WORDS = 3
-#: Leaves above which one trie is split eight bits down.
+#: Leaves above which one trie, or one node of it, is split eight bits further down.
 HOT = 20_000
 #: Node pairs that one step of the traversal holds.
 FRONT = 400_000
@@ -82,16 +82,22 @@ def trie_keys(fps: DataFrame) -> DataFrame:
 
 
 def split_hot(keys: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """(trie, node, rest, fp): node is -1, or in tries of over ``hot`` leaves the smaller end of a pair of nodes eight bits down.
+    """(trie, node, rest, fp): node is -1, or in tries of over ``hot`` leaves the smaller end of a pair of nodes eight bits down, and so on while a node has more.
 
-    A leaf goes to each node whose first eight bits differ from its own in ``budget`` bits at most,
-    so two linked leaves meet at least once: at the node of either.
+    A leaf goes to each node whose bits differ from its own in what is left of ``budget`` at most, so two
+    linked leaves meet at least once: at the node of either.  After 32 bits a node has 529 leaves at most.
     """
-    counts = keys.groupBy("trie").count().filter(F.col("count") > hot).select("trie", F.lit(True).alias("hot"))
-    near = [m for m in range(256) if m.bit_count() <= budget]
-    top = F.shiftrightunsigned("rest", 24)
-    nodes = F.when(F.col("hot"), F.transform(F.array(*map(F.lit, near)), lambda m: top.bitwiseXOR(m.cast("long")))).otherwise(F.array(F.lit(-1).cast("long")))
-    return keys.join(counts, "trie", "left").select("trie", F.explode(nodes).alias("node"), "rest", "fp")
+    near = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m.bit_count()).alias("bits")) for m in range(256) if m.bit_count() <= budget])
+    rows = keys.select("trie", F.lit(-1).cast("long").alias("node"), "rest", "fp", F.lit(budget).alias("left"))
+    for shift in (24, 16, 8, 0):
+        large = written(rows.groupBy("trie", "node").count().filter(F.col("count") > hot).select("trie", "node", F.lit(True).alias("hot")), "hot")
+        if large.isEmpty():
+            break
+        own = F.shiftrightunsigned("rest", shift).bitwiseAND(F.lit(255))
+        down = F.transform(F.filter(near, lambda x: x["bits"] <= F.col("left")), lambda x: F.struct(((F.col("node") + 1) * 256 + own.bitwiseXOR(x["mask"])).alias("node"), (F.col("left") - x["bits"]).alias("left")))
+        stay = F.array(F.struct("node", "left"))
+        rows = rows.join(large, ["trie", "node"], "left").select("trie", "rest", "fp", F.explode(F.when(F.col("hot"), down).otherwise(stay)).alias("x")).select("trie", "x.node", "rest", "fp", "x.left")
+    return rows.select("trie", "node", "rest", "fp")
 
 
 def linked(leaves: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:

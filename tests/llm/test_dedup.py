@@ -166,3 +166,28 @@ def test_bands_links_that_only_others_than_the_smallest_have(spark):
 def test_budget_that_keys_cannot_reach_is_refused(spark):
     with pytest.raises(ValueError, match="bits"):
         simhash.links(spark.createDataFrame([(1,), (2,)], "fp long"), budget=3)
+
+
+def test_one_hot_trie_is_split_until_it_is_not(spark):
+    rng = random.Random(12)
+    fps = sorted({(0x1234 << 48) | (0xABCD << 32) | sum(1 << b for b in rng.sample(range(32), rng.randint(0, 3))) for _ in range(400)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    parent = {f: f for f in signed}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(signed):
+        for b in signed[i + 1 :]:
+            if (a ^ b).bit_count() <= 2:
+                parent[find(b)] = find(a)
+    want = {frozenset(f for f in signed if find(f) == r) for r in {find(f) for f in signed}}
+    for f in signed:
+        parent[f] = f
+    for r in simhash.links(df, hot=20).collect():
+        assert (r["a"] ^ r["b"]).bit_count() <= 64
+        parent[find(r["b"])] = find(r["a"])
+    assert {frozenset(f for f in signed if find(f) == r) for r in {find(f) for f in signed}} == want
