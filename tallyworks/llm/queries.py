@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, html_text, language_id, mixing, pii, simhash, token_counts, toxicity, vector_codes
+from . import chat_format, decontaminate, exact_dedup, html_text, language_id, mixing, pii, prefix_trie, simhash, token_counts, toxicity, vector_codes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": lambda spark, d: simhash.op8(table(spark, d, "documents")),
         "op9_html_text": lambda spark, d: html_text.op9(table(spark, d, "pages")),
         "op10_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
+        "op11_prefix_trie": lambda spark, d: prefix_trie.op11(table(spark, d, "conversations")),
         "op12_vector_codes": lambda spark, d: vector_codes.op12(table(spark, d, "embeddings")),
     }
 
@@ -35,5 +36,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY norm)""",
+        "op11_prefix_trie": prefix_trie.ORACLE,
         "op12_vector_codes": vector_codes.oracle(),
     }
