@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, html_text, language_id, mixing, pii, prefix_trie, simhash, token_counts, toxicity, vector_codes
+from . import chat_format, decontaminate, exact_dedup, html_text, language_id, mixing, order_minhash, pii, prefix_trie, simhash, token_counts, toxicity, vector_codes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op10_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
         "op11_prefix_trie": lambda spark, d: prefix_trie.op11(table(spark, d, "conversations")),
         "op12_vector_codes": lambda spark, d: vector_codes.op12(table(spark, d, "embeddings")),
+        "op13_order_minhash": lambda spark, d: order_minhash.op13(table(spark, d, "documents")),
     }
 
 
