@@ -137,6 +137,55 @@ def linked(leaves: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int = BUD
     return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))  # type: ignore[return-value]
 
 
+def linked_wide(leaves: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """``linked`` for fingerprints of several words: rows of ``leaves`` (uint64), sorted inside each [lo, hi)."""
+    words = leaves.shape[1]
+    totals: dict[int, np.ndarray] = {}  # of a bit, how many leaves before each have it; only of the depths in use
+
+    def ones(depth: int) -> np.ndarray:
+        if depth not in totals:
+            bit = (leaves[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
+            totals[depth] = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
+        return totals[depth]
+
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    stack = [(0, np.stack([lo, hi, lo, hi, np.zeros(len(lo), np.int64)])[:, hi - lo > 1])]
+    while stack:
+        depth, front = stack.pop()
+        for old in [d for d in totals if d > depth + 1]:
+            del totals[old]
+        if front.shape[1] > FRONT // words:
+            half = front.shape[1] // 2
+            stack += [(depth, front[:, :half]), (depth, front[:, half:])]
+            continue
+        single = (front[1] - front[0] == 1) & (front[3] - front[2] == 1)
+        a, b = front[0, single], front[2, single]
+        if len(a):
+            ok = (np.bitwise_count(leaves[a] ^ leaves[b]).sum(axis=1, dtype=np.int64) <= budget) & (a != b)
+            found.append((a[ok], b[ok]))
+        front = front[:, ~single]
+        if not front.shape[1]:
+            continue
+        if depth == 64 * words:  # equal fingerprints
+            for l1, h1, l2, h2, _ in front.T.tolist():
+                a, b = (x.ravel() for x in np.meshgrid(np.arange(l1, h1), np.arange(l2, h2), indexing="ij"))
+                keep = (a < b) if l1 == l2 else np.ones(len(a), bool)
+                found.append((a[keep], b[keep]))
+            continue
+        total = ones(depth)
+        mid1, mid2 = front[1] - (total[front[1]] - total[front[0]]), front[3] - (total[front[3]] - total[front[2]])
+        same = front[0] == front[2]
+        parts = []
+        for l1, h1, l2, h2, cost, only in [(front[0], mid1, front[2], mid2, 0, None), (mid1, front[1], mid2, front[3], 0, None), (front[0], mid1, mid2, front[3], 1, None), (mid1, front[1], front[2], mid2, 1, ~same)]:
+            keep = (h1 > l1) & (h2 > l2) & (front[4] + cost <= budget)
+            keep &= ~((l1 == l2) & (h1 - l1 == 1))
+            if only is not None:
+                keep &= only
+            parts.append(np.stack([l1[keep], h1[keep], l2[keep], h2[keep], front[4, keep] + cost]))
+        stack.append((depth + 1, np.concatenate(parts, axis=1)))
+    return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))  # type: ignore[return-value]
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest node that the edges a-b reach."""
     root = np.arange(n)

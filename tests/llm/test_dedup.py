@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tallyworks.llm import exact_dedup, simhash
+from tallyworks.llm import near_copies as near
 from tallyworks.llm.near_copies import near_components
 
 SCHEMA = "doc_id long, text string, keep_id string, digest string"
@@ -114,6 +115,22 @@ def test_trie_join_against_all_pairs():
     assert len(a) == len(got)
 
 
+@pytest.mark.parametrize("budget", [0, 3, 40, 128])
+def test_wide_trie_join_against_all_pairs(budget):
+    rng = np.random.default_rng(budget)
+    seeds = rng.integers(0, 2**64, (30, 2), dtype=np.uint64)
+    flips = [seeds ^ (np.uint64(1) << rng.integers(0, 64, seeds.shape, dtype=np.uint64)) for _ in range(3)]
+    leaves = np.concatenate([seeds, seeds[:7], *flips])
+    group = rng.integers(0, 3, len(leaves))
+    order = np.lexsort([leaves[:, 1], leaves[:, 0], group])
+    leaves, group = leaves[order], group[order]
+    edges = np.searchsorted(group, [0, 1, 2])
+    a, b = simhash.linked_wide(leaves, edges, np.append(edges[1:], len(group)), budget)
+    got = sorted(tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True))
+    differ = lambda i, j: sum(int(x).bit_count() for x in leaves[i] ^ leaves[j])
+    assert got == [(i, j) for i in range(len(leaves)) for j in range(i + 1, len(leaves)) if group[i] == group[j] and differ(i, j) <= budget]
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
@@ -153,6 +170,62 @@ def test_pipeline_drops_all_near_copies(spark):
     assert {r["doc_id"] for r in out.collect()} == {*want, 2000, None}
 
 
+def cloud(n, seed):
+    """Variants of one text, each with changes of its own: about half of their pairs are similar."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    out = []
+    for _ in range(n):
+        own = base[:]
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("block", [near.BLOCK, 3000])
+def test_cloud_of_variants_against_exact_similarity(spark, block):
+    texts = cloud(120, 2) + cloud(5, 3)[:1] + ["other words that nobody has here at all"] * 2
+    low = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if low[a] != low[b] and similarity(texts[a], texts[b]) >= 0.8:
+                low = [min(low[a], low[b]) if x in (low[a], low[b]) else x for x in low]
+    got = near_components(frame(spark, list(enumerate(texts))), block).collect()
+    assert [x for _, x in sorted((r["doc_id"], r["component_id"]) for r in got)] == low
+
+
+def test_sets_of_four_and_five_shingles_are_within_the_budget():
+    rng = np.random.default_rng(8)
+    far = 0
+    for _ in range(3000):
+        own = rng.integers(0, 2**64, 5, dtype=np.uint64)
+        far = max(far, int(np.bitwise_count(near.wide_fingerprint(own) ^ near.wide_fingerprint(own[:4])).sum()))
+    assert 96 < far <= near.BUDGET
+
+
+def test_long_sets_travel_in_pieces(spark):
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:4700])), (3, " ".join(words[2500:])), (4, " ".join(words[::-1]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_components(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_recall_of_near_copies_on_a_given_table(spark):
+    """Documents whose id is divisible by 20 against all rows, by the exact similarity of their sets."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    root = {r["doc_id"]: r["component_id"] for r in near_components(df).collect()}
+    sets_ = {r["doc_id"]: near.shingles(r["text"]) for r in df.collect()}
+    links = found = 0
+    for a in (i for i in sets_ if i % 20 == 0):
+        for b in sets_:
+            n = len(np.intersect1d(sets_[a], sets_[b], assume_unique=True)) if a != b else 0
+            if n * 9 >= (len(sets_[a]) + len(sets_[b])) * 4 and n:
+                links += 1
+                found += root[a] == root[b]
+    assert links and found >= 0.9 * links
+
+
 def test_bands_links_that_only_others_than_the_smallest_have(spark):
     rng = random.Random(5)
     own = [[f"w{rng.randrange(10**6)}" for _ in range(300)]]
