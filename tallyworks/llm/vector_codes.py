@@ -41,7 +41,7 @@ SCALE = 1024
 #: Parts of a vector, entries of a codebook, rounds of learning.
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Split points of a node of the tree; a node of fewer entries is a leaf.
-FANOUT = 12
+FANOUT = 24
 #: Relative error that bounds of distances are widened by; a square root's is below 2^-52.
 SLACK = 2.0**-48
 
@@ -51,12 +51,18 @@ class Gnat:
 
     def __init__(self, points: np.ndarray, fanout: int = FANOUT):
         self.points, self.fanout = points.astype(np.int64), fanout
+        self.norms = (self.points**2).sum(axis=1)
         # (split points, children, low, high): children[i] is a node or None; low[i, j] and high[i, j] bound the distances from split j to child i's points
         self.root = self._node(np.arange(len(points)))
         self.compared = 0
 
-    def _squares(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Exact squared distances of the rows of a to the rows of b."""
+    def _squares(self, a: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Exact squared distances of the rows of a to own points."""
+        b = self.points[own]
+        most = max(int(np.abs(a).max(initial=0)), int(np.abs(b).max(initial=0)))
+        if 4 * a.shape[1] * most**2 < 2**53:  # all sums are whole numbers that a double holds, so the product is exact
+            inner = (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+            return (a**2).sum(axis=1)[:, None] + self.norms[own][None, :] - 2 * inner
         out = np.zeros((len(a), len(b)), np.int64)
         for k in range(a.shape[1]):
             out += (a[:, k, None] - b[None, :, k]) ** 2
@@ -67,11 +73,11 @@ class Gnat:
             return own, [], None, None
         chosen, far = [0], np.full(len(own), np.iinfo(np.int64).max)
         while len(chosen) < self.fanout:  # the next is the farthest from those chosen
-            far = np.minimum(far, self._squares(self.points[own], self.points[own[chosen[-1:]]])[:, 0])
+            far = np.minimum(far, self._squares(self.points[own], own[chosen[-1:]])[:, 0])
             far[chosen] = -1
             chosen.append(int(np.argmax(far)))
         splits, rest = own[chosen], np.delete(own, chosen)
-        roots = np.sqrt(self._squares(self.points[rest], self.points[splits]).astype(np.float64))
+        roots = np.sqrt(self._squares(self.points[rest], splits).astype(np.float64))
         nearest = roots.argmin(axis=1)
         children, low, high = [], np.full((self.fanout, self.fanout), np.inf), np.full((self.fanout, self.fanout), -np.inf)
         for i in range(self.fanout):
@@ -88,7 +94,7 @@ class Gnat:
         stack = [(self.root, np.arange(len(queries)))] if len(self.points) else []
         while stack:
             (splits, children, low, high), active = stack.pop()
-            found = self._squares(queries[active], self.points[splits])
+            found = self._squares(queries[active], splits)
             self.compared += found.size
             least = found.min(axis=1)
             row = np.where(found == least[:, None], splits[None, :], np.iinfo(np.int64).max).min(axis=1)
