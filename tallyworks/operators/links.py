@@ -104,7 +104,7 @@ def audited_in_full(expected: DataFrame, scopes: DataFrame, formats: DataFrame)
     found = scopes.select("project_id", F.lower("scope_type").alias("k"), "scope_id", "product_name", "square_footage", "markup_pct")
     pairs = expected.withColumn("k", F.lower("kind")).join(found, ["project_id", "k"], "left")
     prefers = F.contains(F.lower("product_name"), F.lower("product"))
-    best = pairs.withColumn("prefers", prefers).withColumn("r", F.row_number().over(Window.partitionBy("expected_id").orderBy(F.desc_nulls_last("prefers"), "scope_id"))).filter("r = 1")
+    best = pairs.withColumn("prefers", prefers).withColumn("r", F.row_number().over(Window.partitionBy("expected_id").orderBy(F.desc_nulls_last("prefers"), "scope_id", "square_footage", "markup_pct"))).filter("r = 1")
     rows = best.join(formats.select("project_id", F.col("format").alias("has")), "project_id", "left")
     off = F.abs(F.col("square_footage") - F.col("area"))
     said = lambda c, ok: F.when(F.col(c).isNotNull(), F.coalesce(ok, F.lit(False)))
@@ -117,7 +117,7 @@ def audited(expected: DataFrame, scopes: DataFrame) -> DataFrame:
     """(project_id, kind, product, area, markup) against the scope found for it: one of its type, best with the product's name, then by id; area within 1 %, markup within 0.02."""
     pairs = expected.join(scopes.select("project_id", F.lower("scope_type").alias("k"), "scope_id", "product_name", "square_footage", "markup_pct"), "project_id", "left").filter(F.col("k").isNull() | (F.col("k") == F.lower("kind")))
     rows = expected.select("project_id").join(pairs.withColumn("prefers", F.contains(F.lower("product_name"), F.lower("product"))), "project_id", "left")
-    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc_nulls_last("prefers"), "scope_id"))).filter("r = 1")
+    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc_nulls_last("prefers"), "scope_id", "square_footage", "markup_pct"))).filter("r = 1")
     return best.select(
         "project_id", "scope_id", F.coalesce(F.abs(F.col("square_footage") - F.col("area")) <= F.col("area") * 0.01, F.lit(False)).alias("area_ok"),
         F.coalesce(F.round(F.abs(F.col("markup_pct") - F.col("markup")), 6) <= 0.02, F.lit(False)).alias("markup_ok"),

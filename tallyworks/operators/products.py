@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,48 +38,92 @@ def _sorted_words(text: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(text, r"\s+"), lambda w: w != "")), " ")
 
 
-def _keys(text: Column, short: int) -> Column:
-    """What two texts that are alike enough have in common: each two characters in a row, and single ones of texts of ``short`` characters at most."""
-    runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: text.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(runs(2), F.when(F.length(text) <= short, runs(1)).otherwise(F.array().cast("array<string>"))))
+#: Ratio of the ends of a band of lengths.
+BAND = 1.25
+
+
+def _common(n: Column, m: Column) -> Column:
+    """Least length of the common subsequence of texts of n and m characters that are alike enough."""
+    return F.ceil((n + m) * LEAST / 200.0).cast("int")
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(BAND) + 1e-9).cast("int")
+
+
+def _numbered(parts: Column) -> Column:
+    """A bag as a set: each part with its number among equal ones."""
+    return F.flatten(F.transform(F.array_distinct(parts), lambda c: F.transform(F.sequence(F.lit(1), F.size(F.filter(parts, lambda x: x == c))), lambda k: F.concat(c, F.lit("\0"), k.cast("string")))))
+
+
+def _runs(text: Column, q: int) -> Column:
+    """Runs of q characters, as a bag."""
+    return F.when(F.length(text) >= q, F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: text.substr(i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+
+
+def _ranked(texts: DataFrame, common: DataFrame) -> DataFrame:
+    """(text) with ``tokens``: its numbered characters, rarest first by ``common`` (token, df); those it hasn't got are rarest."""
+    each = texts.select("text", F.explode(_numbered(_runs(F.col("text"), 1))).alias("token")).join(common, "token", "left")
+    return each.groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))), lambda x: x["token"]).alias("tokens"))
+
+
+def _prefix_keys(ranked: DataFrame, first: bool) -> DataFrame:
+    """(text, key): for each band of lengths that a like text can have, each two of the rarest tokens that must hold two of the common ones."""
+    n = F.length("text")
+    bands = F.sequence(_band(F.greatest(F.ceil(n * LEAST / (200.0 - LEAST)), F.lit(1))), _band(F.greatest(F.floor(n * (200.0 - LEAST) / LEAST), F.lit(1))))
+    rows = ranked.select("text", "tokens", n.alias("n"), F.explode(bands).alias("other"))
+    least = F.greatest(F.ceil(F.pow(F.lit(BAND), F.col("other")) - 1e-9).cast("int"), F.lit(1))
+    rows = rows.withColumn("p", F.least(F.col("n"), F.col("n") - _common(F.col("n"), least) + 2))
+    rows = rows.filter("p >= 2").withColumn("head", F.slice("tokens", 1, F.col("p")))
+    two = F.flatten(F.transform("head", lambda x, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pair = (_band(F.col("n")), F.col("other")) if first else (F.col("other"), _band(F.col("n")))
+    return rows.select("text", *[c.alias(k) for c, k in zip(pair, ("band_a", "band_b"), strict=True)], F.explode(two).alias("t")).select("text", F.xxhash64("band_a", "band_b", "t.x", "t.y").alias("key"))
+
+
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of distinct non-empty texts (column text of each) that pass all counts which like texts must pass.
+
+    A prefix-filter join.  Where 2 LCS / (n + m) reaches the threshold, the texts have LCS characters in
+    common as bags.  Characters of each text are ordered by rarity; two of the common ones are then among the
+    first n - LCS + 2 of the one and the first m - LCS + 2 of the other, so two rare characters and the bands
+    of both lengths are the key.  (One character in common, as texts of length 1 have it, is equality.)
+    Then lengths, bags of characters, and bags of two characters in a row are counted: a subsequence is broken
+    at n + m - 2 LCS places at most, so all but as many of its LCS - 1 neighbours stand together in both texts.
+    """
+    left, right = (x.select("text").filter("text <> ''").distinct() for x in (left, right))
+    common = right.select(F.explode(_numbered(_runs(F.col("text"), 1))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    keys = _prefix_keys(_ranked(left, common), True).withColumnRenamed("text", "a")
+    pairs = keys.join(_prefix_keys(_ranked(right, common), False).withColumnRenamed("text", "b"), "key").select("a", "b").distinct()
+    n, m = F.length("a"), F.length("b")
+    bag = lambda q: F.size(F.array_intersect(_numbered(_runs(F.col("a"), q)), _numbered(_runs(F.col("b"), q))))
+    pairs = pairs.filter(F.least(n, m) >= _common(n, m)).filter(bag(1) >= _common(n, m)).filter(bag(2) >= 3 * _common(n, m) - n - m - 1)
+    same = left.join(right, "text", "left_semi").select(F.col("text").alias("a"), F.col("text").alias("b"))
+    return pairs.unionByName(same).distinct()
 
 
 def match(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, canonical, score) of each distinct non-blank name; aliases are (alias, canonical, position), a later position wins a repeated alias.
 
-    Exact aliases count 1.0.  The rest meets aliases by shared characters, which loses nothing: where
-    2 LCS / (n + m) is 0.75 or more, the LCS is broken at n + m - 2 LCS places at most, so from n + m = 9
-    on a part of it is two characters long.  A name of six characters can't be like enough to an alias
-    with which it has fewer; shorter names and aliases meet by single characters too.  Candidates are
-    told apart by length and counts of characters before they are scored.
+    Exact aliases count 1.0.  The rest is scored against the aliases that ``candidates`` leaves, which loses none.
     """
     known = aliases.groupBy(F.lower("alias").alias("key")).agg(F.max_by("canonical", "position").alias("canonical"), F.max_by("alias", "position").alias("alias"), F.max("position").alias("position"))
     own = names.select("name").filter(F.trim("name") != "").distinct()
     exact = own.join(known, F.lower(F.trim("name")) == F.col("key")).select("name", "canonical", F.lit(1.0).alias("score"))
     rest = own.join(exact.select("name"), "name", "left_anti").withColumn("a", _sorted_words(F.col("name")))
     table = known.select("alias", "canonical", "position", _sorted_words(F.col("alias")).alias("b"))
-    left = rest.select("name", "a", F.explode(_keys(F.col("a"), 5)).alias("gram"))
-    right = table.select("alias", "canonical", "position", "b", F.explode(_keys(F.col("b"), 8)).alias("gram"))
-    n, m = F.length("a"), F.length("b")
-    pairs = left.join(right, "gram").filter(F.least(n, m) * 200.0 >= (n + m) * LEAST).select("name", "a", "alias", "canonical", "position", "b").distinct()
+    pairs = candidates(rest.select(F.col("a").alias("text")), table.select(F.col("b").alias("text")))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [likeness(a, b) if may_be_like(a, b) else 0.0 for a, b in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(scores)], ["name", "alias", "canonical", "position", "score"])
+            scores = [likeness(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["a", "b", "score"])
 
-    types = dict(pairs.dtypes)
-    found = pairs.mapInArrow(scored, f"name string, alias string, canonical {types['canonical']}, position {types['position']}, score double").filter(F.col("score") >= LEAST)
-    best = found.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), "position", "alias")).alias("x"))
-    out = rest.select("name").join(best, "name", "left").select("name", "x.canonical", F.round(F.col("x.score") / 100, 4).alias("score"))
+    found = pairs.mapInArrow(scored, "a string, b string, score double").filter(F.col("score") >= LEAST)
+    best = found.join(table, "b").groupBy("a").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), "position", "alias")).alias("x"))
+    out = rest.join(best, "a", "left").select("name", "x.canonical", F.round(F.col("x.score") / 100, 4).alias("score"))
     return exact.unionByName(out)
 
 
-def may_be_like(a: str, b: str) -> bool:
-    """No more characters are shared than both have; cheap to see."""
-    return 200.0 * (Counter(a) & Counter(b)).total() >= LEAST * (len(a) + len(b))
-
-
 def match_rate(links: DataFrame) -> DataFrame:
     """Names, those linked to a product, and their share in percent (from ``linked``)."""
     return links.agg(F.count("*").alias("names"), F.count("product").alias("linked"), F.round(F.count("product") * 100.0 / F.count("*"), 1).alias("pct"))

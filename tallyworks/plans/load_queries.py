@@ -9,7 +9,7 @@ from ..operators import links, loads
 from .registry import add
 
 # --- scalar functions on inputs that meet every branch ---
-add("f2_backfill_dates", ["raw_fields"], lambda r: r.select("row_id", text.backfill_date(F.col("date_text")).alias("dated")), "SELECT row_id, CAST(CASE row_id % 7 WHEN 0 THEN try_strptime(date_text, '%Y-%m-%d') WHEN 2 THEN try_strptime(date_text, '%m/%d/%y') WHEN 1 THEN try_strptime(date_text, '%m/%d/%Y') WHEN 6 THEN try_strptime(date_text, '%m/%d/%Y') END AS DATE) AS dated FROM raw_fields")
+add("f2_backfill_dates", ["raw_fields"], lambda r: r.select("row_id", text.backfill_date(F.col("date_text")).alias("dated")), "SELECT row_id, nullif(CAST(CASE row_id % 7 WHEN 0 THEN try_strptime(date_text, '%Y-%m-%d') WHEN 2 THEN try_strptime(date_text, '%m/%d/%y') WHEN 1 THEN try_strptime(date_text, '%m/%d/%Y') WHEN 6 THEN try_strptime(date_text, '%m/%d/%Y') END AS DATE), DATE '2024-02-29') AS dated FROM raw_fields")
 _DATED = "CASE WHEN project_id % 3 = 0 THEN 'x ' || month(created_on) || '.' || day(created_on) || '.2' || (project_id % 10) || ' b.xlsx' WHEN project_id % 3 = 1 THEN 'bid (' || month(created_on) || '.31.25).pdf' ELSE 'v1.2.3.4.24 none' END"
 add("f7_name_dates", ["projects"], lambda p: p.selectExpr("project_id", f"{_DATED} AS n").select("project_id", parse.name_date(F.col("n")).alias("dated")), "SELECT project_id, CASE WHEN project_id % 3 = 0 AND project_id % 10 <= 7 THEN CAST(try_strptime('202' || (project_id % 10) || '-' || month(created_on) || '-' || day(created_on), '%Y-%m-%d') AS DATE) WHEN project_id % 3 = 1 THEN CAST(try_strptime('2025-' || month(created_on) || '-31', '%Y-%m-%d') AS DATE) END AS dated FROM projects")
 _NAMED = "CASE project_id % 6 WHEN 0 THEN 'Curved WOOD panel' WHEN 1 THEN 'Fine Fissured tile' WHEN 2 THEN 'Tegular 2x2' WHEN 3 THEN 'Economy board' WHEN 4 THEN NULL ELSE 'Budget dune' END"

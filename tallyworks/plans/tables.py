@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SOURCES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
+# A scope's id holds the quantity, without which one row of sf0.001 would have another's.
 TABLES: dict[str, tuple[list[str], str]] = {
     "projects": (
         ["orders", "customer"],
@@ -37,7 +38,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
           man_days * COALESCE(daily_labor_rate, 725) AS labor_price, material_cost * CAST(0.06 AS DOUBLE) AS sales_tax,
           (material_cost * (1 + COALESCE(markup_pct, 0)) + man_days * COALESCE(daily_labor_rate, 725) + material_cost * CAST(0.06 AS DOUBLE)) * CASE WHEN part_id % 13 = 0 THEN CAST(1.05 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS total
         FROM (
-          SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) || '-' || CAST(l.l_partkey AS STRING) || '-' || CAST(l.l_suppkey AS STRING) AS scope_id,
+          SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) || '-' || CAST(l.l_partkey AS STRING) || '-' || CAST(l.l_suppkey AS STRING) || '-' || CAST(CAST(l.l_quantity AS INT) AS STRING) AS scope_id,
             l.l_orderkey AS project_id, l.l_partkey AS part_id,
             CASE WHEN l.l_partkey % 50 = 0 THEN 'AP' WHEN l.l_partkey % 50 = 1 THEN 'RPG' WHEN l.l_partkey % 50 = 2 THEN 'Other'
                  WHEN p.p_partkey % 6 = 0 THEN 'ACT' WHEN p.p_partkey % 6 = 1 THEN 'AWP' WHEN p.p_partkey % 6 = 2 THEN 'FW'

@@ -49,3 +49,34 @@ def test_no_like_alias_is_missed(spark):
             continue
         best = 100.0 if n.strip() in aliases else max(products.likeness(n, a) for a in aliases)
         assert got[n] == (pytest.approx(best / 100, abs=1e-4) if best >= 75 else None)
+
+
+def catalogue(n, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("aaeeiioubcdfghklmnprstw") for _ in range(rng.randint(3, 9))) for _ in range(800)]
+    return sorted({" ".join(rng.sample(words, 3)) for _ in range(n)})
+
+
+def test_candidates_of_a_catalogue_are_few_and_whole(spark):
+    rng = random.Random(9)
+    aliases = catalogue(1500, 1)
+    names = []
+    for a in aliases[:120]:
+        b = list(a)
+        for _ in range(2):
+            b[rng.randrange(len(b))] = rng.choice("xyz")
+        names.append(" ".join(sorted("".join(b).split())))
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    sorted_aliases = sorted({" ".join(sorted(a.split())) for a in aliases})
+    got = {(r["a"], r["b"]) for r in products.candidates(frame(names), frame(sorted_aliases)).collect()}
+    like = {(a, b) for a in names for b in sorted_aliases if min(len(a), len(b)) * 8 >= 3 * (len(a) + len(b)) and products.likeness(a, b) >= products.LEAST}
+    assert like and like <= got
+    assert len(got) <= 36 * len(set(names))
+
+
+def test_candidates_of_the_given_names(spark):
+    part = spark.read.parquet("/root/testdata/sf0.1/part.parquet").selectExpr("p_name AS name").distinct()
+    spelt = part.selectExpr("explode(array(upper(name), name || 'x', reverse(name), 'zq ' || name || ' yw')) AS text")
+    sorted_words = lambda df, c: df.select(products._sorted_words(df[c]).alias("text"))
+    n = products.candidates(sorted_words(spelt, "text"), sorted_words(part, "name")).count()
+    assert n <= 8 * spelt.distinct().count()
