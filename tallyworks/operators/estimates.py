@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +14,6 @@ DAYS_PER_1000_SF = {"ACT": 0.70, "AWP": 1.80, "AP": 2.00, "FW": 1.50, "WW": 3.00
 DEFAULTS = (12.00, 0.33, 1.20)
 ACCURACY, GENERAL_ACCURACY = {"ACT": 0.87, "AWP": 0.82, "FW": 0.79}, 0.73
 RATE, TAX, LEAST_CONFIDENCE = 725.0, 0.075, 0.3
-#: Hash buckets in which a target's candidates are ranked before all of them are.
-BUCKETS = 256
 
 
 def _of(table: dict[str, float], kind: Column, default: float) -> Column:
@@ -62,36 +58,6 @@ def similarity(kind: Column, area: Column, cost: Column, other_kind: Column, oth
     return F.when(cost.isNotNull() & other_cost.isNotNull(), base + price * 0.2).otherwise(base / 0.8)
 
 
-def comparable_projects(targets: DataFrame, scopes: DataFrame, n: int = 3, most_targets: int = 10_000) -> DataFrame:
-    """For each target (target_id, kind, area, cost) the n projects whose best scope is most like it; ties go to the smaller project.
-
-    A scope of the target's type scores above any other, so a target is joined by type where n projects
-    have it, and with all scopes only where fewer do.  Targets are broadcast, ``most_targets`` at a time;
-    scores are combined to the best of a target and project before they are shuffled, and only the n best
-    of a target in each hash bucket of projects go on to its ranking.
-    """
-    parts = _slices(targets, most_targets)
-    if len(parts) > 1:
-        return reduce(DataFrame.unionByName, [comparable_projects(part, scopes, n, most_targets) for part in parts])
-    rows = scopes.filter("square_footage > 0").select("project_id", "scope_type", "square_footage", F.when(F.col("cost_per_unit") > 0, F.col("cost_per_unit")).alias("cost_per_unit"))
-    score = similarity(F.col("kind"), F.col("area"), F.col("cost"), F.col("scope_type"), F.col("square_footage"), F.col("cost_per_unit"))
-    common = rows.groupBy("scope_type", "project_id").agg(F.lit(1)).groupBy("scope_type").agg(F.count("*").alias("projects")).filter(F.col("projects") >= n).select(F.col("scope_type").alias("kind"))
-    typed, other = (targets.filter("area > 0").join(common, "kind", how).select(*targets.columns) for how in ("left_semi", "left_anti"))
-    other = other.unionByName(targets.filter("not coalesce(area > 0, false)"))
-    pairs = rows.join(F.broadcast(typed), F.col("scope_type") == F.col("kind")).unionByName(rows.join(F.broadcast(other), F.lit(True)))
-    pairs = pairs.groupBy("target_id", "project_id").agg(F.round(F.max(score), 6).alias("score")).withColumn("bucket", F.pmod(F.xxhash64("project_id"), F.lit(BUCKETS)))
-    for keys in (["target_id", "bucket"], ["target_id"]):
-        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "project_id"))).filter(F.col("rank") <= n)
-    return pairs.select("target_id", "rank", "project_id", "score")
-
-
-def _slices(targets: DataFrame, most: int) -> list[DataFrame]:
-    """``targets`` in parts of about ``most`` rows by a hash of each row, itself if it is small enough: each part is a pass."""
-    parts = -(-targets.count() // most)
-    key = F.pmod(F.xxhash64(*targets.columns), F.lit(max(1, parts)))
-    return [targets] if parts <= 1 else [targets.filter(key == k) for k in range(parts)]
-
-
 def accuracy(estimates: DataFrame) -> DataFrame:
     """Mean absolute and mean signed error against what was spent, in percent."""
     rows = estimates.filter("actual_total_cost > 0 and total_estimate is not null")

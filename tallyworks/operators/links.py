@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import confidence_level
 from ..functions.parse import cents, exact
-from .estimates import LEAST_CONFIDENCE, _slices, price_suggestions, scope_confidence, similarity
+from .estimates import LEAST_CONFIDENCE, price_suggestions, scope_confidence
 
 #: Characters of the keys that candidates of a substring match share.
 GRAM = 3
@@ -163,24 +163,6 @@ def vendors_upserted(known: DataFrame, quotes: DataFrame) -> DataFrame:
     return known.select("name", "vendor_id", F.lit(False).alias("added")).unionByName(new)
 
 
-def comparable_scopes(targets: DataFrame, scopes: DataFrame, n: int = 5, most_targets: int = 10_000) -> DataFrame:
-    """For each target (target_id, kind, area) the n scopes most like it, costs aside; ties go to the smaller id.
-
-    Targets are broadcast, ``most_targets`` at a time.  Only a scope's n best by target and
-    hash bucket go on to the ranking of a target.
-    """
-    parts = _slices(targets, most_targets)
-    if len(parts) > 1:
-        return reduce(DataFrame.unionByName, [comparable_scopes(part, scopes, n, most_targets) for part in parts])
-    none = F.lit(None).cast("double")
-    rows = scopes.filter("square_footage is not null").select("scope_id", "scope_type", "square_footage", F.pmod(F.xxhash64("scope_id"), F.lit(256)).alias("bucket"))
-    score = F.round(similarity(F.col("kind"), F.col("area"), none, F.col("scope_type"), F.col("square_footage"), none), 6)
-    pairs = rows.join(F.broadcast(targets), F.lit(True)).select("target_id", "bucket", "scope_id", score.alias("score"))
-    for keys in (["target_id", "bucket"], ["target_id"]):
-        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "scope_id"))).filter(F.col("rank") <= n)
-    return pairs.select("target_id", "rank", "scope_id", "score")
-
-
 def plan_reports(plan_scopes: DataFrame) -> DataFrame:
     """Confidence of plans (plan_id, scope_id, scope_type, area_sf, confidence): scopes weighed by area (1 if unknown), a level, flags and what to do."""
     weight = F.coalesce("area_sf", F.lit(1.0))

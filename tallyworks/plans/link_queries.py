@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import links
+from ..operators import comparables, links
 from .registry import add
 
 _CLIENT = "CASE WHEN project_id % 12 = 0 THEN name || ' annex' WHEN project_id % 5 = 0 THEN regexp_replace(name, ' [0-9]+$', '') WHEN project_id % 7 = 0 THEN '' ELSE gc_name END"
@@ -47,7 +47,7 @@ add(
 add("s11_vendors_upserted", ["quote_items"], lambda q: links.vendors_upserted(q.filter("vendor is not null and line_no = 7 and quantity > 48").groupBy(F.col("vendor").alias("name")).agg(F.lit("old").alias("vendor_id")), q), "SELECT name, CASE WHEN old THEN 'old' ELSE sha256(name)[1:16] END AS vendor_id, NOT old AS added FROM (SELECT vendor AS name, bool_or(line_no = 7 AND quantity > 48) AS old FROM quote_items WHERE vendor IS NOT NULL GROUP BY 1)")
 _SIM = "(CASE WHEN s.scope_type = t.kind THEN CAST(0.5 AS DOUBLE) ELSE 0 END + CASE WHEN square_footage > 0 THEN CAST(0.3 AS DOUBLE) / (1 + abs(ln(area / square_footage))) ELSE 0 END) / CAST(0.8 AS DOUBLE)"
 add(
-    "w4_comparable_scopes", ["scopes"], lambda s: links.comparable_scopes(s.groupBy(F.col("scope_type").alias("kind")).agg(F.percentile("square_footage", 0.5).alias("area")).withColumn("target_id", F.col("kind")), s),
+    "w4_comparable_scopes", ["scopes"], lambda s: comparables.comparable_scopes(s.groupBy(F.col("scope_type").alias("kind")).agg(F.percentile("square_footage", 0.5).alias("area")).withColumn("target_id", F.col("kind")), s),
     f"SELECT target_id, rank, scope_id, score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, scope_id) AS rank FROM (SELECT kind AS target_id, scope_id, round({_SIM}, 6) AS score FROM scopes s, (SELECT scope_type AS kind, quantile_cont(square_footage, 0.5) AS area FROM scopes GROUP BY 1) t WHERE square_footage IS NOT NULL)) WHERE rank <= 5",
 )
 _PLAN = ["project_id AS plan_id", "scope_id", "scope_type", "square_footage AS area_sf", "man_days / CAST(13.7 AS DOUBLE) AS confidence"]

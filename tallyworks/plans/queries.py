@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse, rates
-from ..operators import checks, edits, estimates, links, models, prices, products, reports
-from . import document_queries, link_queries, load_queries, overview_queries, room_queries  # noqa: F401  (they register their own)
+from ..operators import checks, comparables, edits, estimates, links, models, prices, products, reports
+from . import document_queries, link_queries, load_queries, overview_queries, range_queries, room_queries  # noqa: F401  (they register their own)
 from .registry import FOUND, Query, add as _add
 
 #: Year that dates without one belong to, in the queries.
@@ -144,7 +144,7 @@ _add("z3_project_estimates", ["scopes"], lambda s: estimates.project_estimates(_
 _SIM = "(CASE WHEN s.scope_type = t.scope_type THEN CAST(0.5 AS DOUBLE) ELSE 0 END + CAST(0.3 AS DOUBLE) / (1 + abs(ln(t.a / square_footage))))"
 _add(
     "w3_comparable_projects", ["scopes"],
-    lambda s: estimates.comparable_projects(s.groupBy("scope_type").agg(F.percentile("square_footage", 0.5).alias("area"), F.percentile("cost_per_unit", 0.5).alias("cost")).select(F.col("scope_type").alias("target_id"), F.col("scope_type").alias("kind"), "area", "cost"), s),
+    lambda s: comparables.comparable_projects(s.groupBy("scope_type").agg(F.percentile("square_footage", 0.5).alias("area"), F.percentile("cost_per_unit", 0.5).alias("cost")).select(F.col("scope_type").alias("target_id"), F.col("scope_type").alias("kind"), "area", "cost"), s),
     f"SELECT target_id, rank, project_id, score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, project_id) AS rank FROM (SELECT t.scope_type AS target_id, project_id, round(max({_SIM} + CAST(0.2 AS DOUBLE) / (1 + abs(t.k - cost_per_unit) / cost_per_unit)), 6) AS score FROM scopes s, (SELECT scope_type, quantile_cont(square_footage, 0.5) AS a, quantile_cont(cost_per_unit, 0.5) AS k FROM scopes GROUP BY 1) t WHERE square_footage > 0 GROUP BY 1, 2)) WHERE rank <= 3",
 )
 _MAT = "(material_cost * CAST(1.05 AS DOUBLE))"
@@ -168,7 +168,7 @@ _add("j8_dates_filled", ["projects", "quote_items"], lambda p, q: edits.dates_fi
 _add("a17_estimate_roll_up", ["estimates", "scopes"], edits.estimate_roll_up, "SELECT e.estimate_id, round(area, 2) AS area, round(CASE WHEN days > 0 THEN days END, 4) AS man_days, CAST(round(CAST(CASE WHEN area > 0 THEN total_estimate / area END AS DECIMAL(20,8)), 4) AS DOUBLE) AS cost_per_sf FROM estimates e LEFT JOIN (SELECT project_id, sum(square_footage) AS area, sum(man_days) AS days FROM scopes GROUP BY 1) s ON e.estimate_id = s.project_id")
 _add("a18_readiness_flags", ["estimates", "scopes"], edits.readiness_flags, "SELECT e.estimate_id, coalesce(has_area, false) AS has_area, coalesce(types, 0) AS types, coalesce(status IN ('reviewed', 'finalized', 'exported'), false) AS reviewed FROM estimates e LEFT JOIN (SELECT project_id, bool_or(coalesce(square_footage > 0, false)) AS has_area, count(DISTINCT scope_type) AS types FROM scopes GROUP BY 1) s ON e.estimate_id = s.project_id")
 _add("a22_retrain_trigger", ["estimates"], lambda e: edits.retrain_trigger(e, "2001-01-01"), "SELECT actuals, fresh, reason = 'retrain' AS retrain, reason FROM (SELECT *, CASE WHEN actuals < 5 THEN 'too few actuals' WHEN fresh < 3 THEN 'too few new actuals' ELSE 'retrain' END AS reason FROM (SELECT count(actual_total_cost) AS actuals, count(actual_total_cost) FILTER (created_on >= DATE '2001-01-01') AS fresh FROM estimates))")
-_add("w5_nearest_area", ["scopes"], lambda s: edits.nearest_area(s, s.groupBy(F.col("scope_type").alias("kind")).agg(F.percentile("square_footage", 0.5).alias("area"))), "SELECT kind, project_id, off, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY off, project_id) AS rank FROM (SELECT s.scope_type AS kind, project_id, min(abs(square_footage - m)) AS off FROM scopes s JOIN (SELECT scope_type, quantile_cont(square_footage, 0.5) AS m FROM scopes GROUP BY 1) t USING (scope_type) WHERE square_footage > 0 GROUP BY 1, 2)) WHERE rank <= 3")
+_add("w5_nearest_area", ["scopes"], lambda s: comparables.nearest_area(s, s.groupBy(F.col("scope_type").alias("kind")).agg(F.percentile("square_footage", 0.5).alias("area"))), "SELECT kind, project_id, off, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY off, project_id) AS rank FROM (SELECT s.scope_type AS kind, project_id, min(abs(square_footage - m)) AS off FROM scopes s JOIN (SELECT scope_type, quantile_cont(square_footage, 0.5) AS m FROM scopes GROUP BY 1) t USING (scope_type) WHERE square_footage > 0 GROUP BY 1, 2)) WHERE rank <= 3")
 _add("w7_page", ["projects"], lambda p: edits.page(p, "HOSPITAL", (2021, 2024), 20, 20), "SELECT project_id, name, quote_date FROM projects WHERE contains(lower(name), 'hospital') AND year(quote_date) BETWEEN 2021 AND 2024 ORDER BY created_on DESC, project_id LIMIT 20 OFFSET 20")
 _add("w10_first_seen", ["quote_items"], edits.first_seen, "SELECT vendor, string_agg(product, '|' ORDER BY k) AS products FROM (SELECT vendor, product, row_number() OVER (PARTITION BY vendor ORDER BY seen) AS k FROM (SELECT vendor, product, min((quote_date, quote_id, line_no, product)) AS seen FROM quote_items WHERE vendor IS NOT NULL GROUP BY 1, 2)) WHERE k <= 5 GROUP BY 1")
 _add("z7_edited", ["scopes"], lambda s: edits.edited(s, s.filter("project_id % 5 = 0").select("scope_id", F.lit(0.25).alias("new_markup"), F.when(F.col("square_footage").isNull(), 3.0).alias("new_days"))), "SELECT project_id, CAST(round(sum(CAST(material_cost * (1 + CASE WHEN project_id % 5 = 0 THEN CAST(0.25 AS DOUBLE) ELSE coalesce(markup_pct, 0) END) + CASE WHEN project_id % 5 = 0 AND square_footage IS NULL THEN 3 ELSE man_days END * coalesce(daily_labor_rate, 725) AS DECIMAL(20,8))), 2) AS DOUBLE) AS total FROM scopes GROUP BY 1")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.functions import classify, parse, rates
-from tallyworks.operators import estimates
+from tallyworks.operators import comparables, estimates
 
 
 def one(spark, column, **values):
@@ -59,7 +59,7 @@ def test_scope_type(spark, raw, want):
 def test_comparables_of_a_small_set(spark):
     scopes = spark.createDataFrame([(1, "ACT", 1000.0, 12.0), (2, "ACT", 950.0, 11.5), (3, "AWP", 500.0, 20.0), (4, "ACT", 800.0, 13.0), (5, "FW", 300.0, 15.0), (1, "ACT", 900.0, 12.0)], "project_id long, scope_type string, square_footage double, cost_per_unit double")
     targets = spark.createDataFrame([("t", "ACT", 1000.0, 12.0)], "target_id string, kind string, area double, cost double")
-    rows = estimates.comparable_projects(targets, scopes).orderBy("rank").collect()
+    rows = comparables.comparable_projects(targets, scopes).orderBy("rank").collect()
     assert [r["project_id"] for r in rows] == [1, 2, 4]
     assert rows[0]["score"] == 1.0
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.functions import classify, text
-from tallyworks.operators import checks, estimates, plan_rooms, prices, quantiles
+from tallyworks.operators import checks, comparables, estimates, plan_rooms, prices, quantiles
 
 
 def one(spark, column):
@@ -22,11 +22,10 @@ def test_similarity(spark):
 def test_comparables(spark):
     scopes = spark.createDataFrame([("p1", "ACT", 1000.0, 12.0), ("p2", "ACT", 950.0, 11.5), ("p3", "AWP", 500.0, 20.0), ("p4", "ACT", 800.0, 13.0), ("p5", "FW", 300.0, 15.0)], "project_id string, scope_type string, square_footage double, cost_per_unit double")
     target = spark.createDataFrame([("t", "ACT", 1000.0, 12.0), ("u", "FW", 300.0, 15.0)], "target_id string, kind string, area double, cost double")
-    for most in (10, 1):
-        got = {(r["target_id"], r["rank"]): r["project_id"] for r in estimates.comparable_projects(target, scopes, most_targets=most).collect()}
-        assert [got["t", k] for k in (1, 2, 3)] == ["p1", "p2", "p4"]
-        assert got["u", 1] == "p5"
-        assert len(got) == 6
+    got = {(r["target_id"], r["rank"]): r["project_id"] for r in comparables.comparable_projects(target, scopes).collect()}
+    assert [got["t", k] for k in (1, 2, 3)] == ["p1", "p2", "p4"]
+    assert got["u", 1] == "p5"
+    assert len(got) == 6
 
 
 def test_clean_scope_and_confidence(spark):
