@@ -9,7 +9,7 @@ from ..operators import comparables, schedules
 from .registry import add
 
 # --- labour rates by vendor: a step for each day on which a vendor had a first line ---
-_STEPS = "SELECT vendor, quote_date AS begins, CAST(max(400 + project_id % 400) AS DOUBLE) AS rate FROM quote_items WHERE line_no = 1 AND part_id % 5 <> 0 GROUP BY 1, 2"
+_STEPS = "SELECT vendor, quote_date AS begins, CAST(max(400 + part_id % 400) AS DOUBLE) AS rate FROM quote_items WHERE line_no = 1 AND part_id % 5 <> 0 GROUP BY 1, 2"
 _AT = "CASE WHEN part_id % 23 <> 0 THEN quote_date END"
 add(
     "f19_rates_in_force", ["quote_items"],
