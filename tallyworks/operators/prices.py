@@ -130,8 +130,13 @@ def vendor_summary(items: DataFrame) -> DataFrame:
 
 def vendor_price_summary(items: DataFrame, limit: int = 10) -> DataFrame:
     """Vendors of three quotes or more: mean total before and since the split, change and alert; the ``limit`` with most quotes."""
+    return summary_of_totals(vendor_totals(items), limit)
+
+
+def summary_of_totals(totals: DataFrame, limit: int = 10) -> DataFrame:
+    """``vendor_price_summary`` from the totals of quotes."""
     recent = F.col("quote_date") >= F.lit(SUMMARY_SPLIT).cast("date")
-    rows = vendor_totals(items).filter("vendor is not null and total > 0").groupBy("vendor").agg(F.count("*").alias("quotes"), F.avg(F.when(~recent, F.col("total"))).alias("baseline"), F.avg(F.when(recent, F.col("total"))).alias("recent"))
+    rows = totals.filter("vendor is not null and total > 0").groupBy("vendor").agg(F.count("*").alias("quotes"), F.avg(F.when(~recent, F.col("total"))).alias("baseline"), F.avg(F.when(recent, F.col("total"))).alias("recent"))
     pct = F.round((F.col("recent") - F.col("baseline")) * 100 / F.col("baseline"), 1)
     rows = rows.filter("quotes >= 3").withColumn("pct", pct).orderBy(F.desc("quotes"), "vendor").limit(limit)
-    return rows.select("vendor", "quotes", F.round("baseline", 2).alias("baseline"), F.round("recent", 2).alias("recent"), "pct", F.coalesce(F.abs("pct") > 15, F.lit(False)).alias("alert"))
+    return rows.select("vendor", "quotes", parse.to_places(F.col("baseline"), 2).alias("baseline"), parse.to_places(F.col("recent"), 2).alias("recent"), "pct", F.coalesce(F.abs("pct") > 15, F.lit(False)).alias("alert"))

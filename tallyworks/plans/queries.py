@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, parse, rates
 from ..operators import checks, comparables, edits, estimates, links, models, prices, products, reports
-from . import document_queries, link_queries, load_queries, overview_queries, range_queries, room_queries  # noqa: F401  (they register their own)
+from . import document_queries, link_queries, load_queries, overview_queries, range_queries, room_queries, state_queries  # noqa: F401  (they register their own)
 from .registry import FOUND, Query, add as _add
 
 #: Year that dates without one belong to, in the queries.
@@ -88,7 +88,7 @@ _add("w1_price_alerts", ["quote_items"], prices.price_alerts, f"SELECT product_k
 _add("w2_price_history", ["quote_items"], lambda q: reports.price_history(q, "a"), f"SELECT product, vendor, quote_date, unit_cost, quote_id, line_no FROM {_PRICED} WHERE unit_cost > 0 AND contains(lower(product), 'a')")
 _TOTALS = "(SELECT quote_id, vendor, sum(item_total) AS total, min(quote_date) AS quote_date, count(*) AS items FROM quote_items GROUP BY 1, 2)"
 _add("a10_vendor_summary", ["quote_items"], prices.vendor_summary, f"SELECT a.vendor, quotes, avg_total, min_total, max_total, items, first_date, last_date, products FROM (SELECT coalesce(vendor, 'Unknown') AS vendor, count(*) AS quotes, round(avg(total), 2) AS avg_total, round(min(total), 2) AS min_total, round(max(total), 2) AS max_total, CAST(sum(items) AS BIGINT) AS items, min(quote_date) AS first_date, max(quote_date) AS last_date FROM {_TOTALS} GROUP BY 1) a JOIN (SELECT coalesce(vendor, 'Unknown') AS vendor, array_to_string(list_sort(list(DISTINCT product))[1:10], '|') AS products FROM quote_items GROUP BY 1) b USING (vendor)")
-_add("a11_vendor_price_summary", ["quote_items"], prices.vendor_price_summary, f"SELECT vendor, quotes, round(baseline, 2) AS baseline, round(recent, 2) AS recent, round((recent - baseline) * 100 / baseline, 1) AS pct, coalesce(abs(round((recent - baseline) * 100 / baseline, 1)) > 15, false) AS alert FROM (SELECT vendor, count(*) AS quotes, avg(total) FILTER (quote_date < DATE '2025-07-01') AS baseline, avg(total) FILTER (quote_date >= DATE '2025-07-01') AS recent FROM {_TOTALS} WHERE vendor IS NOT NULL AND total > 0 GROUP BY 1 HAVING count(*) >= 3 ORDER BY quotes DESC, vendor LIMIT 10)")
+_add("a11_vendor_price_summary", ["quote_items"], prices.vendor_price_summary, f"SELECT vendor, quotes, CAST(round(CAST(baseline AS DECIMAL(20,8)), 2) AS DOUBLE) AS baseline, CAST(round(CAST(recent AS DECIMAL(20,8)), 2) AS DOUBLE) AS recent, round((recent - baseline) * 100 / baseline, 1) AS pct, coalesce(abs(round((recent - baseline) * 100 / baseline, 1)) > 15, false) AS alert FROM (SELECT vendor, count(*) AS quotes, avg(total) FILTER (quote_date < DATE '2025-07-01') AS baseline, avg(total) FILTER (quote_date >= DATE '2025-07-01') AS recent FROM {_TOTALS} WHERE vendor IS NOT NULL AND total > 0 GROUP BY 1 HAVING count(*) >= 3 ORDER BY quotes DESC, vendor LIMIT 10)")
 _CAT = "(" + " UNION ALL ".join(f"SELECT vendor, '{c}' AS category FROM quote_items WHERE vendor IS NOT NULL AND {_any('lower(product)', w)}" for c, w in CATEGORIES.items()) + ")"
 _add("a20_preferred_vendors", ["quote_items"], lambda q: reports.preferred_vendors(q, CATEGORIES), f"SELECT category, vendor, n, rank FROM (SELECT category, vendor, n, row_number() OVER (PARTITION BY category ORDER BY n DESC, vendor) AS rank FROM (SELECT category, vendor, count(*) AS n FROM {_CAT} GROUP BY 1, 2)) WHERE rank <= 5")
 
@@ -196,6 +196,10 @@ _add(
 )
 
 
+state_queries.share_sql("w1_alerts_of_batches", "w1_price_alerts")
+state_queries.share_sql("a11_summary_of_batches", "a11_vendor_price_summary")
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, (run, _) in FOUND.items()}
 
