@@ -12,10 +12,12 @@ boilerplate covers are cut from a page's own blocks, in an article too, and the
 An article that it covers by more than half is a copy of others, not boilerplate, and is kept whole.
 
 A host of more than GROUP bytes is dealt over several arrays by a hash of the contents, so an array is
-bounded; its boilerplate is then what is boilerplate in half of its arrays.  Pages of the same text are
-one content and meet in one array, so a page's copies don't make it boilerplate; a task drops the copies
-it has met before they are shuffled.  Pages are read twice, once for the arrays and once to be cut,
-which is cheaper than to write down what was read.
+bounded.  What stands on a share of all contents stands on that share of at least one array's, so the
+arrays give all candidates; the contents that hold each candidate are then counted over the host, and
+the rule is the same as for one array.  Pages of the same text are one content and meet in one array, so
+a page's copies don't make it boilerplate; a task drops the copies it has met before they are shuffled.
+Pages are read twice, once for the arrays and once to be cut (a third time to count candidates of hosts of
+several arrays), which is cheaper than to write down what was read.
 
 Defined cases: null or empty html gives empty text; a page cut off in the middle gives what stands
 before the cut; repeated rows give their rows each; a url without a host shares the host "" with its
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -44,8 +46,8 @@ LONG = 20
 SHORT = 5
 #: Tokens by which suffixes are compared: a row of blocks has SHORT + LONG at most, and its edges.
 DEPTH = 32
-#: Bytes of pages of one suffix array, about.
-GROUP = 4 << 20
+#: Bytes of pages of one suffix array, about, and pages that it has at least.
+GROUP, LEAST_PAGES = 4 << 20, 30
 #: Boilerplate substrings, and hosts of several arrays, up to which they are broadcast; beyond it the joins shuffle.
 BROADCAST_ROWS = 100_000
 #: Part of a host's distinct contents in which either must stand, and how many they must be.
@@ -267,47 +269,90 @@ def contents(pages: DataFrame) -> DataFrame:
     return pages.select(host().alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, content long, blocks array<string>")
 
 
-def boilerplate(pages: DataFrame) -> DataFrame:
-    """(host, run): substrings that are boilerplate in half of the host's arrays at least."""
-    sizes = pages.groupBy(host().alias("host")).agg(F.sum(F.octet_length("html")).alias("bytes"))
-    large = written(sizes.filter(F.col("bytes") > GROUP).select("host", F.ceil(F.col("bytes") / GROUP).cast("long").alias("arrays")), "hosts")
+def contained(page: list[str], known: set[str]) -> set[str]:
+    """The known substrings that stand in a page's blocks."""
+    tokens = [block.split() for block in page]
+    found = {" ".join(block[at : at + LONG]) for block in tokens for at in range(len(block) - LONG + 1)}
+    found |= {"\n" + "\n".join(" ".join(b) for b in tokens[first:end]) + "\n" for first, end in block_rows([len(b) for b in tokens])}
+    return found & known
+
+
+def _with_runs(pages: DataFrame, known: DataFrame) -> tuple[DataFrame, Callable[[str, list[str] | None], set[str]]]:
+    """``pages`` (with a column host) with ``runs``, and how a task finds a page's host's runs in them.
+
+    A short list is broadcast as it is, and each task makes a host's set once; else runs are joined by host.
+    """
+    if known.count() <= BROADCAST_ROWS:
+        lists: dict[str, set[str]] = {}
+        for r in known.select("host", "run").collect():  # BROADCAST_ROWS rows at most
+            lists.setdefault(r["host"], set()).add(r["run"])
+        held = pages.sparkSession.sparkContext.broadcast(lists)
+        return pages.withColumn("runs", F.lit(None).cast("array<string>")), lambda own, runs: held.value.get(own, set())
+    # A host's list is bounded by its pages: each run stands in a third of them.
+    each = known.groupBy("host").agg(F.collect_list("run").alias("runs"))
+    return pages.join(each, "host", "left"), lambda own, runs: set(runs or [])
+
+
+def boilerplate(pages: DataFrame, group: int | None = None, least_pages: int | None = None) -> DataFrame:
+    """(host, run): substrings that stand in a SHARE of the host's distinct contents, and LEAST of them at least."""
+    sizes = pages.groupBy(host().alias("host")).agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("pages"))
+    group, least_pages = group or GROUP, least_pages or LEAST_PAGES
+    arrays = F.least(F.ceil(F.col("bytes") / group), F.greatest(F.floor(F.col("pages") / least_pages), F.lit(1))).cast("long")
+    large = written(sizes.filter(F.col("bytes") > group).select("host", arrays.alias("arrays")).filter("arrays > 1"), "hosts")
     read = contents(pages).join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "host", "left")
     dealt = read.withColumn("part", F.pmod("content", F.coalesce("arrays", F.lit(1)))).repartition("host", "part")
-    dealt = dealt.sortWithinPartitions("host", "part", "content").select("host", "part", "content", "blocks")
+    dealt = dealt.withColumn("several", F.coalesce("arrays", F.lit(1)) > 1).sortWithinPartitions("host", "part", "content").select("host", "part", "content", "blocks", "several")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows))
-        for (own_host, _), group in groupby(rows, key=lambda r: r[:2]):
-            own = {r[2]: r[3] for r in group}
-            found = list(repeats(list(own.values()))) or [None]  # an array without any counts as one
-            yield pa.RecordBatch.from_arrays([pa.array([own_host] * len(found), pa.string()), pa.array(found, pa.string())], ["host", "run"])
+        for (own_host, _), part in groupby(rows, key=lambda r: r[:2]):
+            own, several = {}, False
+            for r in part:
+                own[r[2]], several = r[3], r[4]
+            held = list(own.values())
+            found = [None, *(repeats(held, least=1) if several else repeats(held))]
+            n = [len(own), *[0] * (len(found) - 1)]  # the first row has the array's contents
+            yield pa.RecordBatch.from_arrays([pa.array([own_host] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64()), pa.array([several] * len(found))], ["host", "run", "n", "several"])
+
+    got = written(dealt.mapInArrow(run, "host string, run string, n long, several boolean"), "runs")
+    sure = got.filter("run is not null and not several").select("host", "run")
+    if large.isEmpty():
+        return sure
+    maybe = written(got.filter("run is not null and several").select("host", "run").distinct(), "candidates")
+    total = got.filter("several").groupBy("host").agg(F.sum("n").alias("total"))
+    met, runs_of = _with_runs(contents(pages).join(large.select("host"), "host", "left_semi"), maybe)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, content, page, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                found = sorted(contained(page, runs_of(own, runs)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), pa.string()), pa.array([content] * len(found), pa.int64()), pa.array(found, pa.string())], ["host", "content", "run"])
 
-    got = written(dealt.mapInArrow(run, "host string, run string").groupBy("host", "run").agg(F.count("*").alias("n")), "runs")
-    arrays = F.greatest(F.coalesce("arrays", F.lit(1)), F.lit(1))
-    return got.filter("run is not null").join(large, "host", "left").filter(F.col("n") * 2 >= arrays).select("host", "run")
+    held = met.select("host", "content", "blocks", "runs").mapInArrow(count, "host string, content long, run string").distinct()
+    counted = held.groupBy("host", "run").agg(F.count("*").alias("n")).join(total, "host")
+    return sure.unionByName(counted.filter((F.col("n") >= LEAST) & (F.col("n") >= F.col("total") * SHARE)).select("host", "run"))
 
 
 def main_text(pages: DataFrame, known: DataFrame) -> DataFrame:
     """(page_id, url, text) of each row, cut by the boilerplate ``known`` (host, run) of its host."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"))
+    rows, runs_of = _with_runs(rows, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part, texts = batch.slice(begin, 256), []
-                for raw, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for raw, own_host, runs in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                     article, free, _ = blocks(raw)
-                    kept = article or free
+                    kept, own = article or free, runs_of(own_host, runs)
                     if own:
-                        left, cut = uncovered(kept, set(own))
+                        left, cut = uncovered(kept, own)
                         kept = kept if article and cut > 0.5 else left
                     texts.append("\n".join(kept))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"))
-    # A host's list is bounded by its pages: each run stands in a third of them.
-    lists = known.groupBy("host").agg(F.collect_list("run").alias("runs"))
-    rows = rows.join(F.broadcast(lists) if known.count() <= BROADCAST_ROWS else lists, "host", "left")
-    return rows.select("page_id", "url", "html", "runs").mapInArrow(run, "page_id long, url string, text string")
+    return rows.select("page_id", "url", "html", "host", "runs").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op9(pages: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ the id: a bound that doesn't grow with the table.  Features are made by tasks; t
 as packed vectors and fits by dual coordinate descent in numpy.
 
 Defined cases: null text and text without a letter are ``und`` with score 0; rows with null labels or
-without doc_id are not learned; of more than LANGS labels the rarest are not learned; with no labelled row every text is ``und``; one label alone is predicted everywhere with
-score 1; very long texts are read whole, in pieces; other columns, whatever their
-names, are ignored by the query and come through the stage as they are.
+without doc_id are not learned; of more labels than SAMPLE the rarest have no row among those that are
+learned; with no labelled row every text is ``und``; one label alone is predicted everywhere with score
+1; very long texts are read whole, in pieces; other columns, whatever their names, are ignored by the
+query and come through the stage as they are.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from .common import held_out
 
 #: Labelled rows from which the machines learn, over all languages.
 SAMPLE = 4_000
-#: Languages that are learned, the most frequent; a dirty column has any number of labels.
-LANGS = 200
 #: Hash buckets of trigrams.
 BUCKETS = 4096
 #: Bytes of text that are featurised at once.
@@ -95,6 +94,33 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30, rows
     return w
 
 
+def svms(x: np.ndarray, signs: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
+    """``svm`` of each column of ``signs`` (+1 or -1 a row of x): they learn together, so a row is read once a round for all."""
+    yes = (signs > 0).sum(axis=0)
+    weight = np.where(signs > 0, len(x) / (2 * np.maximum(1, yes)), len(x) / (2 * np.maximum(1, len(x) - yes)))
+    diag, square = 1 / (2 * cost * weight), np.einsum("ij,ij->i", x, x)
+    w, alpha, rng = np.zeros((signs.shape[1], x.shape[1]), np.float32), np.zeros(signs.shape), np.random.default_rng(0)
+    open_ = np.arange(signs.shape[1])
+    own = w.copy()
+    for _ in range(rounds):
+        moved = np.zeros(len(open_))
+        for i in rng.permutation(len(x)):
+            gradient = signs[i, open_] * (own @ x[i]).astype(np.float64) - 1 + diag[i, open_] * alpha[i, open_]
+            new = np.maximum(0.0, alpha[i, open_] - gradient / (square[i] + diag[i, open_]))
+            step = new - alpha[i, open_]
+            on = np.flatnonzero(step)
+            if len(on):
+                own[on] += ((step * signs[i, open_])[on].astype(np.float32))[:, None] * x[i]
+                np.maximum(moved, np.abs(step), out=moved)
+                alpha[i, open_] = new
+        w[open_] = own
+        open_ = open_[moved >= 1e-3]
+        if not len(open_):
+            break
+        own = w[open_]
+    return w
+
+
 class Model:
     """Family machines over duels of languages."""
 
@@ -102,7 +128,7 @@ class Model:
         self.langs = sorted(set(lang.tolist()))
         self.families = sorted({family(v) for v in self.langs})
         own = np.array([family(v) for v in lang.tolist()])
-        self.top = np.stack([svm(x, np.where(own == f, 1, -1)) for f in self.families]) if len(self.families) > 1 else None
+        self.top = svms(x, np.where(own[:, None] == np.array(self.families)[None, :], 1, -1)) if len(self.families) > 1 else None
         self.duels = {}
         for f in self.families:
             for a, b in itertools.combinations([v for v in self.langs if family(v) == f], 2):
@@ -145,7 +171,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
     """Learns from rows where ``learn`` holds and lang isn't null; None if there is none."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"))
-    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()]  # a row each at least
     if not counts:
         return None
     share = max(1, sample // len(counts))

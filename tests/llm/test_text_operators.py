@@ -30,6 +30,25 @@ def test_language_defined_cases(spark):
     assert {r["lang_pred"] for r in language_id.op1(docs(spark, [(1, "a b", None, "s")])).collect()} == {"und"}
 
 
+def test_three_hundred_labels_are_learned(spark):
+    rng = random.Random(6)
+    words = {f"l{k}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for k in range(300)}
+    rows = [(n, " ".join(rng.choices(own, k=12)), lang, "s") for n, (lang, own) in enumerate((x for x in words.items() for _ in range(5)))]
+    model = language_id.fit(docs(spark, rows), F.lit(True), sample=900)
+    assert len(model.langs) == 300
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predicted(docs(spark, rows), model).collect()}
+    assert np.mean([got[n] == lang for n, _, lang, _ in rows]) > 0.95
+
+
+def test_svms_learn_as_each_alone():
+    rng = np.random.default_rng(3)
+    x = np.hstack([rng.normal(0, 1, (80, 6)), np.ones((80, 1))]).astype(np.float32)
+    lang = rng.integers(0, 4, 80)
+    signs = np.where(lang[:, None] == np.arange(4)[None, :], 1, -1)
+    alone = np.stack([language_id.svm(x, signs[:, k]) for k in range(4)])
+    assert np.abs(language_id.svms(x, signs) - alone).max() < 1e-3
+
+
 def test_svm_against_a_plain_solver():
     rng = np.random.default_rng(5)
     for seed in range(4):
@@ -325,6 +344,26 @@ def test_html_array_decides_inside_articles_and_over_groups(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in html_text.op9(df).collect()} != want
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_html_boilerplate_of_a_host_is_the_same_over_many_arrays(spark, monkeypatch, broadcast):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    lines = {share: " ".join(word() for _ in range(22)) for share in (0.1, 0.3, 0.32, 0.34, 0.36, 0.6)}
+    short = {share: " ".join(word() for _ in range(6)) for share in (0.31, 0.35)}
+    rows = []
+    for k in range(150):
+        parts = [" ".join(word() for _ in range(30))] + [t for share, t in [*lines.items(), *short.items()] if (k * 7919 % 150) / 150 < share]
+        rows.append((k, "http://h.com/x" if k % 50 else "http://h.com/y", "<body>" + "".join(f"<p>{p}</p>" for p in parts) + "</body>"))
+    rows += [(1000 + k, "http://h.com/x", rows[3][2]) for k in range(80)]  # copies are one content
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", broadcast)
+    runs = lambda **how: {(r["host"], r["run"]) for r in html_text.boilerplate(df, **how).collect()}
+    whole = runs()
+    assert whole and whole == runs(group=4000, least_pages=9) == runs(group=900, least_pages=40)
+    text = {r["page_id"]: r["text"] for r in html_text.main_text(df, html_text.boilerplate(df, 4000, 9)).collect()}
+    assert text == {r["page_id"]: r["text"] for r in html_text.op9(df).collect()}
+
+
 def fill(sizes, weights):
     """Targets by sharing the excess again and again."""
     total, goal, full = sum(sizes), [0.0] * len(sizes), [False] * len(sizes)
