@@ -16,8 +16,8 @@ bounded.  What stands on a share of all contents stands on that share of at leas
 arrays give all candidates; the contents that hold each candidate are then counted over the host, and
 the rule is the same as for one array.  Pages of the same text are one content and meet in one array, so
 a page's copies don't make it boilerplate; a task drops the copies it has met before they are shuffled.
-Pages are read twice, once for the arrays and once to be cut (a third time to count candidates of hosts of
-several arrays), which is cheaper than to write down what was read.
+Pages are read twice, once for the arrays and once to be cut (a third time where a host of several arrays has
+candidates), which is cheaper than to write down what was read.
 
 Defined cases: null or empty html gives empty text; a page cut off in the middle gives what stands
 before the cut; repeated rows give their rows each; a url without a host shares the host "" with its
@@ -319,8 +319,11 @@ def boilerplate(pages: DataFrame, group: int | None = None, least_pages: int | N
     if large.isEmpty():
         return sure
     maybe = written(got.filter("run is not null and several").select("host", "run").distinct(), "candidates")
+    if maybe.isEmpty():
+        return sure
     total = got.filter("several").groupBy("host").agg(F.sum("n").alias("total"))
-    met, runs_of = _with_runs(contents(pages).join(large.select("host"), "host", "left_semi"), maybe)
+    near = written(maybe.select(F.col("host").alias("near_")).distinct(), "near")
+    met, runs_of = _with_runs(contents(pages.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, host() == F.col("near_"), "left_semi")), maybe)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
