@@ -5,6 +5,7 @@ Everything but the choice of the first of several equal numbers or tags of a pag
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +42,7 @@ WALL_TAG = r"(?i)\b(AWP|FW)-(\d+)\b(?:\s*[-–]?\s*([\d,]+(?:\.\d+)?)\s*SF)?"
 ANY_AREA, PANELS = r"(?i)([\d,]+(?:\.\d+)?)\s*SF", r"(?i)\(?(\d+)\)?\s*(?:EA\.?|PANELS?|PCS?\.?)\b"
 PANEL_FEET, PANEL_INCHES = r"(?i)(\d{1,2})'[-\s]?x[-\s]?(\d{1,2})'", r"(?i)(\d{2,3})[\"″]\s*x\s*(\d{2,3})[\"″]"
 WALL_BRANDS = r"(?i)\b(SNAP[- ]?TEX|GUILFORD\s+OF\s+MAINE|MAHARAM|DESIGNTEX|ACOUSTIMAC|WHISPERWALL|FABRIC\s+SYSTEMS?\s+INT(?:ERN?\.?)?|FSI|KINETICS|ECHO\s+ELIMINATOR|SONEX|AUDIMUTE)\b"
+LOCATION = r"(?i)(?:ROOM|RM\.?|SUITE?|CORRIDOR|LOBBY|OFFICE|CONFERENCE|BOARD\s+ROOM|RECEPTION|WAITING|HALLWAY)\s*(?:NO\.?\s*)?(\w+)"
 #: What rooms and ceilings suggest, and how surely.
 CEILING_SCOPES = {"ACT": "ACT", "Baffles": "Baffles", "FW": "FW", "WW": "WW", "SM": "SM", "AWP": "AWP", "RPG": "RPG"}
 BY_CEILING, BY_ROOM = 0.85, 0.75
@@ -61,45 +63,90 @@ def _kind(text: Column, rules: dict[str, str], flags: str = "") -> Column:
     return out
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """(plan_id, page_no, at, line, ahead, near, wide, next): each line with four lines after it, two before too, two before and three after, and the three after it apart."""
-    lines = F.split("text", r"\r?\n")
-    around = lambda i, back, n: F.array_join(F.slice(lines, F.greatest(i - back, F.lit(0)) + 1, F.lit(n) + F.least(i, F.lit(back))), "\n")
-    each = lambda x, i: F.struct(i.alias("at"), x.alias("line"), around(i, 0, 5).alias("ahead"), around(i, 2, 5).alias("near"), around(i, 2, 4).alias("wide"), F.slice(lines, i + 2, F.lit(3)).alias("next"))
-    return pages.select("plan_id", "page_no", F.inline(F.transform(lines, each)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _windows(text: Column, keep: Callable[[Column], Column]) -> Column:
+    """The lines that ``keep`` takes, as structs (at, line, ahead, near, wide, next)."""
+
+    def each(lines: Column) -> Column:
+        around = lambda i, back, n: F.array_join(F.slice(lines, F.greatest(i - back, F.lit(0)) + 1, F.lit(n) + F.least(i, F.lit(back))), "\n")
+        own = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: keep(x["line"]))
+        return F.transform(own, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"), around(x["at"], 0, 5).alias("ahead"), around(x["at"], 2, 5).alias("near"), around(x["at"], 2, 4).alias("wide"), F.slice(lines, x["at"] + 2, F.lit(3)).alias("next")))
+
+    return let(F.split(text, r"\r?\n"), each)
+
+
+def page_lines(pages: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """(plan_id, page_no, at, line, ahead, near, wide, next) of the lines that ``keep`` takes: each with four lines after it, two before too, two before and three after, and the three after it apart."""
+    return pages.select("plan_id", "page_no", F.inline(_windows(F.col("text"), keep)))
+
+
+_ROOM = "struct<room:string,number:string,ceiling_height:string,ceiling:string,tag:string,area_sf:double,found:int>"
+
+
+def _room(found: int, room: Column, number: Column | None = None, tall: Column | None = None, ceiling: Column | None = None, tag: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(room.alias("room"), (none if number is None else number).alias("number"), (none if tall is None else tall).alias("ceiling_height"), (none if ceiling is None else ceiling).alias("ceiling"), (none if tag is None else tag).alias("tag"), none.alias("area_sf"), F.lit(found).alias("found")).cast(_ROOM)
+
+
+def _tag(text: Column) -> Column:
+    return F.upper(_g(text, SCOPE_TAG))
+
+
+def _line_rooms(x: Column) -> Column:
+    """What a line (with its window) says of rooms: as a header, a numbered line, a finish row."""
+    line = x["line"]
+    after = F.try_element_at(F.filter(x["next"], lambda y: (F.trim(y) != "") & ~y.rlike("(?i)^\\s*" + ROOM_HEADER[4:]) & ~F.trim(y).rlike("^(?:" + HEIGHT + ")")), F.lit(1))
+    number = _g(line, ROOM_HEADER)
+    name = F.coalesce(F.nullif(F.trim(_g(line, ROOM_HEADER, 2)), F.lit("")), F.trim(after), F.concat(F.lit("ROOM "), number))
+    header = F.when(line.rlike(ROOM_HEADER), _room(1, name, number, height(x["ahead"]), _kind(_g(x["ahead"], CEILING_TAG), ROOM_CEILINGS), _tag(x["ahead"])))
+    said = F.trim(_g(line, ROOM_LINE, 2))
+    numbered = F.when(line.rlike(ROOM_LINE) & ~said.rlike(NOT_ROOM), _room(2, said, _g(line, ROOM_LINE)))
+    last = _g(line, FINISH_ROW, 5)
+    finish = F.when(line.rlike(FINISH_ROW), _room(3, F.trim(_g(line, FINISH_ROW, 2)), _g(line, FINISH_ROW), None, _kind(last, ROOM_CEILINGS), F.when(last.rlike("^[A-Z]{2,4}-\\d+\\b"), F.upper(last))))
+    return F.array_compact(F.array(header, numbered, finish))
+
+
+def _spaces(text: Column) -> Column:
+    """Open areas that a page names, the first of each name, with what stands 80 characters before and 120 after."""
+    any_ = r"(?i)\b(?:" + "|".join(OPEN_AREAS) + r")\b"
+
+    def placed(found: Column, gaps: Column) -> Column:
+        length = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
+        return F.transform(found, lambda m, i: F.struct(m.alias("m"), F.upper(F.regexp_replace(m, r"\s+", " ")).alias("name"), (length(gaps, i + 1) + length(found, i)).alias("at")))
+
+    def space(x: Column) -> Column:
+        back = F.least(x["at"], F.lit(80))
+        around = F.substr(text, x["at"] - back + 1, back + F.length(x["m"]) + 120)
+        return let(around, lambda a: _room(4, F.upper(x["m"]), None, height(a), _kind(_g(a, CEILING_TAG), ROOM_CEILINGS), _tag(a)))
+
+    all_ = let(F.regexp_extract_all(text, F.lit(any_), F.lit(0)), lambda found: let(F.split(text, any_, -1), lambda gaps: placed(found, gaps)))
+    first = let(all_, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: y["name"] == x["name"])))
+    return F.when(text.rlike(any_), F.transform(first, space)).otherwise(F.array().cast(f"array<{_ROOM}>"))
 
 
 def rooms(pages: DataFrame, marks: DataFrame) -> DataFrame:
-    """(plan_id, page_no, room, number, ceiling_height, ceiling, tag, area_sf, found): rooms by headers, numbered lines and finish rows (the first of a number on a page counts), names of open areas, and marks' labels."""
-    lines = page_lines(pages)
-    tag = lambda c: F.upper(_g(c, SCOPE_TAG))
-    none = lambda t="string": F.lit(None).cast(t)
-    after = F.try_element_at(F.filter("next", lambda x: (F.trim(x) != "") & ~x.rlike("(?i)^\\s*" + ROOM_HEADER[4:]) & ~F.trim(x).rlike("^(?:" + HEIGHT + ")")), F.lit(1))
-    number = _g(F.col("line"), ROOM_HEADER)
-    name = F.coalesce(F.nullif(F.trim(_g(F.col("line"), ROOM_HEADER, 2)), F.lit("")), F.trim(after), F.concat(F.lit("ROOM "), number))
+    """(plan_id, page_no, room, number, ceiling_height, ceiling, tag, area_sf, found): rooms by headers, numbered lines and finish rows (the first of a number on a page counts), names of open areas, and marks' labels.
+
+    A page (a row) is read once: what its lines say is an array, in which the first of a number is kept and
+    against which the names of open areas are held.
+    """
+    said = F.flatten(F.transform(_windows(F.col("text"), lambda x: x.rlike(ROOM_HEADER) | x.rlike(ROOM_LINE) | x.rlike(FINISH_ROW)), _line_rooms))
+    of = lambda a, k: F.filter(a, lambda x: x["found"] == k)
+    ordered = let(said, lambda a: F.concat(of(a, 1), of(a, 2), of(a, 3)))
+    first = lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: y["number"] == x["number"]))
+    both = let(let(ordered, first), lambda own: F.concat(own, let(F.transform(own, lambda x: F.upper(x["room"])), lambda names: F.filter(_spaces(F.col("text")), lambda s: ~F.array_contains(names, s["room"])))))
+    own = pages.filter("text is not null").select("plan_id", "page_no", F.inline(both))
+
+    tag, none = _tag, lambda t="string": F.lit(None).cast(t)
     found = lambda k: F.lit(k).alias("found")
-    place = ["plan_id", "page_no", "at"]
-    header = lines.filter(F.col("line").rlike(ROOM_HEADER)).select(*place, name.alias("room"), number.alias("number"), height(F.col("ahead")).alias("ceiling_height"), _kind(_g(F.col("ahead"), CEILING_TAG), ROOM_CEILINGS).alias("ceiling"), tag(F.col("ahead")).alias("tag"), found(1))
-    numbered = lines.filter(F.col("line").rlike(ROOM_LINE)).select(*place, F.trim(_g(F.col("line"), ROOM_LINE, 2)).alias("room"), _g(F.col("line"), ROOM_LINE).alias("number"), none().alias("ceiling_height"), none().alias("ceiling"), none().alias("tag"), found(2)).filter(~F.col("room").rlike(NOT_ROOM))
-    last = _g(F.col("line"), FINISH_ROW, 5)
-    finish = lines.filter(F.col("line").rlike(FINISH_ROW)).select(*place, F.trim(_g(F.col("line"), FINISH_ROW, 2)).alias("room"), _g(F.col("line"), FINISH_ROW).alias("number"), none().alias("ceiling_height"), _kind(last, ROOM_CEILINGS).alias("ceiling"), F.when(last.rlike("^[A-Z]{2,4}-\\d+\\b"), F.upper(last)).alias("tag"), found(3))
-    first = F.row_number().over(Window.partitionBy("plan_id", "page_no", "number").orderBy("found", "at"))
-    own = header.unionByName(numbered).unionByName(finish).withColumn("k", first).filter("k = 1").drop("k", "at").withColumn("area_sf", none("double"))
-
-    areas = []
-    for pattern in OPEN_AREAS:
-        split = rf"(?is)^(.*?)\b({pattern})\b(.{{0,120}})"
-        around = F.concat(F.substring(F.col("text").substr(F.lit(1), F.length(F.regexp_extract("text", split, 1))), -80, 80), F.regexp_extract("text", split, 2), F.regexp_extract("text", split, 3))
-        areas.append(F.when(F.col("text").rlike(rf"(?i)\b{pattern}\b"), F.struct(F.upper(F.regexp_extract("text", split, 2)).alias("room"), around.alias("around"))))
-    spaces = pages.select("plan_id", "page_no", F.inline(F.array_compact(F.array(*areas))))
-    spaces = spaces.select("plan_id", "page_no", "room", none().alias("number"), height(F.col("around")).alias("ceiling_height"), _kind(_g(F.col("around"), CEILING_TAG), ROOM_CEILINGS).alias("ceiling"), tag(F.col("around")).alias("tag"), none("double").alias("area_sf"), found(4))
-    named = own.select("plan_id", "page_no", F.upper("room").alias("room")).distinct()
-    spaces = spaces.join(named, ["plan_id", "page_no", "room"], "left_anti").select(*own.columns)
-
     label = F.trim("label")
     stated = label.rlike(TAGGED_AREA)
     marked = marks.filter(stated | label.rlike("^[A-Z]{2,4}-\\d+\\b")).select("plan_id", "page_no", label.alias("room"), none().alias("number"), none().alias("ceiling_height"), none().alias("ceiling"), F.upper(F.coalesce(_g(label, TAGGED_AREA), _g(label, SCOPE_TAG))).alias("tag"), F.when(stated, _n(_g(label, TAGGED_AREA, 2))).otherwise(F.col("area_sf").cast("double")).alias("area_sf"), found(5))
-    return own.unionByName(spaces).unionByName(marked)
+    return own.unionByName(marked)
 
 
 def _product(after: Column) -> Column:
@@ -119,7 +166,7 @@ def ceilings(pages: DataFrame, marks: DataFrame) -> DataFrame:
     for name, pattern in CEILINGS.items():
         after = F.when(kind == name, F.regexp_replace(line, rf"(?is)^.*?(?:{pattern})", "")).otherwise(after)
     tag = F.upper(_g(F.col("ahead"), CEILING_SCOPE_TAG))
-    rows = page_lines(pages).withColumn("ceiling", kind).filter("ceiling is not null")
+    rows = page_lines(pages, lambda x: _kind(x, CEILINGS, "(?i)").isNotNull()).withColumn("ceiling", kind)
     rows = rows.select("plan_id", "page_no", "at", "ceiling", F.coalesce(grid(F.col("ahead")), grid(F.col("near"))).alias("grid"), F.coalesce(height(F.col("ahead")), height(F.col("near"))).alias("ceiling_height"), _product(after).alias("product"), tag.alias("tag"))
     first = F.row_number().over(Window.partitionBy("plan_id", "page_no", "tag", F.when(F.col("tag").isNull(), F.col("at"))).orderBy("at"))
     rows = rows.withColumn("k", first).filter("k = 1").drop("k", "at").withColumn("area_sf", F.lit(None).cast("double"))
@@ -135,24 +182,25 @@ def ceilings(pages: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def walls(pages: DataFrame) -> DataFrame:
-    """(plan_id, page_no, kind, tag, area_sf, length_lf, height_ft, width_ft, product): rails, treatments with an area, and tags (the first of each on its page), whose area may be panels times their size."""
+    """(plan_id, page_no, kind, tag, area_sf, length_lf, height_ft, width_ft, product, location): rails, treatments with an area, and tags (the first of each on its page), whose area may be panels times their size."""
     line, wide = F.trim("line"), F.col("wide")
     none = lambda t="double": F.lit(None).cast(t)
     feet = lambda i: F.coalesce(_n(_g(wide, PANEL_FEET, i)), _n(_g(wide, PANEL_INCHES, i)) / 12)
     product = _g(wide, WALL_BRANDS)
-    of = lambda kind, tag, area, length, high, width, what: F.struct(kind.alias("kind"), tag.alias("tag"), area.alias("area_sf"), length.alias("length_lf"), high.alias("height_ft"), width.alias("width_ft"), what.alias("product"))
+    where = lambda text: F.nullif(F.trim(F.regexp_extract(text, LOCATION, 0)), F.lit(""))
+    of = lambda kind, tag, area, length, high, width, what, text: F.struct(kind.alias("kind"), tag.alias("tag"), area.alias("area_sf"), length.alias("length_lf"), high.alias("height_ft"), width.alias("width_ft"), what.alias("product"), where(text).alias("location"))
     empty = none("string")
-    rail = of(F.lit("AWP"), empty, none(), _n(_g(line, RAIL_LENGTH, 2)), _n(_g(line, RAIL_LENGTH, 3)) / 12, none(), empty)
-    high = of(F.lit("AWP"), empty, none(), none(), _n(_g(line, RAIL, 2)) / 12, none(), empty)
-    treated = of(F.when(_g(line, TREATMENT).rlike(FABRIC), "FW").otherwise("AWP"), empty, _n(_g(line, TREATMENT, 2)), none(), feet(2), feet(1), product)
+    rail = of(F.lit("AWP"), empty, none(), _n(_g(line, RAIL_LENGTH, 2)), _n(_g(line, RAIL_LENGTH, 3)) / 12, none(), empty, line)
+    high = of(F.lit("AWP"), empty, none(), none(), _n(_g(line, RAIL, 2)) / 12, none(), empty, line)
+    treated = of(F.when(_g(line, TREATMENT).rlike(FABRIC), "FW").otherwise("AWP"), empty, _n(_g(line, TREATMENT, 2)), none(), feet(2), feet(1), product, wide)
 
     def tagged(x: Column) -> Column:
         area = F.coalesce(_n(_g(x, WALL_TAG, 3)), _n(_g(wide, ANY_AREA)), _n(_g(wide, PANELS)) * feet(1) * feet(2))
-        return of(F.upper(_g(x, WALL_TAG)), F.upper(F.concat(_g(x, WALL_TAG), F.lit("-"), _g(x, WALL_TAG, 2))), area, none(), feet(2), feet(1), product)
+        return of(F.upper(_g(x, WALL_TAG)), F.upper(F.concat(_g(x, WALL_TAG), F.lit("-"), _g(x, WALL_TAG, 2))), area, none(), feet(2), feet(1), product, wide)
 
     tags = F.transform(F.regexp_extract_all(line, F.lit(WALL_TAG), F.lit(0)), tagged)
     found = F.when(line.rlike(RAIL_LENGTH), F.array(rail)).when(line.rlike(RAIL), F.array(high)).when(line.rlike(TREATMENT), F.array(treated)).otherwise(tags)
-    rows = page_lines(pages).select("plan_id", "page_no", "at", F.posexplode(found).alias("place", "x")).select("plan_id", "page_no", "at", "place", "x.*")
+    rows = page_lines(pages, lambda x: x.rlike(RAIL_LENGTH) | x.rlike(RAIL) | x.rlike(TREATMENT) | x.rlike(WALL_TAG)).select("plan_id", "page_no", "at", F.posexplode(found).alias("place", "x")).select("plan_id", "page_no", "at", "place", "x.*")
     first = F.row_number().over(Window.partitionBy("plan_id", "page_no", "tag", F.when(F.col("tag").isNull(), F.struct("at", "place"))).orderBy("at", "place"))
     return rows.withColumn("k", first).filter("k = 1").drop("k", "at", "place")
 

@@ -27,7 +27,7 @@ add("x10_ceilings", ["room_pages", "room_marks"], r.ceilings, f"SELECT * FROM ({
 _COUNT = "CAST(regexp_extract(text, '([0-9]+) PANELS', 1) AS DOUBLE)"
 add(
     "x11_walls", ["room_pages"], r.walls,
-    f"SELECT plan_id, page_no, CASE WHEN plan_id % 7 IN (0, 4) THEN 'FW' ELSE 'AWP' END AS kind, CASE plan_id % 7 WHEN 1 THEN 'AWP-1' WHEN 4 THEN 'FW-2' END AS tag, CASE plan_id % 7 WHEN 0 THEN 450 WHEN 1 THEN CAST(replace(regexp_extract(text, 'AWP-1 - ([0-9,]+) SF', 1), ',', '') AS DOUBLE) WHEN 4 THEN {_COUNT} * 32 END AS area_sf, CASE plan_id % 7 WHEN 2 THEN CAST(regexp_extract(text, 'WAINSCOT - ([0-9]+) LF', 1) AS DOUBLE) END AS length_lf, CAST(CASE plan_id % 7 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 8 END AS DOUBLE) AS height_ft, CAST(CASE WHEN plan_id % 7 = 4 THEN 4 END AS DOUBLE) AS width_ft, CASE plan_id % 7 WHEN 1 THEN 'MAHARAM' END AS product FROM room_pages WHERE plan_id % 7 < 5",
+    f"SELECT plan_id, page_no, CASE WHEN plan_id % 7 IN (0, 4) THEN 'FW' ELSE 'AWP' END AS kind, CASE plan_id % 7 WHEN 1 THEN 'AWP-1' WHEN 4 THEN 'FW-2' END AS tag, CASE plan_id % 7 WHEN 0 THEN 450 WHEN 1 THEN CAST(replace(regexp_extract(text, 'AWP-1 - ([0-9,]+) SF', 1), ',', '') AS DOUBLE) WHEN 4 THEN {_COUNT} * 32 END AS area_sf, CASE plan_id % 7 WHEN 2 THEN CAST(regexp_extract(text, 'WAINSCOT - ([0-9]+) LF', 1) AS DOUBLE) END AS length_lf, CAST(CASE plan_id % 7 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 8 END AS DOUBLE) AS height_ft, CAST(CASE WHEN plan_id % 7 = 4 THEN 4 END AS DOUBLE) AS width_ft, CASE plan_id % 7 WHEN 1 THEN 'MAHARAM' END AS product, CAST(NULL AS STRING) AS location FROM room_pages WHERE plan_id % 7 < 5",
 )
 add(
     "x13_room_scopes", ["room_pages", "room_marks"], lambda p, m: r.suggested(r.rooms(p, m), r.ceilings(p, m)),

@@ -91,3 +91,9 @@ def test_medians_are_exact(spark):
     for k in ("a", "b", None, "d"):
         assert got[k] == pytest.approx(statistics.median([v for c, v in rows if c == k and v is not None]))
     assert "c" not in got
+
+
+def test_walls_have_the_room_near_them(spark):
+    pages = spark.createDataFrame([(1, 1, "LOBBY NORTH\nFABRIC WALL - 450 SF\nnotes"), (1, 2, "AWP-1 - 225 SF\nsee ROOM NO. 204A"), (1, 3, "WAINSCOT - 40 LF @ 36 OFFICE 12\nROOM 7"), (1, 4, "x\nROOM 9\n1\n2\n3\nFW-2 here")], "plan_id int, page_no int, text string")
+    got = {r["page_no"]: r["location"] for r in plan_rooms.walls(pages).collect()}
+    assert got == {1: "LOBBY NORTH", 2: "ROOM NO. 204A", 3: "OFFICE 12", 4: None}
