@@ -1,9 +1,10 @@
 """Exact medians by counted values.
 
-Equal values are counted before anything is shuffled.  A group's values are then put into BANDS by their
-place between its least and greatest, the bands are summed, and only the bands that hold the middle
-are looked into.  So no task holds a group's values, however many rows or distinct values it has; the
-percentile aggregate keeps all distinct values of a group in one buffer.
+Equal values are counted before anything is shuffled, and the counts are written once.  Then each
+group's counts are added up in the order of its values, and the medians are where the sums cross the
+middle.  Up to SMALL counted values a task adds up a group; beyond it the sums run over ranges of
+(group, value) and are carried from one to the next, so no task holds a group, wherever its values lie.
+The percentile aggregate keeps all distinct values of a group in one buffer.
 """
 
 from __future__ import annotations
@@ -11,26 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS = 256
+from .ranges import carried, kept, small
 
+#: Counted values of all groups up to which one task may add up a group.
+SMALL = 1_000_000
 
-def medians(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+
+def medians(rows: DataFrame, keys: list[str], values: dict[str, Column], most: int | None = None) -> DataFrame:
     """(keys, names of ``values``): the median of each value's non-null numbers, null where there is none; null keys are a group."""
     pairs = F.array(*[F.struct(F.lit(name).alias("name"), v.cast("double").alias("v")) for name, v in values.items()])
     counted = rows.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*").filter("v is not null").groupBy(*keys, "name", "v").agg(F.count("*").alias("n"))
-    group = [*keys, "name"]
-    ends = counted.groupBy(*group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
-    ends = ends.select(*[F.col(c).alias(f"{c}_e") for c in group], "low", "high", "total")
-    own = counted.join(ends, [F.col(c).eqNullSafe(F.col(f"{c}_e")) for c in group]).drop(*[f"{c}_e" for c in group])
-    band = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BANDS)).otherwise(0).cast("int")
-    own = own.withColumn("band", band)
-    sums = own.groupBy(*group, "band").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
-    up_to = F.sum("n").over(Window.partitionBy(*group).orderBy("band").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # BANDS + 1 rows
+    counted, group = kept(counted, "counted"), [*keys, "name"]
+    if counted.count() <= (SMALL if most is None else most):
+        at = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = counted.withColumns({"at": F.sum("n").over(at), "total": F.sum("n").over(Window.partitionBy(*group))})
+    else:
+        totals = kept(counted.groupBy(*[F.col(c).alias(f"{c}_of") for c in group]).agg(F.sum("n").alias("total")), "totals")
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in group]
+        whole = carried(counted, group, [F.col("v")], {"at": F.col("n")}).join(small(totals), same)
     first, last = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    middle = sums.withColumn("before", up_to - F.col("n")).filter((F.col("before") <= last) & (F.col("before") + F.col("n") > first))
-    middle = middle.select(*[F.col(c).alias(f"{c}_m") for c in group], F.col("band").alias("band_m"), "before")
-    inside = own.join(middle, [*[F.col(c).eqNullSafe(F.col(f"{c}_m")) for c in group], F.col("band") == F.col("band_m")])
-    at = F.sum("n").over(Window.partitionBy(*group, "band").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
-    found = inside.withColumn("at", at).groupBy(*group).agg(F.min(F.when(F.col("at") > first, F.col("v"))).alias("a"), F.min(F.when(F.col("at") > last, F.col("v"))).alias("b"))
+    middle = whole.filter((F.col("at") - F.col("n") <= last) & (F.col("at") > first))
+    found = middle.groupBy(*group).agg(F.min(F.when(F.col("at") > first, F.col("v"))).alias("a"), F.min(F.when(F.col("at") > last, F.col("v"))).alias("b"))
     # As the percentile aggregate and DuckDB: the lower one and half the way to the upper one.
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("a") + (F.col("b") - F.col("a")) * 0.5)).alias(name) for name in values])

@@ -97,3 +97,13 @@ def test_walls_have_the_room_near_them(spark):
     pages = spark.createDataFrame([(1, 1, "LOBBY NORTH\nFABRIC WALL - 450 SF\nnotes"), (1, 2, "AWP-1 - 225 SF\nsee ROOM NO. 204A"), (1, 3, "WAINSCOT - 40 LF @ 36 OFFICE 12\nROOM 7"), (1, 4, "x\nROOM 9\n1\n2\n3\nFW-2 here")], "plan_id int, page_no int, text string")
     got = {r["page_no"]: r["location"] for r in plan_rooms.walls(pages).collect()}
     assert got == {1: "LOBBY NORTH", 2: "ROOM NO. 204A", 3: "OFFICE 12", 4: None}
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_medians_with_an_outlier_and_over_ranges(spark, most):
+    import statistics
+
+    rows = [(k, v) for k in ("a", None) for v in [*map(float, range(501)), 1e15, -1e15, None]] + [("b", 3.0)] * 7 + [("b", 1.0)] * 7 + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r["k"]: r["m"] for r in quantiles.medians(df, ["k"], {"m": F.col("v")}, most).collect()}
+    assert got == {k: statistics.median([v for c, v in rows if c == k and v is not None]) for k in ("a", None, "b")}
