@@ -15,7 +15,7 @@ The permutation is a "swap or not" shuffle: rounds of x -> K - x (mod n), taken
 the pair is set, so any n has an exact permutation.
 
 Only built-in functions run here.  Prefix sums over a hot source are two-level: sums of hash buckets
-first, then inside a bucket.  Sources are numbered by ranges and filled by sums over all of them, so a
+first, over ranges of all sources' buckets, then inside a bucket.  Sources are numbered by ranges and filled by sums over all of them, so a
 table of very many sources is no task's.
 
 Defined cases: null or blank text has size 0 and gives nothing; a null source is a source of its own,
@@ -74,23 +74,37 @@ def ranked(sizes: DataFrame) -> DataFrame:
     return dealt.join(F.broadcast(counts), part == F.col("part")).withColumn("place", F.col("first") + inside).select(*sizes.columns, "place")
 
 
+def summed_before(rows: DataFrame, by: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with sums over all rows before each in the order ``by``: (name of the sum: column).  A range's rows are a task's, and what the ranges before it hold is a row a range."""
+    dealt = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), "ranges")
+    dealt = dealt.withColumn("part", F.shiftright("at", 33))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    held = dealt.groupBy("part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    held = held.select("part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}_ahead") for n in sums])
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.select(*rows.columns, "part", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()])
+    return local.join(F.broadcast(held), "part").select(*rows.columns, *[(F.col(n) + F.col(f"{n}_ahead")).alias(n) for n in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """(source, source_size) to (source, source_size, weight, target): weighted shares of all words, none above ``epochs`` times its size.
 
-    The level (words a weight) rises as sources fill: what is left over by the filled ones over the
-    weights that are left, until no further source fills.
+    Sources fill in the order of words a weight that they can give.  If those before a source are full, what
+    they leave over the weights from it on is the level (words a weight); the level is the greatest of those
+    that their source reaches.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     rows = written(ranked(sizes).withColumn("weight", F.element_at(cycle, (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))), "ranked")
     cap = F.col("source_size") * float(epochs)
-    level, last = 0.0, -1
-    while True:
-        full = cap < F.lit(level) * F.col("weight")
-        n, filled, left, total = rows.agg(F.sum(full.cast("long")), F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight"))), F.sum("source_size")).first()
-        if n is None or n == last or not left:
-            break
-        level, last = ((total or 0) - (filled or 0.0)) / left, n
-    return rows.select("source", "source_size", "weight", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
+    total, weight = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    if not total:
+        return rows.select("source", "source_size", "weight", F.lit(0.0).alias("target"))
+    order = rows.select("weight", cap.alias("cap"), (cap / F.col("weight")).alias("reach"), "place")
+    before = summed_before(order, [F.col("reach"), F.col("place")], {"full": "cap", "spent": "weight"})
+    level = (F.lit(float(total)) - F.col("full")) / (F.lit(weight) - F.col("spent"))
+    at = before.select(level.alias("level"), "reach").filter("level <= reach").agg(F.max("level")).first()[0]
+    goal = cap if at is None else F.least(cap, F.lit(at) * F.col("weight"))
+    return rows.select("source", "source_size", "weight", goal.alias("target"))
 
 
 def plan(sources: DataFrame, block: int = BLOCK, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
@@ -175,8 +189,11 @@ class Mix:
         self.shards = max(1, -(-n // shard))
         self.picked = picks(planned, draw(planned, self.shards, seed=seed), block)
 
-        ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        starts = sums.withColumn("start", F.coalesce(F.sum("words").over(ahead), F.lit(0).cast("long"))).select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "start")
+        ahead = summed_before(sums, [F.col("source"), F.col("bucket")], {"ahead": "words"})
+        ahead = written(ahead.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "ahead"), "ahead")
+        own = written(ahead.groupBy(F.col("source_").alias("of_")).agg(F.min("ahead").alias("first")), "firsts")
+        own = F.broadcast(own) if own.count() <= BROADCAST_SOURCES else own
+        starts = ahead.join(own, F.col("source_").eqNullSafe(F.col("of_"))).select("source_", "bucket_", (F.col("ahead") - F.col("first")).alias("start"))
         inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = rows.filter("size > 0").withColumn("within", F.sum("size").over(inside) - F.col("size"))
         placed = placed.join(starts, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_"))).select("doc_id", "source", "size", (F.col("start") + F.col("within")).alias("begin"))
