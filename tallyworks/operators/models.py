@@ -6,11 +6,16 @@ Trees of a forest are grown over the whole table by Spark; the driver gets metri
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .huber import Huber, fitted
+from .ranges import kept
+
 FEATURES = ["log_area", "has_rate", "rate_ratio", "scope_count", "tier", "is_healthcare", "is_education", "is_church", "markup", "type_index"]
 #: Rows below which there is no model, and a lower bound of predictions.
 LEAST_ROWS, FLOOR = 5, 0.5
@@ -31,6 +36,47 @@ def pipeline(kind: str = "forest", trees: int = 50, depth: int = 6) -> Pipeline:
     return Pipeline(stages=[index, VectorAssembler(inputCols=FEATURES, outputCol="vector"), model])
 
 
+class Mape(Evaluator):
+    """Mean absolute error as a share of the target: what the kinds of model are chosen by."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return float(dataset.agg(F.avg(F.abs(F.greatest("predicted", F.lit(FLOOR)) - F.col("target")) / F.col("target"))).first()[0] or 0.0)
+
+    def isLargerBetter(self) -> bool:
+        return False
+
+
+def tuned(table: DataFrame, trees: dict[str, int], depth: int = 6, k: int = 3, parallel: int = 4) -> tuple[PipelineModel, dict[str, float]]:
+    """The best of the kinds in ``trees`` (kind: how many), fitted on the whole table, and each kind's mean error over k folds.
+
+    One tuned fit: folds by a hash of the key, all kinds and folds side by side over vectors that are made once.
+    """
+    index = StringIndexer(inputCol="scope_type", outputCol="type_index", stringOrderType="alphabetAsc", handleInvalid="keep")
+    prepare = Pipeline(stages=[index, VectorAssembler(inputCols=FEATURES, outputCol="vector")]).fit(table)
+    dealt = kept(prepare.transform(table).select("scope_id", "target", "vector", F.pmod(F.xxhash64("scope_id", F.lit(42)), F.lit(k)).cast("int").alias("fold")), "vectors")
+    choice, kinds = Pipeline(stages=[]), sorted(trees)
+    grid = [{choice.stages: [pipeline(kind, trees[kind], depth).getStages()[-1]]} for kind in kinds]
+    found = CrossValidator(estimator=choice, estimatorParamMaps=grid, evaluator=Mape(), numFolds=k, foldCol="fold", parallelism=parallel).fit(dealt.persist())
+    dealt.unpersist()
+    return PipelineModel([*prepare.stages, *found.bestModel.stages]), dict(zip(kinds, map(float, found.avgMetrics), strict=True))
+
+
+def models_chosen(table: DataFrame, least: int = 10, trees: dict[str, int] | None = None, depth: int = 6, parallel: int = 4) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """A model for each scope type of ``least`` rows or more and one over all (``general``): the kind of lower error in three folds.
+
+    The second result has a row a family and kind: (family, kind, n, mape, chosen).
+    """
+    sizes = {"forest": 200, "boosted": 300} if trees is None else trees
+    counts = {r["scope_type"]: r["n"] for r in table.groupBy("scope_type").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}  # a row a type
+    own, rows = {}, []
+    for family in ["general", *sorted(counts)]:
+        part = table if family == "general" else table.filter(F.col("scope_type") == family)
+        own[family], errors = tuned(part, sizes, depth, parallel=parallel)
+        best = min(errors, key=lambda kind: (errors[kind], kind))
+        rows += [(family, kind, counts.get(family, sum(counts.values())), error, kind == best) for kind, error in sorted(errors.items())]
+    return own, table.sparkSession.createDataFrame(rows, "family string, kind string, n long, mape double, chosen boolean")
+
+
 def best_model(table: DataFrame, trees: int = 50, depth: int = 6) -> tuple[str, PipelineModel, DataFrame]:
     """The kind of lower 3-fold error, forest or boosted trees, fitted on four fifths (on all below ten rows), and both errors: (kind, mape).
 
@@ -39,10 +85,7 @@ def best_model(table: DataFrame, trees: int = 50, depth: int = 6) -> tuple[str,
     rows = table.count()
     if rows < LEAST_ROWS:
         raise ValueError(f"{rows} rows are too few to learn from")
-    scores = {}
-    for kind in ("forest", "boosted"):
-        error = cross_validated(table, kind=kind, trees=trees, depth=depth, k=min(3, rows)).agg(F.avg(F.abs(F.col("predicted") - F.col("target")) / F.col("target"))).first()[0]
-        scores[kind] = float(error)
+    _, scores = tuned(table, {"forest": trees, "boosted": trees}, depth, k=min(3, rows))
     kind = min(scores, key=lambda k: (scores[k], k))
     model = pipeline(kind, trees, depth).fit(table if rows < 10 else table.filter(~holdout("scope_id")))
     return kind, model, table.sparkSession.createDataFrame(sorted(scores.items()), "kind string, mape double")
@@ -71,10 +114,9 @@ def _indexed(inputs: list[str], model) -> Pipeline:
     return Pipeline(stages=[index, VectorAssembler(inputCols=inputs, outputCol="vector"), model])
 
 
-def markup_model(features: DataFrame, trees: int = 300) -> PipelineModel:
-    """Boosted trees on the markup (H4's features); squared loss, which MLlib has."""
-    model = GBTRegressor(featuresCol="vector", labelCol="markup_pct", predictionCol="predicted", seed=42, maxIter=trees, stepSize=0.05, maxDepth=4, minInstancesPerNode=5, subsamplingRate=0.8)
-    return _indexed(MARKUP_FEATURES, model).fit(features.filter("markup_pct is not null"))
+def markup_model(features: DataFrame, trees: int = 300) -> Huber:
+    """Boosted trees with Huber loss on the markup (H4's features)."""
+    return fitted(features, "markup_pct", MARKUP_FEATURES, "scope_id", rounds=trees, step=0.05, depth=4, least=5, sample=0.8, indexed="scope_type")
 
 
 def labour_model(features: DataFrame, trees: int = 300) -> PipelineModel:
@@ -83,33 +125,29 @@ def labour_model(features: DataFrame, trees: int = 300) -> PipelineModel:
     return _indexed(LABOUR_FEATURES, model).fit(features.filter("man_days > 0").withColumn("log_days", F.log1p("man_days")))
 
 
-def _over_trees(model: PipelineModel, rows: DataFrame, staged: bool) -> DataFrame:
-    """``rows`` with ``mean`` and ``spread`` of the trees' predictions; ``staged``: of the later half of their weighted running sums."""
-    trees, weights = model.stages[-1].trees, model.stages[-1].treeWeights
-    rows = PipelineModel(model.stages[:-1]).transform(rows).withColumns({"run": F.lit(0.0), "s1": F.lit(0.0), "s2": F.lit(0.0)})
-    first = len(trees) // 2 if staged else 0
-    for k, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+def _over_trees(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``mean`` and ``spread`` of the predictions of a forest's trees."""
+    trees = model.stages[-1].trees
+    rows = PipelineModel(model.stages[:-1]).transform(rows).withColumns({"s1": F.lit(0.0), "s2": F.lit(0.0)})
+    for tree in trees:
         rows = tree.copy().setPredictionCol("one").transform(rows)
-        run = F.col("run") + F.col("one") * weight if staged else F.col("one")
-        seen = run if k >= first else F.lit(0.0)
-        rows = rows.select(*[c for c in rows.columns if c not in ("one", "run", "s1", "s2")], run.alias("run"), (F.col("s1") + seen).alias("s1"), (F.col("s2") + seen * seen).alias("s2"))
-    n = len(trees) - first
-    mean = F.col("s1") / n
-    return rows.withColumn("mean", mean).withColumn("spread", F.sqrt(F.greatest(F.col("s2") / n - mean * mean, F.lit(0.0))))
+        rows = rows.select(*[c for c in rows.columns if c not in ("one", "s1", "s2")], (F.col("s1") + F.col("one")).alias("s1"), (F.col("s2") + F.col("one") * F.col("one")).alias("s2"))
+    mean = F.col("s1") / len(trees)
+    return rows.withColumn("mean", mean).withColumn("spread", F.sqrt(F.greatest(F.col("s2") / len(trees) - mean * mean, F.lit(0.0))))
 
 
-def markup_intervals(model: PipelineModel, features: DataFrame) -> DataFrame:
+def markup_intervals(model: Huber, features: DataFrame) -> DataFrame:
     """Predicted markups, held to their range, with an interval of 1.96 deviations of the late stages, 0.05 at least."""
-    rows = _over_trees(model, features, staged=True)
+    rows = model.transform(features, staged_from=len(model.rounds) // 2)
     held = lambda v: F.greatest(F.least(v, F.lit(MARKUP_RANGE[1])), F.lit(MARKUP_RANGE[0]))
     margin = F.greatest(F.col("spread") * 1.96, F.lit(MARKUP_MARGIN))
-    at = held(F.col("run"))
+    at = held(F.col("predicted"))
     return rows.select("scope_id", "scope_type", "markup_pct", F.round(at, 4).alias("predicted"), F.round(held(at - margin), 4).alias("low"), F.round(held(at + margin), 4).alias("high"))
 
 
 def labour_intervals(model: PipelineModel, features: DataFrame) -> DataFrame:
     """Predicted man-days with an interval of 1.28 deviations: of the trees, or half those of the residuals in training, if greater."""
-    rows = _over_trees(model, features, staged=False)
+    rows = _over_trees(model, features)
     residual = float(rows.agg(F.coalesce(F.stddev_pop(F.log1p("man_days") - F.col("mean")), F.lit(0.0))).first()[0])
     half = F.greatest(F.col("spread"), F.lit(residual * 0.5)) * 1.28
     days = F.greatest(F.expm1("mean"), F.lit(LEAST_DAYS))

@@ -38,3 +38,23 @@ def test_deployment(spark):
     old = spark.createDataFrame([("b", 10.0), ("c", 10.0)], "family string, mape double")
     assert {r["family"]: r["deploy"] for r in models.deployment(new, old).collect()} == {"a": True, "b": True, "c": False}
     assert models.deployment(new.filter(F.lit(False)), old).count() == 0
+
+
+def test_kinds_are_chosen_for_each_type_in_one_tuned_fit(spark):
+    t = table(spark).unionByName(table(spark, 8).withColumn("scope_type", F.lit("rare")).withColumn("scope_id", F.concat(F.lit("r"), "scope_id")))
+    own, report = models.models_chosen(t, trees={"forest": 5, "boosted": 5}, depth=4)
+    assert set(own) == {"general", "ACT", "AWP"}
+    rows = report.collect()
+    assert len(rows) == 6 and all(sum(r["chosen"] for r in rows if r["family"] == f) == 1 for f in own)
+    for f in own:
+        errors = {r["kind"]: r["mape"] for r in rows if r["family"] == f}
+        assert next(r["kind"] for r in rows if r["family"] == f and r["chosen"]) == min(errors, key=lambda k: (errors[k], k))
+    assert own["ACT"].transform(t).filter("predicted is null").count() == 0
+
+
+def test_tuned_folds_give_the_errors_of_folds_one_by_one(spark):
+    t = table(spark, 60)
+    _, errors = models.tuned(t, {"forest": 5}, 4)
+    plain = models.cross_validated(t, trees=5, depth=4, k=3)
+    each = plain.groupBy("fold").agg(F.avg(F.abs(F.col("predicted") - F.col("target")) / F.col("target")).alias("e")).agg(F.avg("e")).first()[0]
+    assert errors["forest"] == pytest.approx(each, abs=0.02)  # trees depend on how rows are dealt
