@@ -110,4 +110,5 @@ add(
     "x14_merged_suggestions", ["suggestions"], plan_pages.merged,
     f"SELECT a.plan_id, a.tag, scope_type, confidence, area_sf, product, rooms FROM (SELECT plan_id, tag, min_by(scope_type, seq) AS scope_type, max(confidence) AS confidence, sum(area_sf) AS area_sf, min_by(product_hint, seq) FILTER (product_hint IS NOT NULL) AS product FROM {_NUMBERED} GROUP BY 1, 2) a JOIN (SELECT plan_id, tag, string_agg(room, '|' ORDER BY seen) AS rooms FROM (SELECT plan_id, tag, room, min(seq) AS seen FROM {_NUMBERED} GROUP BY 1, 2, 3) GROUP BY 1, 2) b ON a.plan_id = b.plan_id AND a.tag = b.tag",
 )
-add("x15_plan_confidence", ["plan_pages", "plan_marks"], plan_pages.plan_confidence, f"SELECT plan_id, CAST(CASE WHEN bool_or(m) THEN 1 WHEN bool_or(r) THEN 0.6 ELSE 0.3 END AS DOUBLE) AS confidence FROM (SELECT plan_id, false AS m, length(trim(text)) > 50 AS r FROM plan_pages UNION ALL SELECT plan_id, kind = 'polygon', false FROM {_MARKS}) GROUP BY 1")
+PLAN_CONFIDENCE = f"SELECT plan_id, CAST(CASE WHEN bool_or(m) THEN 1 WHEN bool_or(r) THEN 0.6 ELSE 0.3 END AS DOUBLE) AS confidence FROM (SELECT plan_id, false AS m, length(trim(text)) > 50 AS r FROM plan_pages UNION ALL SELECT plan_id, kind = 'polygon', false FROM {_MARKS}) GROUP BY 1"
+add("x15_plan_confidence", ["plan_pages", "plan_marks"], plan_pages.plan_confidence, PLAN_CONFIDENCE)

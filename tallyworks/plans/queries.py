@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse, rates
-from ..operators import checks, comparables, edits, estimates, links, models, prices, products, reports
+from ..operators import checks, comparables, edits, estimates, links, models, plan_chain, prices, products, reports
 from . import document_queries, link_queries, load_queries, overview_queries, range_queries, room_queries, state_queries  # noqa: F401  (they register their own)
 from .registry import FOUND, Query, add as _add
 
@@ -140,7 +140,14 @@ _PRICE = f"(SELECT *, area_sf / 1000 * md AS man_days, area_sf * (c / (1 + m)) A
 _TOTAL = "(mat * (1 + m) + man_days * 725 + mat * CAST(0.075 AS DOUBLE))"
 _add("z1_price_suggestions", ["scopes"], lambda s: estimates.price_suggestions(_PLAN(s)).select("scope_id", F.round("material_cost", 4).alias("material_cost"), F.round("labour_cost", 4).alias("labour_cost"), F.round("total", 4).alias("total")), f"SELECT scope_id, round(mat, 4) AS material_cost, round(man_days * 725, 4) AS labour_cost, round({_TOTAL}, 4) AS total FROM {_PRICE}")
 _CONF = f"(confidence * CAST(0.6 AS DOUBLE) + CAST(0.4 AS DOUBLE) * {_case(estimates.ACCURACY, 'upper(scope_type)', 0.73)} * CASE WHEN area_sf < 100 OR area_sf > 50000 THEN CAST(0.85 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END)"
-_add("z3_project_estimates", ["scopes"], lambda s: estimates.project_estimates(_PLAN(s)), f"SELECT plan_id, count(*) AS scopes, CAST(round(sum(CAST({_TOTAL} AS DECIMAL(20,8))), 2) AS DOUBLE) AS total, round(sum(man_days), 4) AS man_days, round(sum(area_sf), 2) AS area_sf, round(sum({_CONF} * area_sf) / sum(area_sf), 4) AS confidence FROM {_PRICE} GROUP BY 1")
+_add("z3_project_estimates", ["scopes"], lambda s: estimates.project_estimates(_PLAN(s)), f"SELECT plan_id, count(*) AS scopes, CAST(round(sum(CAST({_TOTAL} AS DECIMAL(20,8))), 2) AS DOUBLE) AS total, CAST(round(sum(CAST(man_days AS DECIMAL(20,8))), 4) AS DOUBLE) AS man_days, round(sum(area_sf), 2) AS area_sf, round(sum({_CONF} * area_sf) / sum(area_sf), 4) AS confidence FROM {_PRICE} GROUP BY 1")
+_SUGGESTED = f"(SELECT plan_id, scope_type, tag, area_sf, confidence FROM {document_queries._FROM_MARKS} WHERE scope_type IS NOT NULL UNION ALL SELECT plan_id, scope_type, NULL, NULL, confidence FROM {document_queries._SAID} WHERE scope_type IS NOT NULL)"
+_MERGED = f"(SELECT plan_id, min(scope_type) AS scope_type, max(confidence) AS confidence, sum(area_sf) AS area_sf FROM (SELECT *, coalesce(tag, 'row ' || row_number() OVER ()) AS one FROM {_SUGGESTED}) GROUP BY plan_id, one)"
+_CHAINED = f"(SELECT *, area_sf / 1000 * md AS man_days, area_sf * (c / (1 + m)) AS mat FROM (SELECT *, {_case(estimates.COST_PER_SF, 'scope_type', 12.0)} AS c, {_case(estimates.MARKUP, 'scope_type', 0.33)} AS m, {_case(estimates.DAYS_PER_1000_SF, 'scope_type', 1.2)} AS md FROM {_MERGED}) WHERE area_sf > 0 AND confidence >= 0.3)"
+_add(
+    "z3_estimated_plans", ["plan_pages", "plan_marks"], plan_chain.estimated_plans,
+    f"SELECT plan_id, scopes, total, man_days, area_sf, confidence, plan_confidence FROM (SELECT plan_id, count(*) AS scopes, CAST(round(sum(CAST({_TOTAL} AS DECIMAL(20,8))), 2) AS DOUBLE) AS total, CAST(round(sum(CAST(man_days AS DECIMAL(20,8))), 4) AS DOUBLE) AS man_days, round(sum(area_sf), 2) AS area_sf, round(sum({_CONF} * area_sf) / sum(area_sf), 4) AS confidence FROM {_CHAINED} GROUP BY 1) JOIN (SELECT plan_id, confidence AS plan_confidence FROM ({document_queries.PLAN_CONFIDENCE})) USING (plan_id)",
+)
 _SIM = "(CASE WHEN s.scope_type = t.scope_type THEN CAST(0.5 AS DOUBLE) ELSE 0 END + CAST(0.3 AS DOUBLE) / (1 + abs(ln(t.a / square_footage))))"
 _add(
     "w3_comparable_projects", ["scopes"],

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.functions import classify, text
-from tallyworks.operators import checks, comparables, estimates, plan_rooms, prices, quantiles
+from tallyworks.operators import checks, comparables, estimates, plan_chain, plan_rooms, prices, quantiles
 
 
 def one(spark, column):
@@ -107,3 +107,17 @@ def test_medians_with_an_outlier_and_over_ranges(spark, most):
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
     got = {r["k"]: r["m"] for r in quantiles.medians(df, ["k"], {"m": F.col("v")}, most).collect()}
     assert got == {k: statistics.median([v for c, v in rows if c == k and v is not None]) for k in ("a", None, "b")}
+
+
+def test_three_marked_scopes_of_a_plan_are_priced_and_the_text_only_ones_go(spark):
+    areas = (568.87, 378.18, 648.33)
+    marks = [("p", 2, f"m{k}", f"AWP-{k + 1}\nArea: {a} sq ft", None, "reviewer", "#ff0000") for k, a in enumerate(areas)]
+    pages = [("p", 1, "COVER"), ("p", 2, "REFLECTED CEILING PLAN with sound masking and FW panels, section 09 84 00 and ACT tile by others"), ("q", 1, "Finish Schedule with sound masking of the whole second floor, no areas given here")]
+    p = spark.createDataFrame(pages, "plan_id string, page_no long, text string")
+    m = spark.createDataFrame(marks, "plan_id string, page_no long, mark_id string, content string, subject string, title string, colour string")
+    rm = spark.createDataFrame([("p", 2, "m9", "a cloud", 5.0)], "plan_id string, page_no long, mark_id string, label string, area_sf double")
+    assert plan_chain.suggestions(p, m).filter("area_sf is null").count() >= 3
+    for row_marks in (None, rm):
+        rows = plan_chain.estimated_plans(p, m, row_marks).collect()
+        assert [(r["plan_id"], r["scopes"], r["area_sf"], r["plan_confidence"]) for r in rows] == [("p", 3, 1595.38, 1.0)]
+        assert abs(rows[0]["total"] - 32394.19) < 0.1 and abs(rows[0]["man_days"] - 2.8717) < 1e-3
