@@ -47,3 +47,22 @@ def test_areas_fall_back(spark):
     marks = spark.createDataFrame([(1, 1, "m", "ACT-1 Area: 568.87 sq ft", None, None, None), (1, 1, "n", "ACT-1 Area: 378.18 SF", None, None, None)], "plan_id int, page_no int, mark_id string, content string, subject string, title string, colour string")
     got = {r.plan_id: (r.source, r.area_sf, r.confidence) for r in plan_pages.areas(pages, marks).collect()}
     assert got == {1: ("marks", 947.05, 0.95), 2: ("labels", 1900.0, 0.7), 3: ("sides", 225.0, 0.4), 4: ("none", None, 0.0)}
+
+
+def test_needles_that_share_their_words_are_told_apart_by_long_runs(spark):
+    """Candidates grow with the texts, not with their square: each name lies in one client's name, and their words in all."""
+    n = 1_200
+    names = spark.createDataFrame([(f"st mary hospital tower {10_000 + i}",) for i in range(n)], "needle string")
+    clients = spark.createDataFrame([(f"st mary hospital tower {10_000 + i} annex",) for i in range(n)], "hay string")
+    found = links.candidates(names, clients)
+    assert found.count() <= 12 * n  # 1,200 names of three-character runs have some 40 each
+    assert links.containing(names, clients).count() == n
+    assert {(r["side"], r["n"]) for r in links.linked_texts(names, clients).groupBy("side").count().withColumnRenamed("count", "n").collect()} == {("needle", n), ("hay", n)}
+
+
+def test_many_short_needles_are_linked(spark):
+    needles = [chr(97 + i) + chr(97 + j) for i in range(10) for j in range(10)] + ["q"]
+    hays = ["abcab", "xyz", "jj", "queue"]
+    got = {(r["text"], r["side"]) for r in links.linked_texts(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in hays], "hay string")).collect()}
+    pairs = [(a, b) for a in needles for b in hays if a in b]
+    assert got == {(a, "needle") for a, _ in pairs} | {(b, "hay") for _, b in pairs}
