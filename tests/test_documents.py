@@ -66,3 +66,11 @@ def test_many_short_needles_are_linked(spark):
     got = {(r["text"], r["side"]) for r in links.linked_texts(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in hays], "hay string")).collect()}
     pairs = [(a, b) for a in needles for b in hays if a in b]
     assert got == {(a, "needle") for a, _ in pairs} | {(b, "hay") for _, b in pairs}
+
+
+def test_few_needles_are_tested_on_each_hay_without_runs(spark):
+    """Runs are many times their texts, and a handful of hints needs none."""
+    hays = spark.range(200).selectExpr("concat('palm apartments ', id) AS hay")
+    found = links.containing(spark.createDataFrame([("palm",), ("7",), ("zoo",)], "needle string"), hays)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 200 + sum("7" in str(i) for i in range(200))
