@@ -58,3 +58,32 @@ def test_tuned_folds_give_the_errors_of_folds_one_by_one(spark):
     plain = models.cross_validated(t, trees=5, depth=4, k=3)
     each = plain.groupBy("fold").agg(F.avg(F.abs(F.col("predicted") - F.col("target")) / F.col("target")).alias("e")).agg(F.avg("e")).first()[0]
     assert errors["forest"] == pytest.approx(each, abs=0.02)  # trees depend on how rows are dealt
+
+
+@pytest.mark.parametrize("fit", [lambda t: models.cross_validated(t, trees=2, depth=2, k=2).count(), lambda t: models.models_chosen(t, trees={"forest": 2}, depth=2), lambda t: models.best_model(t, trees=2, depth=2)], ids=["m2", "m1 by type", "m1 choice"])
+def test_features_are_worked_out_once(spark, fit):
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        seen.add(1)
+        return x
+
+    fit(table(spark, 40).withColumn("log_area", F.udf(same, "double")("log_area")))
+    assert seen.value == 40
+
+
+def test_trees_of_an_interval_are_worked_out_once(spark):
+    rows = table(spark, 40).withColumn("man_days", F.col("log_area") + 1).withColumn("rate_ratio", F.lit(1.0)).withColumn("has_area", F.lit(1))
+    out = models.labour_intervals(models.labour_model(rows, 2), rows)
+    assert out.count() == 40 and any("/trees-" in f for f in out.inputFiles())
+
+
+def test_each_round_of_boosting_is_held(spark, monkeypatch):
+    from tallyworks.operators import huber
+
+    held, fit = [], huber.DecisionTreeRegressor.fit
+    monkeypatch.setattr(huber.DecisionTreeRegressor, "fit", lambda self, df, *a: held.append("InMemory" in df._jdf.queryExecution().executedPlan().toString()) or fit(self, df, *a))
+    rows = table(spark, 40)
+    model = huber.fitted(rows, "target", ["log_area", "tier"], "scope_id", rounds=3)
+    assert held == [True] * 3 and model.transform(rows).filter("predicted is null").count() == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
