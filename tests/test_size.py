@@ -16,3 +16,14 @@ def test_lines_of_pages_are_read_once_for_ceilings(spark):
     assert _plan(found).count("Generate inline") == 1
     got = sorted((r["page_no"], r["tag"] or "", r["ceiling"], r["area_sf"]) for r in found.collect())
     assert got == [(1, "", "GWB", None), (1, "ACT-1", "ACT", None), (1, "FW-2", "FW", 10.0), (2, "ACT-1", "ACT", 10.0), (2, "ACT-2", "ACT", None)]
+
+
+def test_rooms_of_one_file_are_many_tasks_and_prefixes_are_looked_up_once(spark):
+    pages = spark.createDataFrame([("p", k, f"ROOM 10{k} - LAB\nACT-1") for k in range(8)], PAGES).coalesce(1)
+    marks = spark.createDataFrame([("p", 1, "m1", "CLOUD-1 see detail", None), ("p", 1, "m2", "FW-2", 10.0), ("p", 2, "m3", "WOOD-12", 1.0)], MARKS)
+    rooms = plan_rooms.rooms(pages, marks)
+    assert rooms.filter("found < 5").rdd.getNumPartitions() >= 4
+    found = plan_rooms.suggested(rooms, plan_rooms.ceilings(pages, marks).limit(0))
+    assert _plan(found).count("regexp_extract(upper(tag") < 10
+    marked = sorted((r["scope_type"], r["tag"]) for r in found.filter("area_sf is not null").collect())
+    assert marked == [("FW", "FW-2"), ("WW", "WOOD-12")]
