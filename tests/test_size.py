@@ -1,6 +1,9 @@
 """What makes work grow faster than its input: few tasks, or the same rows worked out again."""
 
-from tallyworks.operators import plan_rooms
+from pyspark.sql import functions as F
+
+from tallyworks.operators import model_features, plan_rooms, quantiles
+from tallyworks.plans.tables import domain
 
 PAGES, MARKS = "plan_id string, page_no int, text string", "plan_id string, page_no int, mark_id string, label string, area_sf double"
 
@@ -27,3 +30,13 @@ def test_rooms_of_one_file_are_many_tasks_and_prefixes_are_looked_up_once(spark)
     assert _plan(found).count("regexp_extract(upper(tag") < 10
     marked = sorted((r["scope_type"], r["tag"]) for r in found.filter("area_sf is not null").collect())
     assert marked == [("FW", "FW-2"), ("WW", "WOOD-12")]
+
+
+def test_training_features_are_written_once_and_counted_values_have_medians(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = _plan(model_features.training_features(domain(spark, sf, "scopes"), domain(spark, sf, "projects")))
+    assert "contains" not in plan.lower() and plan.count("Join Inner, (project_id") == 0
+    rows = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 2), ("a", 9.0, 1), ("b", 2.0, 1), ("b", 4.0, 1), ("b", None, 5)], "k string, v double, n long")
+    for most in (None, 0):
+        got = {r["k"]: r["m"] for r in quantiles.medians(rows, ["k"], {"m": F.col("v")}, most, times="n").collect()}
+        assert got == {"a": 3.0, "b": 3.0}
