@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyworks.operators import model_features, plan_rooms, quantiles
+from tallyworks.operators import links, model_features, plan_rooms, quantiles, schedules
 from tallyworks.plans.tables import domain
 
 PAGES, MARKS = "plan_id string, page_no int, text string", "plan_id string, page_no int, mark_id string, label string, area_sf double"
@@ -40,3 +40,24 @@ def test_training_features_are_written_once_and_counted_values_have_medians(spar
     for most in (None, 0):
         got = {r["k"]: r["m"] for r in quantiles.medians(rows, ["k"], {"m": F.col("v")}, most, times="n").collect()}
         assert got == {"a": 3.0, "b": 3.0}
+
+
+def test_few_bands_are_met_without_a_table_of_pairs(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "ab"[k % 2] if k % 5 else None, None if k == 7 else float(k)) for k in range(20)], "row_id int, kind string, cost double")
+    bands = spark.createDataFrame([("a", None, 6.0, "low"), ("a", 4.0, None, "high"), ("b", 3.0, 11.0, "mid"), (None, 0.0, 9.0, "none"), ("b", 5.0, 5.0, "empty")], "kind string, low double, high double, label string")
+    found = schedules.banded(rows, bands, ["kind"], "cost", "no band")
+    assert "banded" not in "".join(found.inputFiles())
+    few = sorted((r["row_id"], r["label"]) for r in found.collect())
+    monkeypatch.setattr(schedules, "FEW_BANDS", 0)
+    assert few == sorted((r["row_id"], r["label"]) for r in schedules.banded(rows, bands, ["kind"], "cost", "no band").collect())
+
+
+def test_hinted_projects_are_ranked_once_for_equal_hints(spark, monkeypatch):
+    targets = spark.createDataFrame([(1, "Arena; park"), (2, "arena;park"), (3, ";; "), (4, None), (5, "hotel"), (5, "arena"), (6, "zoo")], "target_id int, hints string")
+    projects = spark.createDataFrame([(k, f"{'Arena' if k % 2 else 'Hotel'} Park {k}") for k in range(12)], "project_id int, name string")
+    found = links.hinted_projects(targets, projects)
+    assert "Window" not in _plan(found)
+    want = [(t, p, p + 1) for t in (1, 2, 5) for p in range(5)]
+    assert sorted((r["target_id"], r["project_id"], r["rank"]) for r in found.collect()) == want
+    monkeypatch.setattr(links, "FEW", 0)
+    assert sorted((r["target_id"], r["project_id"], r["rank"]) for r in links.hinted_projects(targets, projects).collect()) == want
