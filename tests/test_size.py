@@ -61,3 +61,21 @@ def test_hinted_projects_are_ranked_once_for_equal_hints(spark, monkeypatch):
     assert sorted((r["target_id"], r["project_id"], r["rank"]) for r in found.collect()) == want
     monkeypatch.setattr(links, "FEW", 0)
     assert sorted((r["target_id"], r["project_id"], r["rank"]) for r in links.hinted_projects(targets, projects).collect()) == want
+
+
+def test_medians_of_many_values_sort_only_what_lies_about_the_middle(spark, monkeypatch):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.gauss(0, 1), 3.0, float(rng.randint(0, 9)), rng.random() * 1e12])) for _ in range(6000)] + [("c", 1.0), ("c", 4.0), ("d", None), ("e", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    monkeypatch.setattr(quantiles, "SMALL", 1000)  # values; those between are fewer
+    sorted_ = []
+    monkeypatch.setattr(quantiles, "_bracketed", lambda *a, f=quantiles._bracketed: sorted_.append(f(*a)) or sorted_[-1])
+    got = {r["k"]: r["m"] for r in quantiles.medians(df, ["k"], {"m": F.col("v")}).collect()}
+    assert sorted_ and sorted_[0] is not None
+    want = {k: statistics.median([v for kk, v in rows if kk == k and v is not None]) for k in ("a", "b", None, "c", "e")}
+    assert {k: v for k, v in got.items() if k != "d"} == want
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", 1)
+    assert {r["k"]: r["m"] for r in quantiles.medians(df, ["k"], {"m": F.col("v")}).collect()} == got
