@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyworks.llm import decontaminate, html_text, language_id, mixing, token_counts, toxicity
@@ -168,6 +169,21 @@ def test_toxic_words_deep_in_long_texts_are_learned(spark):
     assert np.mean([got[501 + 2 * i] > got[500 + 2 * j] for i in range(10) for j in range(10)]) > 0.9
 
 
+def test_toxic_words_of_all_labelled_rows_are_learned(spark):
+    """Rows beyond the first 4,000 of a label, by hash, have a toxic word of their own."""
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(5))))
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")).withColumn("place", place)
+    word = F.when(F.col("toxic") == 0, "ember").when(F.col("place") <= 4_000, "zounds").otherwise("grue")
+    around = F.concat_ws(" ", *[F.element_at(F.array(*map(F.lit, ["alpha", "bravo", "carol", "delta", "ember"])), (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(5)) + 1).cast("int")) for k in range(4)])
+    train = rows.select("doc_id", F.concat_ws(" ", around, word).alias("text"), F.lit("en").alias("lang"))
+    net = toxicity.fit(train, rows.select("doc_id", "toxic"), F.lit(True))
+    probe = docs(spark, [(1, "alpha bravo grue carol", "en", "s"), (2, "alpha bravo zounds carol", "en", "s"), (3, "alpha bravo ember carol", "en", "s")])
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(probe, net).collect()}
+    assert got[1] > 0.9 and got[2] > 0.9 and got[3] < 0.1
+    again = toxicity.fit(train, rows.select("doc_id", "toxic"), F.lit(True))
+    assert all(np.array_equal(net.p[k], again.p[k]) for k in net.p) and net.thresholds == again.thresholds
+
+
 def plain_tiles(doc, item, k):
     """Greedy string tiling as published: scan all pairs of places for the longest free match, mark it, again."""
     fd, fi, covered = [True] * len(doc), [True] * len(item), 0
