@@ -26,6 +26,7 @@ their names, are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ CUT = 0.3
 #: Words pooled at once, and words that a task keeps projected.
 CHUNK, CACHE = 1 << 15, 150_000
 #: Rounds over all rows, texts of a step and its size.
-ROUNDS, BATCH, RATE = 5, 64, 1e-2
-#: Steps that a part takes in a round at least, in more passes over its rows.
+ROUNDS, BATCH, RATE = 4, 64, 1e-2
+#: Steps of a round that few rows get at least, in more passes over them.
 STEPS = 50
 #: Rows from which a fifth is set aside; fewer choose, scale and cut by all.
 APART = 50
@@ -73,17 +74,23 @@ def pieces(word: str) -> list[int]:
 class Words(dict):
     """Number of each word, given as it is first met; 0 is no word."""
 
+    def __init__(self):
+        self.own: list[str] = []
+
     def __missing__(self, word: str) -> int:
-        self[word] = len(self) + 1
-        return self[word]
+        if not word:
+            return 0
+        self.own.append(word)
+        self[word] = n = len(self.own)
+        return n
 
     def ids(self, text: str | None) -> np.ndarray:
         own = (text or "").split()
-        return np.fromiter(map(self.__getitem__, own), np.int32, len(own))
+        return np.array(itemgetter(*own, "")(self)[:-1] if own else (), np.int32)
 
     def buckets(self, first: int = 0) -> np.ndarray:
         """Pieces of the words numbered from ``first`` on, in order; (n, 1 + len(PREFIXES))."""
-        new = list(self)[max(first - 1, 0) :]
+        new = self.own[max(first - 1, 0) :]
         rows = [[0] * (1 + len(PREFIXES))] * (first == 0) + [pieces(w) for w in new]
         return np.array(rows, np.int32).reshape(-1, 1 + len(PREFIXES))
 
@@ -150,7 +157,10 @@ class Cnn:
 
     def project(self, own: np.ndarray) -> np.ndarray:
         """Numbers of words (n, pieces) on all filter slices: (n, sum of widths * FILTERS)."""
-        return self.p["E"][own].sum(axis=1) @ np.concatenate([self.p[f"W{w}"][i] for w in WIDTHS for i in range(w)], axis=1)
+        held = self.p["E"][own[:, 0]]
+        for i in range(1, own.shape[1]):
+            held += self.p["E"][own[:, i]]
+        return held @ np.concatenate([self.p[f"W{w}"][i] for w in WIDTHS for i in range(w)], axis=1)
 
     def logits(self, table: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Logit of each text; texts are flat[offsets[i]:offsets[i+1]], numbers of rows of ``table`` (projected words)."""
@@ -200,21 +210,38 @@ def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return max(a, 0.05), b
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words, list[np.ndarray], np.ndarray, np.ndarray, list[str | None]]]:
-    """(part, words, texts as numbers of words, labels, which are set aside, languages) of each part, whose rows come one after another."""
-    now, words, texts, y, dev, lang = None, Words(), [], [], [], []
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of parts (part, dev, y, lang, letters), a part's one after another, with texts as numbers of words; a part ends in a row with the pieces of its words."""
+    now, words = None, Words()
+
+    def row(part: int, *values: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, *values), (pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["part", "dev", "y", "lang", "ids", "pieces"])
+
     for batch in batches:
-        for part, own_dev, own_y, own_lang, letters_ in zip(*(batch.column(i) for i in range(5)), strict=True):
-            if now is not None and part.as_py() != now:
-                yield now, words, texts, np.array(y, np.int64), np.array(dev, bool), lang
-                words, texts, y, dev, lang = Words(), [], [], [], []
-            now = part.as_py()
-            texts.append(words.ids(letters_.as_py()))
-            y.append(own_y.as_py())
-            dev.append(own_dev.as_py())
-            lang.append(own_lang.as_py())
+        for part, dev, y, lang, letters_ in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if now is not None and part != now:
+                yield row(now, None, None, None, None, words.buckets().tobytes())
+                words = Words()
+            now = part
+            yield row(part, dev, y, lang, words.ids(letters_).tobytes(), None)
     if now is not None:
-        yield now, words, texts, np.array(y, np.int64), np.array(dev, bool), lang
+        yield row(now, None, None, None, None, words.buckets().tobytes())
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, list[str | None]]]:
+    """(part, pieces of its words, texts as numbers of words, labels, which are set aside, languages) of each part that ``_numbered`` gave."""
+    texts, y, dev, lang = [], [], [], []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part, own_dev, own_y, own_lang, ids, pieces_ = (c[i] for c in batch.columns)
+            if pieces_.is_valid:
+                yield part.as_py(), np.frombuffer(pieces_.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)), texts, np.array(y, np.int64), np.array(dev, bool), lang
+                texts, y, dev, lang = [], [], [], []
+            else:
+                texts.append(np.frombuffer(ids.as_py(), np.int32))
+                y.append(own_y.as_py())
+                dev.append(own_dev.as_py())
+                lang.append(own_lang.as_py())
 
 
 def _piece_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -222,8 +249,7 @@ def _piece_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_with, of_label_1 = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for _, words, texts, y, _, _ in _by_part(batches):
-            buckets = words.buckets()
+        for _, buckets, texts, y, _, _ in _by_part(batches):
             for own, label in zip(texts, y.tolist(), strict=True):
                 pieces_ = np.unique(buckets[own])
                 texts_with[pieces_] += 1
@@ -244,11 +270,11 @@ def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.pad(every, (0, -len(every) % DIM)).reshape(-1, DIM)
 
 
-def _learn(net: Cnn, buckets: np.ndarray, texts: list[np.ndarray], y: np.ndarray, balance: np.ndarray, rng: np.random.Generator) -> None:
+def _learn(net: Cnn, buckets: np.ndarray, texts: list[np.ndarray], y: np.ndarray, balance: np.ndarray, passes: int, rng: np.random.Generator) -> None:
     """A part's steps of one round."""
     order, t = np.arange(len(y)), 0
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    for _ in range(max(1, -(-STEPS // max(1, -(-len(y) // BATCH)))) if len(y) else 0):
+    for _ in range(passes):
         rng.shuffle(order)
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
@@ -261,7 +287,7 @@ def _learn(net: Cnn, buckets: np.ndarray, texts: list[np.ndarray], y: np.ndarray
                 net.p[k][only] -= RATE * (m[0][only] / (1 - 0.9**t)) / (np.sqrt(m[1][only] / (1 - 0.999**t)) + 1e-7)
 
 
-def _round(rows: DataFrame, net: Cnn, known: np.ndarray, weights: tuple[float, float], apart: bool, number: int) -> tuple[Cnn, float]:
+def _round(rows: DataFrame, net: Cnn, known: np.ndarray, weights: tuple[float, float], apart: bool, passes: int, number: int) -> tuple[Cnn, float]:
     """The weights after a round over all rows, and the loss of those before it on what is set aside; the last round only gives the loss."""
     held = rows.sparkSession.sparkContext.broadcast((net, known))
     numbers = [f"v{i}" for i in range(DIM)]
@@ -269,8 +295,7 @@ def _round(rows: DataFrame, net: Cnn, known: np.ndarray, weights: tuple[float, f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, known_ = held.value
-        for part, words, texts, y, dev, _ in _by_part(batches):
-            buckets = words.buckets()
+        for part, buckets, texts, y, dev, _ in _by_part(batches):
             buckets = np.where(known_[buckets], buckets, 0)
             balance = np.where(y == 1, weights[1], weights[0]).astype(np.float32)
             own = np.flatnonzero(dev) if apart else np.arange(len(y))
@@ -281,7 +306,7 @@ def _round(rows: DataFrame, net: Cnn, known: np.ndarray, weights: tuple[float, f
             if number < ROUNDS and len(fit_):
                 net_ = Cnn()
                 net_.p = {k: v.copy() for k, v in start.p.items()}
-                _learn(net_, buckets, [texts[i] for i in fit_], y[fit_], balance[fit_], np.random.default_rng([number, part]))
+                _learn(net_, buckets, [texts[i] for i in fit_], y[fit_], balance[fit_], passes, np.random.default_rng([number, part]))
                 touched = np.flatnonzero((net_.p["E"] != start.p["E"]).any(axis=1))
                 dense = _flat(net_.p).astype(np.float64) - _flat(start.p)
                 where += [touched, BUCKETS + np.arange(len(dense))]
@@ -314,8 +339,7 @@ def _calibrate(rows: DataFrame, net: Cnn, known: np.ndarray, apart: bool) -> Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known_ = held.value
-        for _, words, texts, y, dev, lang in _by_part(batches):
-            buckets = words.buckets()
+        for _, buckets, texts, y, dev, lang in _by_part(batches):
             some = np.flatnonzero(dev) if apart else np.arange(len(y))
             logit = np.clip(own.logits(own.project(np.where(known_[buckets], buckets, 0)), *_joined([texts[i] for i in some])), -30, 30).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in some], pa.string()), pa.array(np.floor(logit * BINS).astype(np.int64)), pa.array(y[some]), pa.array(logit), pa.array(np.rint(logit * UNIT).astype(np.int64))], ["lang", "bin", "y", "logit", "units"])
@@ -356,7 +380,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Cnn:
     parts = max(1, -(-n // PART_ROWS), -(-size // PART_LETTERS))
     dealt = rows.select(F.pmod("rank", F.lit(parts)).cast("int").alias("part"), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).alias("dev"), (F.col("y") == 1).cast("int").alias("y"), "lang", "l", "rank", "doc_id")
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "rank", "doc_id", "l", "y")
-    rows = written(dealt.drop("rank", "doc_id"), "parts")  # a part lies in one file
+    dealt = dealt.drop("rank", "doc_id").mapInArrow(_numbered, "part int, dev boolean, y int, lang string, ids binary, pieces binary")
+    rows = written(dealt, "parts")  # a part lies in one file
     apart = n >= APART and 0 < rows.filter("dev and y = 1").count() and 0 < rows.filter("not dev and y = 1").count()
     texts_with, of_label_1 = _piece_counts(rows)
     # Pieces that few texts have say nothing of other texts: they embed as nothing, in training and later.
@@ -367,9 +392,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Cnn:
     odds = np.log(one / (n1 + 1) / (other / (n - n1 + 1)))
     net.p["E"][:, 0] += (START * np.sign(odds) * np.maximum(np.abs(odds) - SURE * np.sqrt(1 / one + 1 / other), 0)).astype(np.float32)
     net.p["E"][~known] = 0
+    passes = max(1, -(-STEPS // -(-n // BATCH)))
     best = (np.inf, net)
     for number in range(ROUNDS + 1):
-        after, loss = _round(rows, net, known, (0.5 * n / (n - n1), 0.5 * n / n1), apart, number)
+        after, loss = _round(rows, net, known, (0.5 * n / (n - n1), 0.5 * n / n1), apart, passes, number)
         best = min(best, (loss, net), key=lambda b: b[0])
         net = after
     _calibrate(rows, best[1], known, apart)
