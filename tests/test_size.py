@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tallyworks.operators import links, model_features, plan_rooms, quantiles, schedules
+from tallyworks.operators import estimates, increments, links, model_features, plan_chain, plan_pages, plan_rooms, products, quantiles, quotes, schedules
 from tallyworks.plans.tables import domain
+from tallyworks.sources import project_files
 
 PAGES, MARKS = "plan_id string, page_no int, text string", "plan_id string, page_no int, mark_id string, label string, area_sf double"
 
@@ -79,3 +80,16 @@ def test_medians_of_many_values_sort_only_what_lies_about_the_middle(spark, monk
     assert {k: v for k, v in got.items() if k != "d"} == want
     monkeypatch.setattr(quantiles, "FEW_GROUPS", 1)
     assert {r["k"]: r["m"] for r in quantiles.medians(df, ["k"], {"m": F.col("v")}).collect()} == got
+
+
+DRAWN = "plan_id int, page_no int, mark_id string, content string, subject string, title string, colour string"
+
+
+def test_patterns_of_a_mark_are_read_once(spark):
+    """As columns in a row they were read some thirty times, by code that was too long to compile."""
+    pages = spark.createDataFrame([(1, 1, "SM by others")], PAGES.replace("plan_id string", "plan_id int"))
+    marks = spark.createDataFrame([(1, 1, "a", "CLOUD-1 Area: 1,200.5 SF", None, None, "red"), (1, 1, "b", "AWP-2 Length: 10 LF", None, None, None), (1, 1, "c", None, "see", None, "#ff0000"), (1, 1, "d", None, None, None, "#ff0000"), (1, 1, "e", "ACT-1", None, None, "#ffff00")], DRAWN)
+    found = plan_pages.suggested(pages, marks)
+    assert _plan(found).count("regexp_extract(") <= 4
+    got = sorted((r["scope_type"], r["tag"], r["area_sf"], r["length_lf"], r["confidence"], r["source"]) for r in found.collect())
+    assert got == [("ACT", None, None, None, 0.7, "colour"), ("AWP", "AWP-2", None, 10.0, 0.95, "tag"), ("Baffles", "CLOUD-1", 1200.5, None, 0.95, "tag"), ("SM", None, None, None, 0.5, "keyword")]
