@@ -93,3 +93,19 @@ def test_patterns_of_a_mark_are_read_once(spark):
     assert _plan(found).count("regexp_extract(") <= 4
     got = sorted((r["scope_type"], r["tag"], r["area_sf"], r["length_lf"], r["confidence"], r["source"]) for r in found.collect())
     assert got == [("ACT", None, None, None, 0.7, "colour"), ("AWP", "AWP-2", None, 10.0, 0.95, "tag"), ("Baffles", "CLOUD-1", 1200.5, None, 0.95, "tag"), ("SM", None, None, None, 0.5, "keyword")]
+
+
+def test_plans_are_dealt_once_into_a_fixed_number_of_parts(spark):
+    pages = spark.createDataFrame([(k, 1, "ACT and FW by others, a page of text that is long enough to be read by all") for k in range(6)], PAGES.replace("plan_id string", "plan_id int"))
+    marks = spark.createDataFrame([(k, 1, f"m{k}", f"ACT-{k} Area: {k}00 SF", None, None, None) for k in range(6)], DRAWN)
+    found = plan_chain.estimated_plans(pages, marks)
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in physical
+    assert len(found.collect()) == 5
+    rows = spark.createDataFrame([(1, k, "ACT", "ACT-1", 10.0, 0.5, None, None) for k in range(3)], "plan_id int, seq int, scope_type string, scope_tag string, area_sf double, confidence double, product_hint string, room string")
+    merged = plan_pages.merged(rows.repartition(4, "plan_id"))._jdf.queryExecution().executedPlan().toString()
+    assert merged.count("Exchange ") == 1 and merged.split("Window")[0].count("Sort [") <= 1 and merged.count("Sort [plan_id#") <= 2
+    kinds = [("ACT", 0.7), ("FW", 0.35), ("SM", 0.9), ("WW", 0.61)] * 30
+    many = [(1, kind, 1000.1 + k, sure) for k, (kind, sure) in enumerate(kinds)]
+    each = {tuple(r) for m in (many, many[::-1], sorted(many)) for r in estimates.project_estimates(spark.createDataFrame(m, "plan_id int, scope_type string, area_sf double, confidence double").coalesce(1)).collect()}
+    assert len(each) == 1
