@@ -109,3 +109,11 @@ def test_plans_are_dealt_once_into_a_fixed_number_of_parts(spark):
     many = [(1, kind, 1000.1 + k, sure) for k, (kind, sure) in enumerate(kinds)]
     each = {tuple(r) for m in (many, many[::-1], sorted(many)) for r in estimates.project_estimates(spark.createDataFrame(m, "plan_id int, scope_type string, area_sf double, confidence double").coalesce(1)).collect()}
     assert len(each) == 1
+
+
+def test_patterns_of_a_vendor_text_are_read_once(spark):
+    docs = spark.createDataFrame([("a", "x.pdf", "FBM\nInvoice #INV-1001\n3/5/24\nLead time 2-3 weeks\n24-1234 Panel Blue 12 ctn $42.50 $1,040.00\nFreight: $225.00\nGrand Total: $3,100.00"), ("b", "armstrong.pdf", None)], "doc_id string, file_name string, text string")
+    found = quotes.vendor_fields(docs)
+    assert _plan(found).count("regexp_extract(") <= 10 and _plan(found).count("lower(substring") <= 1
+    got = {r["doc_id"]: tuple(r)[1:] for r in found.collect()}
+    assert got["a"] == ("FBM", "INV-1001", "3/5/24", "2-3 weeks", 225.0, None, 3100.0, 0.75) and got["b"][:6] == ("Armstrong", None, None, None, None, None)
