@@ -72,6 +72,8 @@ _WHO = "SELECT 'Job ' || project_id AS folder, CASE WHEN length(name) % 2 = 0 TH
 
 
 def _enriched(p: DataFrame, q: DataFrame) -> DataFrame:
+    # Files and quotes are both made of the items, projects and contractors of the projects: each is joined once.
+    q, p = kept(q.select("project_id", "part_id", "line_no", "quote_date"), "items"), kept(p.select("project_id", "name", "status", "quote_date", "gc_name"), "projects")
     files = q.filter("part_id % 3 > 0 or line_no > 3").selectExpr(f"'/itb/' || {_DISK} || '/' || {_NAME} AS path", "CAST(quote_date AS TIMESTAMP) AS modified")
     said = q.filter("line_no = 7").selectExpr("'Job ' || project_id AS folder", f"{_QUOTED} AS dated")
     who = p.selectExpr("'Job ' || project_id AS folder", "CASE WHEN length(name) % 2 = 0 THEN ' ' || name || ' ' ELSE '' END AS gc_name")

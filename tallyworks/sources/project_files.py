@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parse import let
 from ..functions.text import path_kind
 
 #: A date in a file's name, the years that count, the placeholder of a date.
@@ -27,15 +30,16 @@ def documents(files: DataFrame) -> DataFrame:
 
 
 def _name_date(name: Column) -> Column:
-    part = lambda i: F.regexp_extract(name, FILE_DATE, i)
-    year = F.when(part(3) != "", part(3).cast("int"))
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    text = F.format_string("%04d-%02d-%02d", year, F.when(part(1) != "", part(1).cast("int")), F.when(part(2) != "", part(2).cast("int")))
-    return F.when(year.between(*YEARS), text.try_cast("date"))
+    part = lambda i: let(F.regexp_extract(name, FILE_DATE, i), lambda x: F.when(x != "", x.cast("int")))
 
+    def dated(year: Column) -> Column:
+        return F.when(year.between(*YEARS), F.format_string("%04d-%02d-%02d", year, part(1), part(2)).try_cast("date"))
+
+    return let(let(part(3), lambda y: F.when(y < 100, y + 2000).otherwise(y)), dated)
 
-def file_dates(files: DataFrame) -> DataFrame:
-    """(folder, quote_pdf_mtime, xlsx_filename_date, xlsx_mtime) of the files (folder, name, modified): the earliest of each sort.
+
+def _each_date(files: DataFrame) -> DataFrame:
+    """(folder, quote_pdf_mtime, xlsx_filename_date, xlsx_mtime) of each file (folder, name, modified) that isn't hidden; most are null.
 
     A spreadsheet whose name has three numbers like a date has no other date, even where they make none.
     """
@@ -43,18 +47,25 @@ def file_dates(files: DataFrame) -> DataFrame:
     has = F.col("name").rlike(FILE_DATE)
     day = F.to_date("modified")
     rows = files.filter(~F.col("name").rlike(r"^(\.|~\$)"))
-    return rows.groupBy("folder").agg(
-        F.min(F.when(F.lower("name").endswith(".pdf") & F.lower("name").startswith("quote"), day)).alias("quote_pdf_mtime"),
-        F.min(F.when(sheet & has, _name_date(F.col("name")))).alias("xlsx_filename_date"),
-        F.min(F.when(sheet & ~has, day)).alias("xlsx_mtime"),
+    return rows.select(
+        "folder", F.when(F.lower("name").endswith(".pdf") & F.lower("name").startswith("quote"), day).alias("quote_pdf_mtime"),
+        F.when(sheet & has, _name_date(F.col("name"))).alias("xlsx_filename_date"), F.when(sheet & ~has, day).alias("xlsx_mtime"),
     )
 
 
+def file_dates(files: DataFrame) -> DataFrame:
+    """(folder, quote_pdf_mtime, xlsx_filename_date, xlsx_mtime) of the files (folder, name, modified): the earliest of each sort."""
+    return _each_date(files).groupBy("folder").agg(*[F.min(c).alias(c) for c in SOURCES[1:]])
+
+
 def in_folders(files: DataFrame, root: str) -> DataFrame:
     """(folder, name, modified) of the files (path, modified) that lie in a folder right under ``root``."""
-    rest = F.split(F.regexp_replace(F.regexp_replace(F.col("path"), "^file:/+", "/"), f"^{root.rstrip('/')}/", "\0"), "/")
-    rows = files.select("modified", rest.alias("p")).filter((F.size("p") == 2) & F.col("p")[0].startswith("\0"))
-    return rows.select(F.col("p")[0].substr(2, 10_000).alias("folder"), F.col("p")[1].alias("name"), "modified")
+    start = f"{root.rstrip('/')}/"
+    plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    # As an array of none or one: a condition on the parts would be pushed down, and each path read once for each use of them.
+    inside = lambda p: F.when((F.size(p) == 2), F.array(F.struct(p[0].alias("folder"), p[1].alias("name"))))
+    found = let(plain, lambda x: F.when(F.startswith(x, F.lit(start)), let(F.split(F.substr(x, F.lit(len(start) + 1)), "/"), inside)))
+    return files.select("modified", F.inline(found)).select("folder", "name", "modified")
 
 
 def enriched(projects: DataFrame, quotes: DataFrame, files: DataFrame, contractors: DataFrame) -> DataFrame:
@@ -67,12 +78,15 @@ def enriched(projects: DataFrame, quotes: DataFrame, files: DataFrame, contracto
     date_outcome, gc_name and gc_outcome; a project without a folder is left as it is and has no outcome.
     """
     holder = F.lit(PLACEHOLDER).cast("date")
-    said = quotes.filter(F.col("dated").isNotNull() & (F.col("dated") != holder)).groupBy(F.col("folder").alias("f")).agg(F.min("dated").alias("quotes_json"))
-    dates = file_dates(files).withColumnRenamed("folder", "f")
-    plus = dates.select(*[F.col(c).alias(f"{c}_plus") for c in dates.columns], F.lit(True).alias("has_plus"))
-    who = contractors.filter(F.trim("gc_name") != "").groupBy(F.col("folder").alias("f")).agg(F.min(F.trim("gc_name")).alias("gc"))
-    rows = projects.withColumn("f", F.nullif(F.trim("folder"), F.lit("")))
-    rows = rows.join(said, "f", "left").join(dates.withColumn("has", F.lit(True)), "f", "left").join(plus, F.concat(F.lit("+"), F.col("f")) == F.col("f_plus"), "left").join(who, "f", "left")
+    said = quotes.filter(F.col("dated").isNotNull() & (F.col("dated") != holder)).select(F.col("folder").alias("f"), F.col("dated").alias("quotes_json"))
+    own = _each_date(files)
+    plain = own.select(F.col("folder").alias("f"), *SOURCES[1:], F.lit(True).alias("has"))
+    plus = own.filter(F.startswith("folder", F.lit("+"))).select(F.expr("substring(folder, 2)").alias("f"), *[F.col(c).alias(f"{c}_plus") for c in SOURCES[1:]])
+    who = contractors.select(F.col("folder").alias("f"), F.trim("gc_name").alias("gc")).filter("gc <> ''")
+    # All that is known of a folder goes as rows of one union into one grouping, a folder with a plus under its name without one too.
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [plain, plus, said, who])
+    known = every.groupBy("f").agg(*[F.min(c).alias(c) for c in every.columns if c not in ("f", "has")], F.max("has").alias("has"))
+    rows = projects.withColumn("f", F.nullif(F.trim("folder"), F.lit(""))).join(known, "f", "left")
     rows = rows.withColumns({c: F.when(F.col("has"), F.col(c)).otherwise(F.col(f"{c}_plus")) for c in SOURCES[1:]})
     real, bogus = F.col("quote_date").isNotNull() & (F.col("quote_date") != holder), F.coalesce(F.col("quote_date") == holder, F.lit(False))
     named = F.col("f").isNotNull()

@@ -117,3 +117,14 @@ def test_patterns_of_a_vendor_text_are_read_once(spark):
     assert _plan(found).count("regexp_extract(") <= 10 and _plan(found).count("lower(substring") <= 1
     got = {r["doc_id"]: tuple(r)[1:] for r in found.collect()}
     assert got["a"] == ("FBM", "INV-1001", "3/5/24", "2-3 weeks", 225.0, None, 3100.0, 0.75) and got["b"][:6] == ("Armstrong", None, None, None, None, None)
+
+
+def test_what_is_known_of_a_folder_is_one_join(spark):
+    projects = spark.createDataFrame([(1, "Job 1", None, None), (2, "Job 2", None, None), (3, "+Job 2", None, None)], "project_id int, folder string, quote_date date, gc_name string")
+    said = spark.createDataFrame([], "folder string, dated date")
+    files = project_files.in_folders(spark.createDataFrame([("/itb/Job 1/b 1.2.2023.xlsx",), ("/itb/+Job 1/b 1.1.2020.xlsx",), ("file:///itb/+Job 2/Quote 3.pdf",), ("/itb/Job 2/sub/b 1.1.2021.xlsx",), ("/other/Job 2/b 1.1.2021.xlsx",)], "path string").withColumn("modified", F.lit("2022-05-06 00:00:00").cast("timestamp")), "/itb")
+    who = spark.createDataFrame([("Job 1", " Acme "), ("Job 2", " ")], "folder string, gc_name string")
+    found = project_files.enriched(projects, said, files, who)
+    assert _plan(found).count("Join LeftOuter") == 1
+    got = sorted((r["project_id"], str(r["quote_date"]), r["date_source"], r["gc_name"]) for r in found.collect())
+    assert got == [(1, "2023-01-02", "xlsx_filename_date", "Acme"), (2, "2022-05-06", "quote_pdf_mtime", None), (3, "2022-05-06", "quote_pdf_mtime", None)]
