@@ -22,32 +22,53 @@ def merged_prices(state: DataFrame, batch: DataFrame) -> DataFrame:
     return state.unionByName(batch).groupBy(*KEYS).agg(F.max("last").alias("last"))
 
 
+def _observed(items: DataFrame, state: DataFrame | None) -> DataFrame:
+    """(keys, now, held, old, next, last): a batch's priced rows and the state's, each with the ones before and after it, and with the state's last of its key.
+
+    The state's row stands among the rows of its key, so one shuffle and one sort serve for all of them.
+    """
+    rows = priced_items(items).select(*KEYS, F.struct(*_PLACE).alias("now"), F.lit(False).alias("held"))
+    if state is not None:
+        rows = rows.unionByName(state.select(*KEYS, F.col("last").alias("now"), F.lit(True).alias("held")))
+    ordered = Window.partitionBy(*KEYS).orderBy("now")
+    rows = rows.withColumns({"old": F.lag("now").over(ordered), "next": F.lead("now").over(ordered)})
+    return rows.withColumn("last", F.max(F.when(F.col("held"), F.col("now"))).over(Window.partitionBy(*KEYS)))
+
+
+def _changed(seen: DataFrame, threshold: float) -> DataFrame:
+    """``seen`` with ``pct``, and ``alert``: a row of the batch, after the state's last, whose price differs enough from the one before."""
+    pct = F.round((F.col("now.unit_cost") - F.col("old.unit_cost")) * 100 / F.col("old.unit_cost"), 1)
+    fresh = ~F.col("held") & F.coalesce(F.col("now") > F.col("last"), F.lit(True))
+    return seen.withColumn("pct", pct).withColumn("alert", fresh & F.coalesce(F.abs("pct") >= threshold, F.lit(False)))
+
+
+def _alerts(changed: DataFrame) -> DataFrame:
+    return changed.filter("alert").select(*KEYS, F.col("old.quote_date").alias("old_date"), F.col("now.quote_date").alias("quote_date"), F.col("old.unit_cost").alias("old_cost"), F.col("now.unit_cost").alias("unit_cost"), "pct")
+
+
 def batch_alerts(items: DataFrame, state: DataFrame, threshold: float = 10.0) -> tuple[DataFrame, DataFrame]:
     """(alerts, late) of a batch: price alerts as ``prices.price_alerts`` gives them, the first observation of a key against the state's last.
 
     ``late`` are the priced rows that aren't after the state's last observation of their key; they give no
     alert, since the rows around them may have given theirs, and are for the caller to run with the history.
     """
-    rows = priced_items(items).select(*KEYS, F.struct(*_PLACE).alias("now"))
-    known = rows.join(state, KEYS, "left")
-    late = known.filter(F.col("now") <= F.col("last")).select(*KEYS, "now.*")
-    fresh = known.filter(F.coalesce(F.col("now") > F.col("last"), F.lit(True)))
-    before = F.coalesce(F.lag("now").over(Window.partitionBy(*KEYS).orderBy("now")), F.col("last"))
-    fresh = fresh.withColumn("old", before)
-    pct = F.round((F.col("now.unit_cost") - F.col("old.unit_cost")) * 100 / F.col("old.unit_cost"), 1)
-    alerts = fresh.withColumn("pct", pct).filter(F.abs("pct") >= threshold)
-    return alerts.select(*KEYS, F.col("old.quote_date").alias("old_date"), F.col("now.quote_date").alias("quote_date"), F.col("old.unit_cost").alias("old_cost"), F.col("now.unit_cost").alias("unit_cost"), "pct"), late
+    seen = _observed(items, state)
+    late = seen.filter(~F.col("held") & (F.col("now") <= F.col("last"))).select(*KEYS, "now.*")
+    return _alerts(_changed(seen, threshold)), late
 
 
 def alerts_of_batches(batches: list[DataFrame], threshold: float = 10.0) -> DataFrame:
-    """The alerts of batches that come one after another, each with the state that those before it left."""
+    """The alerts of batches that come one after another, each with the state that those before it left.
+
+    A batch is read once: its alerts and the last row of each key, which is the state for the next, are written together.
+    """
     state, out = None, None
-    for batch in batches:
-        own = last_prices(batch)
-        state = own.limit(0) if state is None else state
-        alerts, _ = batch_alerts(batch, state, threshold)
-        out = alerts if out is None else out.unionByName(alerts)
-        state = kept(merged_prices(state, own), "prices")
+    for k, batch in enumerate(batches):
+        changed = _changed(_observed(batch, state), threshold)
+        if k < len(batches) - 1:
+            changed = kept(changed.withColumn("ends", F.col("next").isNull()).filter("alert or ends").drop("next", "last"), "prices")
+            state = changed.filter("ends").select(*KEYS, F.col("now").alias("last"))
+        out = _alerts(changed) if out is None else out.unionByName(_alerts(changed))
     return out
 
 

@@ -128,3 +128,12 @@ def test_what_is_known_of_a_folder_is_one_join(spark):
     assert _plan(found).count("Join LeftOuter") == 1
     got = sorted((r["project_id"], str(r["quote_date"]), r["date_source"], r["gc_name"]) for r in found.collect())
     assert got == [(1, "2023-01-02", "xlsx_filename_date", "Acme"), (2, "2022-05-06", "quote_pdf_mtime", None), (3, "2022-05-06", "quote_pdf_mtime", None)]
+
+
+def test_batches_meet_their_state_without_a_join(spark):
+    row = lambda day, cost, k: ("tile", "sf", "V", f"2024-01-{day:02d}", k, 1, k, f"${cost}")
+    schema = "product string, unit string, vendor string, quote_date string, quote_id int, line_no int, part_id int, unit_cost_text string"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema).withColumn("quote_date", F.col("quote_date").cast("date"))
+    found = increments.alerts_of_batches([batch(row(1, 10, 1), row(2, 20, 2)), batch(row(1, 99, 3), row(3, 21, 4)), batch(row(4, 30, 5))])
+    assert "Join" not in _plan(found)
+    assert sorted((str(r["old_date"]), str(r["quote_date"]), r["old_cost"], r["unit_cost"]) for r in found.collect()) == [("2024-01-01", "2024-01-02", 10.0, 20.0), ("2024-01-03", "2024-01-04", 21.0, 30.0)]
