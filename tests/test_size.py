@@ -137,3 +137,11 @@ def test_batches_meet_their_state_without_a_join(spark):
     found = increments.alerts_of_batches([batch(row(1, 10, 1), row(2, 20, 2)), batch(row(1, 99, 3), row(3, 21, 4)), batch(row(4, 30, 5))])
     assert "Join" not in _plan(found)
     assert sorted((str(r["old_date"]), str(r["quote_date"]), r["old_cost"], r["unit_cost"]) for r in found.collect()) == [("2024-01-01", "2024-01-02", 10.0, 20.0), ("2024-01-03", "2024-01-04", 21.0, 30.0)]
+
+
+def test_names_are_matched_once_for_both_parts(spark):
+    names = spark.createDataFrame([("dune on suprafine",), ("zzzz on dune",), ("wwww",)], "name string")
+    aliases = spark.createDataFrame([("Dune", "Armstrong Dune", 0)], "alias string, canonical string, position int")
+    found = products.linked(names, aliases)
+    assert {f.split("/")[-2].split("-")[0] for f in found.inputFiles()} == {"names", "matched"}
+    assert sorted((r["name"], r["product"]) for r in found.collect()) == [("dune on suprafine", "Armstrong Dune"), ("wwww", None), ("zzzz on dune", "Armstrong Dune")]
