@@ -145,3 +145,18 @@ def test_names_are_matched_once_for_both_parts(spark):
     found = products.linked(names, aliases)
     assert {f.split("/")[-2].split("-")[0] for f in found.inputFiles()} == {"names", "matched"}
     assert sorted((r["name"], r["product"]) for r in found.collect()) == [("dune on suprafine", "Armstrong Dune"), ("wwww", None), ("zzzz on dune", "Armstrong Dune")]
+
+
+def test_an_audit_takes_one_shuffle_of_each_table(spark):
+    expected = spark.createDataFrame([("a", 1, "ACT", "du", 100.0, None, "B"), ("b", 1, "fw", None, None, None, None), ("b", 1, "FW", None, None, None, None), ("c", 2, "A", None, None, None, None), ("d", None, None, None, None, None, None)], "expected_id string, project_id int, kind string, product string, area double, markup double, format string")
+    scopes = spark.createDataFrame([(1, "act", "s2", "Dune", 100.5, None), (1, "ACT", "s1", "Ultima", 1.0, None), (1, "FW", "s4", "x", None, None), (1, "FW", "s3", "x", None, None), (2, "ACT", "s5", "x", None, None)], "project_id int, scope_type string, scope_id string, product_name string, square_footage double, markup_pct double")
+    formats = spark.createDataFrame([(1, "B")], "project_id int, format string")
+    with_shuffles = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = links.audited_in_full(expected, scopes, formats)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 3
+        got = sorted((r["expected_id"], r["scope_id"], r["product_ok"], r["area_ok"], r["format_ok"], r["passed"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_shuffles)
+    assert got == [("a", "s2", True, True, True, True), ("b", "s3", None, None, None, True), ("c", None, None, None, None, False), ("d", None, None, None, None, False)]
