@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyworks.operators import estimates, increments, links, model_features, plan_chain, plan_pages, plan_rooms, products, quantiles, quotes, schedules
+from tallyworks.operators import comparables, estimates, increments, links, model_features, plan_chain, plan_pages, plan_rooms, products, quantiles, quotes, schedules
 from tallyworks.plans.tables import domain
 from tallyworks.sources import project_files
 
@@ -160,3 +160,13 @@ def test_an_audit_takes_one_shuffle_of_each_table(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_shuffles)
     assert got == [("a", "s2", True, True, True, True), ("b", "s3", None, None, None, True), ("c", None, None, None, None, False), ("d", None, None, None, None, False)]
+
+
+def test_equal_scopes_are_one_place_with_its_first_projects(spark, monkeypatch):
+    scopes = spark.createDataFrame([(p, "ACT", 100.0, 5.0) for p in range(400)] + [(7, "ACT", 100.0, None), (3, "FW", 90.0, 4.0)], "project_id int, scope_type string, square_footage double, cost_per_unit double")
+    targets = spark.createDataFrame([("t", "ACT", 100.0, 5.0), ("u", "FW", 90.0, 4.0), ("v", "ACT", 100.0, None)], "target_id string, kind string, area double, cost double")
+    written = {}
+    monkeypatch.setattr(comparables, "kept", lambda df, name, f=comparables.kept: written.setdefault(name, f(df, name)) if name == "scopes" else f(df, name))
+    got = sorted((r["target_id"], r["rank"], r["project_id"]) for r in comparables.comparable_projects(targets, scopes).collect())
+    assert written["scopes"].count() == 3 and {len(r["projects"]) for r in written["scopes"].collect()} == {1, 3}
+    assert got == [("t", 1, 0), ("t", 2, 1), ("t", 3, 2), ("u", 1, 3), ("u", 2, 0), ("u", 3, 1), ("v", 1, 0), ("v", 2, 1), ("v", 3, 2)]
