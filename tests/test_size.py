@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyworks.operators import comparables, estimates, increments, links, model_features, plan_chain, plan_pages, plan_rooms, products, quantiles, quotes, schedules
+from tallyworks.plans import range_queries
 from tallyworks.plans.tables import domain
 from tallyworks.sources import project_files
 
@@ -170,3 +171,8 @@ def test_equal_scopes_are_one_place_with_its_first_projects(spark, monkeypatch):
     got = sorted((r["target_id"], r["rank"], r["project_id"]) for r in comparables.comparable_projects(targets, scopes).collect())
     assert written["scopes"].count() == 3 and {len(r["projects"]) for r in written["scopes"].collect()} == {1, 3}
     assert got == [("t", 1, 0), ("t", 2, 1), ("t", 3, 2), ("u", 1, 3), ("u", 2, 0), ("u", 3, 1), ("v", 1, 0), ("v", 2, 1), ("v", 3, 2)]
+
+
+def test_targets_of_types_and_markups_are_counted_without_a_sort(spark):
+    plan = range_queries._targets(domain(spark, "/root/testdata/sf0.001", "scopes"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
