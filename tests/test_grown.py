@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from tallyworks.operators import grown, huber, models
+from tallyworks.operators import grown, huber, model_features, models
 from tallyworks.plans import overview_queries
 from tallyworks.plans.tables import domain
 
@@ -102,3 +102,11 @@ def test_a_model_is_written_as_one_of_mllib(spark, tmp_path):
         other = PipelineModel.load(f"file://{tmp_path}/{fit.kind}").transform(t).select("scope_id", F.col("predicted").alias("theirs"))
         assert model.transform(t).join(other, "scope_id").filter("abs(predicted - theirs) > 1e-9").count() == 0 and other.count() == 120
         assert models.importances(model, spark).first()["feature"] == "type_index"
+
+
+def test_the_query_of_labour_learns_all_trees_and_reads_each_text_once(spark, monkeypatch):
+    held, real = [], models.labour_intervals
+    monkeypatch.setattr(models, "labour_intervals", lambda model, rows: held.append(len(model.rounds)) or real(model, rows))
+    assert overview_queries._days(domain(spark, SF, "scopes")).count() > 0 and held == [300]
+    plan = model_features.labour_features(domain(spark, SF, "scopes"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws") == 1
