@@ -110,3 +110,39 @@ def test_the_query_of_labour_learns_all_trees_and_reads_each_text_once(spark, mo
     assert overview_queries._days(domain(spark, SF, "scopes")).count() > 0 and held == [300]
     plan = model_features.labour_features(domain(spark, SF, "scopes"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("concat_ws") == 1
+
+
+def features(spark):
+    return table(spark, 90).select("scope_id", "scope_type", F.col("x").alias("log_area"), F.col("y").alias("target"), *[F.col("z").alias(c) if c == "tier" else F.lit(0).alias(c) for c in models.FEATURES if c not in ("type_index", "log_area")])
+
+
+@pytest.mark.parametrize("name, run", [("m1 by type", lambda t: models.models_chosen(t, trees={"forest": 6, "boosted": 6}, depth=3)), ("m1 choice", lambda t: models.best_model(t, trees=6, depth=3)), ("m2", lambda t: models.cross_validated(t, trees=6, depth=3).count())])
+def test_all_folds_and_kinds_are_a_few_jobs(spark, name, run):
+    t = features(spark)
+    t.count()
+    assert jobs_of(spark, name, lambda: run(t)) < 45
+
+
+def test_errors_are_those_of_the_rows_held_out(spark):
+    t = features(spark)
+    found = grown.counted(t, F.col("target"), models.FEATURES, lot=models._fold(3), lots=3)
+    model, error = grown.trained(found, [grown.Fit(None, "boosted", 5, 3, learnt=(0, 2), held=(1,))])[0]
+    want = model.transform(t.filter(models._fold(3) == 1)).agg(F.avg(F.abs(F.greatest("predicted", F.lit(models.FLOOR)) - F.col("target")) / F.col("target"))).first()[0]
+    assert error == pytest.approx(want)
+    said = models.cross_validated(t, trees=5, depth=3, k=3)
+    alone = grown.trained(found, [grown.Fit(None, "forest", 5, 3, 2, learnt=(0, 2))])[0][0]
+    both = said.filter("fold = 1").join(alone.transform(t).select("scope_id", F.col("predicted").alias("p")), "scope_id")
+    assert said.count() == 90 and both.agg(F.avg(F.abs(F.col("p") - F.col("predicted")))).first()[0] < 2
+
+
+def test_the_queries_of_cost_models_learn_all_trees(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(found, fits):
+        raise Seen({(f.kind, f.trees, f.depth) for f in fits}, len(fits))
+
+    monkeypatch.setattr(grown, "trained", seen)
+    with pytest.raises(Seen) as e:
+        overview_queries._families(domain(spark, SF, "scopes"), domain(spark, SF, "projects"))
+    assert e.value.args == ({("forest", 200, 6), ("boosted", 300, 6)}, 64)
