@@ -20,7 +20,7 @@ def table(spark, n=300):
     for i in range(n):
         kind, x, z = rng.choice(["b", "a", "c"]), float(rng.randrange(100)), float(rng.randrange(3))
         rows.append((f"s{i}", kind, x, z, {"a": 50.0, "b": 5.0, "c": 40.0}[kind] + (x > 70) * 3 + rng.random()))
-    return spark.createDataFrame(rows, "scope_id string, scope_type string, x double, z double, y double").cache()
+    return spark.createDataFrame(rows, "scope_id string, scope_type string, x double, z double, y double")
 
 
 def one(found, **given):
@@ -71,7 +71,7 @@ def test_markups_are_fitted_in_few_jobs_and_outliers_pull_nothing(spark):
         y = 0.3 + 0.02 * x + (0.1 if z == "b" else 0.0) + rng.gauss(0, 0.01)
         rows.append((str(k), z, x, y, y if k % 12 else y + rng.choice([30.0, 60.0])))
     df = spark.createDataFrame(rows, "scope_id string, scope_type string, log_area double, clean double, markup_pct double")
-    df = df.select("*", *[F.lit(0).alias(c) for c in models.MARKUP_FEATURES if c not in ("type_index", "log_area")]).cache()
+    df = df.select("*", *[F.lit(0).alias(c) for c in models.MARKUP_FEATURES if c not in ("type_index", "log_area")])
     held = []
     assert jobs_of(spark, "markups", lambda: held.append(models.markup_model(df, trees=60))) < 30
     own = held[0].transform(df, staged_from=30).collect()
@@ -120,7 +120,7 @@ def features(spark):
 def test_all_folds_and_kinds_are_a_few_jobs(spark, name, run):
     t = features(spark)
     t.count()
-    assert jobs_of(spark, name, lambda: run(t)) < 45
+    assert jobs_of(spark, name, lambda: run(t)) < 35
 
 
 def test_errors_are_those_of_the_rows_held_out(spark):
